@@ -20,6 +20,8 @@ WINDOW, K = 13, 7
 #: More test fingerprints (or windows) than this are joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before lower-casing, for counts.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,17 +60,21 @@ def _maybe_broadcast(df: DataFrame, n: int) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, items: DataFrame, n: int, k: int) -> DataFrame:
-    """(rid, start, n, item_id): each n-word window of an item at each place in a document."""
+    """(rid, start, n, item_id): each n-word window of an item at each place in a document.
+
+    explode_outer throughout: for explode, Spark infers a filter on the array and moves it below the
+    projections, where it would compute every fingerprint a second time, inside its own lambdas.
+    """
     tests = _fingerprints(items, n, k)
-    prints = tests.select(F.explode("prints").alias("print")).distinct()
+    prints = tests.select(F.explode_outer("prints").alias("print")).distinct()
     windows = tests.select(
         "item_id",
-        F.explode(_each(F.size("w") - (n - 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("window"),
+        F.explode_outer(_each(F.size("w") - (n - 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("window"),
     ).distinct()
     n_windows = windows.count()
     hits = (
         _fingerprints(docs.select("rid", "w"), n, k)
-        .select("rid", "w", "grams", F.explode("prints").alias("print"))
+        .select("rid", "w", "grams", F.explode_outer("prints").alias("print"))
         .join(_maybe_broadcast(prints, n_windows), "print")
     )
     around = F.flatten(
@@ -77,7 +83,7 @@ def _occurrences(docs: DataFrame, items: DataFrame, n: int, k: int) -> DataFrame
             lambda p: F.sequence(F.greatest(p - (n - k), F.lit(1)), F.least(p, F.size("w") - (n - 1))),
         )
     )
-    places = hits.select("rid", "w", F.explode(F.array_distinct(around)).alias("start")).select(
+    places = hits.select("rid", "w", F.explode_outer(F.array_distinct(around)).alias("start")).select(
         "rid", "start", F.array_join(F.slice("w", F.col("start"), n), " ").alias("window")
     )
     return places.join(_maybe_broadcast(windows, n_windows), "window").select(
@@ -122,7 +128,7 @@ def contamination(
         found.select("rid", "item_id").distinct().groupBy("rid").agg(F.sort_array(F.collect_list("item_id")).alias("items")),
         "rid",
     )
-    out = rows.withColumn("n_words", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
+    out = rows.withColumn("n_words", F.coalesce(F.regexp_count(F.col(text), F.lit(ANY_CASE)), F.lit(0)).cast("long"))
     out = out.join(per_doc.withColumnRenamed("rid", "__rid"), "__rid", "left").drop("__rid")
     out = out.withColumns(
         {
