@@ -1,10 +1,10 @@
 """Benchmark decontamination by winnowing, with DataFrame functions only.
 
 Both sides are cut into words (A-Z lower-cased; runs of ASCII letters, ASCII digits and non-ASCII
-characters). Of every `window` consecutive words the smallest hash among its k-grams is kept; the
-choice depends on the window's words alone, so any shared run of `window` words shares a
-fingerprint. Training and test fingerprints are joined and each hit is extended to the windows of
-words around it, which are compared as text, so nothing is lost and nothing is matched by hash only.
+characters). Of every few consecutive k-grams the smallest hash is kept; the choice depends on
+these words alone, so any shared run of `window` words begins with a shared fingerprint. Training
+and test fingerprints are joined and each hit is extended to the window of words that begins there,
+which is compared as text, so nothing is lost and nothing is matched by hash only.
 
 Defined results: a null or empty text has no words and is never hit; an item without words is
 ignored; items shorter than `window` are one window of their own length; repeated rows get equal
@@ -16,105 +16,92 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, K = 13, 7
+WINDOW = 13
+#: Words of a gram, and grams of which the smallest is kept: any shared run of 11 words or more shows.
+GRAM, KEEP = 8, 4
 #: More test fingerprints (or windows) than this are joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 500_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing, for counts.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def lower_az(text: Column) -> Column:
-    """Lower-cases A-Z alone; lower() does just that to a text of ASCII characters only."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
-        F.translate(text, UPPER, LOWER)
-    )
+def words(text: Column) -> Column:
+    """Words with A-Z lower-cased; lower() does just that to a text of ASCII characters only."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(low, SEPARATOR), "")
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_az(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+def _paired(left: Column, right: Column, shift: int, what) -> Column:
+    """what(left[i], right[i + shift]) for each i that has both."""
+    n = F.greatest(F.least(F.size(left), F.size(right) - shift), F.lit(0))
+    return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(shift + 1), n), what)
 
 
-def _each(last: Column, what) -> Column:
-    """what(i) for i from 1 to last; an empty array where last < 1."""
-    return F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: i <= last), what
-    )
+def _over(df: DataFrame, column: str, n: int, what) -> tuple[DataFrame, str]:
+    """Adds what() of each n neighbours in `column`, made of two runs half as long."""
+    if n == 1:
+        return df, column
+    df, half = _over(df, column, n - n // 2, what)
+    name = f"{column}_{n}"
+    return df.withColumn(name, _paired(F.col(half), F.col(half), n // 2, what)), name
 
 
-def _fingerprints(df: DataFrame, n: int, k: int) -> DataFrame:
-    """Adds `grams` (k-gram hashes by position) and `prints` (the smallest of each n words)."""
-    df = df.withColumn("hashes", F.transform("w", lambda x: F.xxhash64(x)))
-    df = df.withColumn(
-        "grams", _each(F.size("hashes") - (k - 1), lambda i: F.xxhash64(F.slice("hashes", i, k)))
-    ).drop("hashes")
-    return df.withColumn(
-        "prints",
-        F.array_distinct(_each(F.size("grams") - (n - k), lambda i: F.array_min(F.slice("grams", i, n - k + 1)))),
-    )
+def _fingerprints(df: DataFrame, n: int) -> tuple[DataFrame, str]:
+    """Adds the winnowed fingerprints of runs of n words: at i, the smallest gram of a window there.
+
+    Grams of 2k words are hashes of two grams of k words (of overlapping ones where k is odd).
+    """
+    k = min(GRAM, n)
+    df = df.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    df, grams = _over(df, "h", k, lambda a, b: F.xxhash64(a, b))
+    return _over(df, grams, min(KEEP, n - k + 1), lambda a, b: F.least(a, b))
 
 
 def _maybe_broadcast(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def _occurrences(docs: DataFrame, items: DataFrame, n: int, k: int) -> DataFrame:
-    """(rid, start, n, item_id): each n-word window of an item at each place in a document.
+def _places(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """Rows (rid, carried columns, n_words, start, n, item_id): n-word windows of items in documents.
 
-    explode_outer throughout: for explode, Spark infers a filter on the array and moves it below the
-    projections, where it would compute every fingerprint a second time, inside its own lambdas.
+    Each document has one more row, with start 0, that carries n_words. posexplode_outer: for
+    posexplode, Spark infers a filter on the array and moves it below the projections, where it
+    would compute every fingerprint a second time, inside its own lambdas.
     """
-    tests = _fingerprints(items, n, k)
-    prints = tests.select(F.explode_outer("prints").alias("print")).distinct()
-    windows = tests.select(
-        "item_id",
-        F.explode_outer(_each(F.size("w") - (n - 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("window"),
-    ).distinct()
-    n_windows = windows.count()
-    hits = (
-        _fingerprints(docs.select("rid", "w"), n, k)
-        .select("rid", "w", "grams", F.explode_outer("prints").alias("print"))
-        .join(_maybe_broadcast(prints, n_windows), "print")
-    )
-    around = F.flatten(
-        F.transform(
-            F.filter(F.sequence(F.lit(1), F.size("grams")), lambda p: F.get("grams", p - 1) == F.col("print")),
-            lambda p: F.sequence(F.greatest(p - (n - k), F.lit(1)), F.least(p, F.size("w") - (n - 1))),
-        )
-    )
-    places = hits.select("rid", "w", F.explode_outer(F.array_distinct(around)).alias("start")).select(
-        "rid", "start", F.array_join(F.slice("w", F.col("start"), n), " ").alias("window")
-    )
-    return places.join(_maybe_broadcast(windows, n_windows), "window").select(
-        "rid", "start", F.lit(n).alias("n"), "item_id"
+    tests, mark = _fingerprints(items, n)
+    tests = tests.select("item_id", "w", F.posexplode_outer(mark).alias("at", "print"))
+    prints = tests.select("print").distinct().withColumn("shared", F.lit(True))
+    n_tests = tests.count()
+    whole = items.select("item_id", "w", F.explode_outer(F.sequence(F.lit(1), F.size("w") - (n - 1))).alias("at"))
+    windows = whole.select("item_id", F.array_join(F.slice("w", F.col("at"), n), " ").alias("window")).distinct()
+    docs, mark = _fingerprints(docs, n)
+    carried = [c for c in docs.columns if c != "w" and not c.startswith("h")]
+    rows = docs.select(*carried, "w", F.posexplode_outer(F.concat(F.array(F.lit(None).cast("long")), mark)).alias("start", "print"))
+    rows = rows.join(_maybe_broadcast(prints, n_tests), "print", "left")
+    rows = rows.where((F.col("start") == 0) | (F.col("shared") & (F.col("start") + (n - 1) <= F.size("w"))))
+    window = F.when(F.col("start") > 0, F.array_join(F.slice("w", F.greatest("start", F.lit(1)), n), " "))
+    rows = rows.select(*carried, F.size("w").alias("n_words"), "start", window.alias("window"))
+    found = rows.join(_maybe_broadcast(windows, n_tests), "window", "left")
+    return found.where((F.col("start") == 0) | F.col("item_id").isNotNull()).select(
+        *carried, "n_words", "start", F.lit(n).alias("n"), "item_id"
     )
 
 
-def contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    *,
-    text: str = "text",
-    doc_id: str = "doc_id",
-    window: int = WINDOW,
-    k: int = K,
-    share: int = 20,
-) -> DataFrame:
-    """`docs` with n_words, n_hit, n_items, items (sorted strings) and contaminated.
-
-    contaminated: at least one word in `share` is hit.
-    """
-    rows = docs.withColumn("__rid", F.xxhash64(F.col(doc_id), F.col(text)))
-    cut = rows.select(F.col("__rid").alias("rid"), words(F.col(text)).alias("w"))
+def hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
+    """(rid, carried columns, n_words, n_hit, items) for documents (rid, text, carried columns)."""
+    cut = docs.withColumn("w", words(F.col("text"))).drop("text")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w"))
     items = items.where((F.size("w") > 0) & F.col("item_id").isNotNull())
-    found = _occurrences(cut, items.where(F.size("w") >= window), window, k)
+    found = _places(cut, items.where(F.size("w") >= window), window)
     for r in items.where(F.size("w") < window).select(F.size("w").alias("n")).distinct().collect():  # < window rows
-        found = found.unionByName(_occurrences(cut, items.where(F.size("w") == r.n), r.n, min(k, r.n)))
-    # a place and an item each once for a document, before any list is built
-    spans = found.select("rid", "start", "n").distinct().groupBy("rid").agg(
-        F.sort_array(F.collect_list(F.struct("start", "n"))).alias("places")
+        found = found.unionByName(_places(cut, items.where(F.size("w") == r.n), r.n))
+    carried = [F.first(c).alias(c) for c in docs.columns if c not in ("rid", "text")]
+    per_doc = found.groupBy("rid").agg(
+        *carried,
+        F.max("n_words").cast("long").alias("n_words"),
+        F.sort_array(F.collect_set(F.when(F.col("start") > 0, F.struct("start", "n")))).alias("places"),
+        F.sort_array(F.collect_set("item_id")).alias("items"),
     )
     covered = F.aggregate(
         "places",
@@ -124,35 +111,35 @@ def contamination(
             F.greatest(a.upto, x.start + x.n - 1).alias("upto"),
         ),
     )
-    per_doc = spans.select("rid", covered["hit"].cast("long").alias("n_hit")).join(
-        found.select("rid", "item_id").distinct().groupBy("rid").agg(F.sort_array(F.collect_list("item_id")).alias("items")),
-        "rid",
-    )
-    out = rows.withColumn("n_words", F.coalesce(F.regexp_count(F.col(text), F.lit(ANY_CASE)), F.lit(0)).cast("long"))
-    out = out.join(per_doc.withColumnRenamed("rid", "__rid"), "__rid", "left").drop("__rid")
-    out = out.withColumns(
-        {
-            "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
-            "items": F.coalesce("items", F.array().cast("array<string>")),
-        }
-    )
-    return out.withColumns(
-        {
-            "n_items": F.size("items").cast("long"),
-            "contaminated": (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")),
-        }
+    return per_doc.withColumn("n_hit", covered["hit"].cast("long")).drop("places")
+
+
+def contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
+    """At least one word in `share` is hit."""
+    return (n_hit > 0) & (share * n_hit >= n_words)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
+    """`docs` with n_words, n_hit, items (sorted strings) and contaminated."""
+    rows = docs.withColumn("__rid", F.xxhash64(F.col(doc_id), F.col(text)))
+    found = hits(rows.select(F.col("__rid").alias("rid"), F.col(text).alias("text")), benchmark, window=window)
+    return (
+        rows.join(found.withColumnRenamed("rid", "__rid"), "__rid")
+        .drop("__rid")
+        .withColumn("contaminated", contaminated(F.col("n_hit"), F.col("n_words")))
     )
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    return hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(
         "doc_id",
         "n_words",
         "n_hit",
-        "n_items",
+        F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        "contaminated",
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
 
 
