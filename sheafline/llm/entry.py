@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sheafline.llm import decontaminate, main_text, mixing, secrets
+from sheafline.llm import decontaminate, main_text, mixing, ngram_join, secrets
 
 
 def queries() -> dict:
     return {
         "op1_main_text": main_text.op1,
         "op2_secret_scan": secrets.op2,
+        "op4_ngram_join": ngram_join.op4,
         "op7_mix_sources": mixing.op7,
         "op10_decontaminate": decontaminate.op10,
     }
