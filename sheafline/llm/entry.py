@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheafline.llm import decontaminate, main_text, mixing, ngram_join, secrets
+from sheafline.llm import decontaminate, language, main_text, mixing, ngram_join, quality, secrets
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_secret_scan": secrets.op2,
         "op4_ngram_join": ngram_join.op4,
         "op7_mix_sources": mixing.op7,
+        "op8_language_id": language.op8,
+        "op9_quality_rules": quality.op9,
         "op10_decontaminate": decontaminate.op10,
     }
 
