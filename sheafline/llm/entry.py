@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sheafline.llm import decontaminate, language, main_text, mixing, ngram_join, quality, secrets
+from sheafline.llm import decontaminate, embedding_join, language, main_text, mixing, ngram_join, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op1_main_text": main_text.op1,
         "op2_secret_scan": secrets.op2,
+        "op3_embedding_join": embedding_join.op3,
         "op4_ngram_join": ngram_join.op4,
         "op7_mix_sources": mixing.op7,
         "op8_language_id": language.op8,
