@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheafline.llm import decontaminate, embedding_join, language, main_text, mixing, ngram_join, quality, secrets
+from sheafline.llm import decontaminate, embedding_join, language, main_text, mixing, ngram_join, quality, repeats, secrets
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_secret_scan": secrets.op2,
         "op3_embedding_join": embedding_join.op3,
         "op4_ngram_join": ngram_join.op4,
+        "op6_repeated_strings": repeats.op6,
         "op7_mix_sources": mixing.op7,
         "op8_language_id": language.op8,
         "op9_quality_rules": quality.op9,
