@@ -1,8 +1,24 @@
-"""Queries of this subpackage and their oracles."""
+"""Queries of this subpackage and their oracles.
+
+Oracles are given where SQL can express a query on whole tables. The others are tested against
+brute force in tests/llm.
+"""
 
 from __future__ import annotations
 
-from sheafline.llm import decontaminate, embedding_join, language, main_text, mixing, ngram_join, quality, repeats, secrets
+import corpus_pipeline
+from sheafline.llm import (
+    decontaminate,
+    embedding_join,
+    language,
+    main_text,
+    mixing,
+    ngram_join,
+    pitman_yor,
+    quality,
+    repeats,
+    secrets,
+)
 
 
 def queries() -> dict:
@@ -11,11 +27,13 @@ def queries() -> dict:
         "op2_secret_scan": secrets.op2,
         "op3_embedding_join": embedding_join.op3,
         "op4_ngram_join": ngram_join.op4,
+        "op5_language_model": pitman_yor.op5,
         "op6_repeated_strings": repeats.op6,
         "op7_mix_sources": mixing.op7,
         "op8_language_id": language.op8,
         "op9_quality_rules": quality.op9,
         "op10_decontaminate": decontaminate.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
