@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from sheafline.plans import items, sequences
+
+QUERIES: dict = {**items.QUERIES, **sequences.QUERIES}
+ORACLES: dict[str, str] = {**items.ORACLES, **sequences.ORACLES}
