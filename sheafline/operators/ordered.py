@@ -10,6 +10,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def _upto(unit: Sequence[str], order: Sequence[str]):
@@ -71,7 +72,7 @@ def pack(df: DataFrame, unit: str, order: str, size: str, parts: int) -> DataFra
             placed += n
         return pdf.assign(part=out)
 
-    return df.select(unit, order, size).groupBy(unit).applyInPandas(fold, schema.add("part", "int"))
+    return df.select(unit, order, size).groupBy(unit).applyInPandas(fold, schema.add("part", IntegerType()))
 
 
 def chunk_owner(position: Column, core: int = 240) -> Column:
