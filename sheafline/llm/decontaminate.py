@@ -8,7 +8,7 @@ which is compared as text, so nothing is lost and nothing is matched by hash onl
 
 Defined results: a null or empty text has no words and is never hit; an item without words is
 ignored; items shorter than `window` are one window of their own length; repeated rows get equal
-results; extra columns of `docs` pass through untouched.
+results; extra columns of `docs` pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -53,8 +53,8 @@ def _fingerprints(df: DataFrame, n: int) -> tuple[DataFrame, str]:
     Grams of 2k words are hashes of two grams of k words (of overlapping ones where k is odd).
     """
     k = min(GRAM, n)
-    df = df.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    df, grams = _over(df, "h", k, lambda a, b: F.xxhash64(a, b))
+    df = df.withColumn("__h", F.transform("w", lambda x: F.xxhash64(x)))
+    df, grams = _over(df, "__h", k, lambda a, b: F.xxhash64(a, b))
     return _over(df, grams, min(KEEP, n - k + 1), lambda a, b: F.least(a, b))
 
 
@@ -75,8 +75,8 @@ def _places(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     n_tests = tests.count()
     whole = items.select("item_id", "w", F.explode_outer(F.sequence(F.lit(1), F.size("w") - (n - 1))).alias("at"))
     windows = whole.select("item_id", F.array_join(F.slice("w", F.col("at"), n), " ").alias("window")).distinct()
+    carried = [c for c in docs.columns if c != "w"]
     docs, mark = _fingerprints(docs, n)
-    carried = [c for c in docs.columns if c != "w" and not c.startswith("h")]
     rows = docs.select(*carried, "w", F.posexplode_outer(F.concat(F.array(F.lit(None).cast("long")), mark)).alias("start", "print"))
     rows = rows.join(_maybe_broadcast(prints, n_tests), "print", "left")
     rows = rows.where((F.col("start") == 0) | (F.col("shared") & (F.col("start") + (n - 1) <= F.size("w"))))
@@ -121,7 +121,7 @@ def contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """`docs` with n_words, n_hit, items (sorted strings) and contaminated."""
-    rows = docs.withColumn("__rid", F.xxhash64(F.col(doc_id), F.col(text)))
+    rows = docs.drop("n_words", "n_hit", "items", "contaminated").withColumn("__rid", F.xxhash64(F.col(doc_id), F.col(text)))
     found = hits(rows.select(F.col("__rid").alias("rid"), F.col(text).alias("text")), benchmark, window=window)
     return (
         rows.join(found.withColumnRenamed("rid", "__rid"), "__rid")

@@ -8,7 +8,8 @@ summed, and only the slice in which a source's budget ends is sorted.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source of its own,
 last; a source without words has target 0; documents with equal ids share a key and rank by size,
-equal rows may swap places; without documents the result is empty; other columns pass through.
+equal rows may swap places; without documents the result is empty; other columns pass through, those
+named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def mix(
 ) -> DataFrame:
     """`docs` with size, source_size, target and taken (words that the mix takes of the document)."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(TOKEN)), F.lit(0)).cast("long")
-    rows = docs.withColumn("size", size)
+    rows = docs.drop("source_size", "target", "taken").withColumn("size", size)
     quality = quality_weight(F.col(text), F.col("size")) if weight is None else weight
     # key = -ln(u) / quality, kept with the slice that it falls in
     rows = rows.withColumn("__key", F.round(-F.log(uniform(F.col(doc_id), seed)) / quality, 9))
