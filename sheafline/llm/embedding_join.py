@@ -37,7 +37,9 @@ PROJECTIONS, HALF_WIDTH, CELL = 48, 0.3, 800
 #: Target probabilities for a pair at the threshold: to share a cell, and to pass the count.
 CELL_RECALL, COUNT_RECALL = 0.99, 0.995
 #: A larger cell is compared in pairs of blocks of half as many vectors.
-LARGEST = 4096
+LARGEST = 2048
+#: Window partners handled at once when collisions are counted.
+PARTNERS = 1 << 19
 SEED = 77
 
 
@@ -100,10 +102,14 @@ def collisions(x: np.ndarray, half: float = HALF_WIDTH, m: int = PROJECTIONS) ->
         s = projected[order]
         to = np.searchsorted(s, s + np.float32(half), "right")
         length = to - np.arange(1, n + 1)  # partners after each query in its window
-        total = int(length.sum())
-        first = np.repeat(np.arange(1, n + 1) - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
-        a, b = np.repeat(order, length), order[first + np.arange(total)]
-        count[np.minimum(a, b) * n + np.maximum(a, b)] += 1
+        upto, lo = np.cumsum(length), 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PARTNERS, "right")))
+            some = length[lo:hi]
+            first = np.repeat(np.arange(lo + 1, hi + 1) - np.cumsum(some) + some, some)
+            a, b = np.repeat(order[lo:hi], some), order[first + np.arange(len(first))]
+            count[np.minimum(a, b) * n + np.maximum(a, b)] += 1
+            lo = hi
     return count.reshape(n, n)
 
 
