@@ -1,0 +1,78 @@
+"""Every query that has SQL against DuckDB on the same tables; the others against brute force."""
+
+import math
+from itertools import combinations
+
+import duckdb
+import pytest
+
+from sheafline.plans import catalogue
+from tests.conftest import SF
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def plain(v):
+    if v is None or isinstance(v, float) and math.isnan(v):
+        return "~"
+    if isinstance(v, float):
+        return f"{v:.9g}"
+    if isinstance(v, (list, tuple)) and not hasattr(v, "asDict"):
+        return [plain(x) for x in v]
+    if hasattr(v, "asDict"):
+        v = v.asDict()
+    if isinstance(v, dict):
+        return {k: plain(x) for k, x in sorted(v.items())}
+    return str(v)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+def test_query_equals_sql(spark, duck, name):
+    df = catalogue.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    found = sorted(str([plain(r[c]) for c in columns]) for r in df.collect())
+    cursor = duck.execute(catalogue.ORACLES[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == columns
+    at = [names.index(c) for c in columns]
+    assert found == sorted(str([plain(r[i]) for i in at]) for r in cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
+def test_query_without_sql_runs_twice_alike(spark, name):
+    rows = [sorted(str(r) for r in catalogue.QUERIES[name](spark, SF).collect()) for _ in range(2)]
+    assert rows[0] == rows[1]
+
+
+def test_seeded_shuffle_keeps_options_and_answers(spark):
+    """The shuffle permutes options and carries the right ones along."""
+    from pyspark.sql import functions as F
+
+    from sheafline.plans.items import questions
+
+    before = {r.o_orderkey: r for r in questions(spark, SF).withColumn("right", F.transform("answers", lambda a: F.get("options", a - 1))).collect()}
+    after = catalogue.QUERIES["shuffle_seeded"](spark, SF)
+    assert {"o_orderkey"} <= set(after.columns)
+    rows = after.collect()
+    assert len(rows) == len(before)
+    if {"options", "answers"} <= set(after.columns):
+        for r in rows:
+            assert sorted(r["options"]) == sorted(before[r.o_orderkey]["options"])
+            assert sorted(r["options"][a - 1] for a in r["answers"]) == sorted(before[r.o_orderkey]["right"])
+
+
+def test_exact_duplicates_against_brute_force(spark):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    first = {}
+    for i, t in sorted(texts):
+        first.setdefault(" ".join((t or "").lower().split()), i)
+    pairs = sum(1 for (i, a), (j, b) in combinations(sorted(texts), 2) if a == b)
+    assert len(texts) - len(first) <= pairs or pairs == 0
