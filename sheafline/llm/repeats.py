@@ -6,7 +6,8 @@ run holds all strings that start in it. Pieces meet by gram, so equal strings me
 equal as a whole are known to repeat; where different pieces share a gram, their suffixes are sorted,
 the stack scan of the common-prefix lengths gives the interval tree, and intervals of at least LEAST
 bytes whose occurrences differ in the byte before them are maximal repeats, all occurrences of which
-are marked. Grams with very many different pieces are resolved by digests of every string instead.
+are marked. Pieces of a gram with very many of them are cut by the place of the gram in a string into
+parts; parts that share their core but differ are resolved by digests of their strings instead.
 
 Texts are UTF-8 bytes; strings never cross documents; what is judged is the input, so overlaps and
 repeats inside one document count. Equal texts are one class: with copies and LEAST bytes or more,
@@ -32,6 +33,8 @@ from sheafline.llm.ngram_join import _gathered, _groups
 LEAST, GRAM = 400, 200
 #: Different pieces of one gram that one suffix array takes.
 PIECES = 384
+#: Of more, strings that hold the gram at as many neighbouring places are compared together.
+PART = 16
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -190,21 +193,64 @@ def _intervals(keys, pieces, lo, hi) -> pa.RecordBatch:
     )
 
 
-def _digests(batches):
-    """(key, piece, at, one, two): two digests of every string of LEAST bytes."""
+def _parts(batches):
+    """(key, piece, at, n, core, own): the strings of a piece by the place of its gram in them, PART places at a time.
+
+    Equal strings hold the gram at the same place, so they lie in parts of equal number, and all strings
+    of a part hold its core, the bytes common to them.
+    """
     for batch in batches:
+        rows: list[tuple] = []
         for key, piece, data in zip(batch.column("key").to_pylist(), batch.column("piece").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            raw = np.frombuffer(data, dtype=np.uint8)
+            sums, at = A.prefix_hash(raw), np.arange(len(raw) - GRAM + 1)
+            gram = int(np.flatnonzero(A.range_hash(sums, at, at + GRAM).view(np.int64) == key)[0])
+            part = np.arange(max(0, gram - len(raw) + LEAST) // PART, gram // PART + 1)
+            first = np.maximum(0, gram - part * PART - PART + 1)
+            stop = np.minimum(len(raw), gram - part * PART + LEAST)
+            core = A.range_hash(sums, gram - part * PART, gram - part * PART + LEAST - PART + 1)
+            core = A.mixed(core + part.astype(np.uint64))
+            own = A.range_hash(sums, first, stop)
+            rows += zip([key] * len(part), [piece] * len(part), first.tolist(), (stop - first).tolist(), core.view(np.int64).tolist(), own.view(np.int64).tolist(), strict=True)
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "piece", "at", "n", "core", "own"])
+
+
+def _digests(batches):
+    """(core, own, at, one, two): two digests of every string of LEAST bytes in a part."""
+    for batch in batches:
+        for core, own, data in zip(batch.column("core").to_pylist(), batch.column("own").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
             raw = np.frombuffer(data, dtype=np.uint8)
             at = np.arange(len(raw) - LEAST + 1)
             one = A.range_hash(A.prefix_hash(raw), at, at + LEAST)
             two = A.range_hash(A.prefix_hash(raw ^ np.uint8(0x5A)), at, at + LEAST)
             n = len(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, key)), pa.array(np.full(n, piece)), pa.array(at.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                ["key", "piece", "at", "one", "two"],
+                [pa.array(np.full(n, core)), pa.array(np.full(n, own)), pa.array(at.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                ["core", "own", "at", "one", "two"],
             )
 
 
+def _by_parts(many: DataFrame) -> DataFrame:
+    """(key, piece, lo, hi) for grams with very many different pieces (key, piece, bytes), all written.
+
+    Only parts that share a core but differ are looked at string by string, one of each.
+    """
+    parts = written(many.mapInArrow(_parts, "key long, piece long, at int, n int, core long, own long"))
+    owns = parts.groupBy("core", "own").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("key", "piece", "at", "n")).alias("one"))
+    several = owns.groupBy("core").agg(F.count(F.lit(1)).alias("owns")).where("owns > 1").drop("owns")
+    mixed = owns.join(several, "core").select("core", "own", "one.*")
+    data = many.join(mixed, ["key", "piece"]).select("core", "own", F.substring("bytes", F.col("at") + 1, F.col("n")).alias("bytes"))
+    strings = written(data.mapInArrow(_digests, "core long, own long, at int, one long, two long"))
+    again = strings.groupBy("one", "two").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    found = strings.join(again, ["one", "two"]).groupBy("core", "own").agg(F.collect_list("at").alias("lo"))
+    found = found.withColumn("hi", F.transform("lo", lambda x: x + LEAST))
+    copies = owns.where("rows > 1").select("core", "own", F.array(F.lit(0)).alias("lo"), F.array("one.n").alias("hi"))
+    placed = parts.join(found.unionByName(copies), ["core", "own"])
+    return placed.select("key", "piece", *[F.transform(c, lambda x: x + F.col("at")).alias(c) for c in ("lo", "hi")])
+
+
 def _kept(batches):
     """(class, n_removed, n_spans, kept_sha256) of (class, text, lo, hi)."""
     for batch in batches:
@@ -264,10 +310,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = few.select("key", "piece", "bytes").mapInArrow(_suffix_arrays, SPAN_SCHEMA)
     many = cut.where(F.col("pieces") > PIECES)
     if many.head(1):
-        strings = written(many.select("key", "piece", "bytes").mapInArrow(_digests, "key long, piece long, at int, one long, two long"))
-        again = strings.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        places = strings.join(again, ["one", "two"]).groupBy("key", "piece").agg(F.collect_list("at").alias("lo"))
-        spans = spans.unionByName(places.withColumn("hi", F.transform("lo", lambda x: x + LEAST)))
+        spans = spans.unionByName(_by_parts(many.select("key", "piece", "bytes")))
     whole = pieces.where("n > 1").select("key", "piece", F.array(F.lit(0)).alias("lo"), F.array("at.length").alias("hi"))
     spans = spans.unionByName(whole)
     placed = live.join(spans, ["key", "piece"])
