@@ -20,14 +20,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group linked by five-word shingles.
 
-    Rows with equal ids and texts count once; documents without an id are kept once for each text.
+    Rows with equal ids and texts count once; a document without an id is kept only where none of its
+    group has one. Kept rows are found by their own key, since ids may be null or repeated.
     """
     found = ngram_join.near_duplicates(docs)
-    kept = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")))
-    out = docs.join(kept.hint("shuffle_hash"), "doc_id").select(*docs.columns)
+    kept = written(found.where("key = kept_key").groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("__rows")))
+    named, nameless = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL").dropDuplicates(["text"])
+    rows = named.unionByName(nameless).withColumn("__key", ngram_join.row_key())
+    out = rows.join(kept.hint("shuffle_hash"), "__key")
     if kept.where("__rows > 1").head(1):
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+        out = out.dropDuplicates(["__key"])
+    return out.select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,9 +17,12 @@ Words: runs of ASCII letters, ASCII digits and non-ASCII characters, A-Z lower-c
 to four words has one gram, all of its words.
 
 Defined results: texts without words (null, empty) link with nothing; repeated rows are a class and
-link with each other; among rows of a component the one with the smallest id is kept, of rows with
-equal ids and equal words one; a null id never names a component unless all its ids are null; other
-columns pass through untouched.
+link with each other; exactly one row of a component is kept, that with the smallest id, of equal ids
+that with the smallest key; null ids come last, so a row without an id is linked as any other and is
+kept only where no row of its component has an id (component_id is null there); other columns pass
+through untouched.
+
+Rows are told apart by a key of their own, a digest of id and text, and not by their id.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.llm import _arrays as A
@@ -82,8 +85,13 @@ def grams(column: pa.Array, n: int = N) -> Iterator[tuple[int, int, np.ndarray,
         yield lo, hi, g_row, g, count, digest.view(np.int64)
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The key of a row: rows share it only if id and text are equal, nulls included."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
 def _sketch(batches):
-    """(doc_id, words, class, tokens) of (doc_id, text)."""
+    """(doc_id, key, row, words, class, tokens) of (doc_id, key, row, text)."""
     for batch in batches:
         for lo, hi, row, g, count, digest in grams(batch.column("text")):
             tokens = np.zeros((hi - lo, TOKENS), dtype=np.uint32)
@@ -93,15 +101,24 @@ def _sketch(batches):
                     tokens[row[starts], k] = np.minimum.reduceat(((g * _FACTORS[k] + _ADDED[k]) >> np.uint64(32)).astype(np.uint32), starts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").slice(lo, hi - lo),
+                    *[batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "key", "row")],
                     pa.array(count.astype(np.int32)),
                     pa.array(digest),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * TOKENS + 1, TOKENS, dtype=np.int32)), pa.array(tokens.view(np.int32).ravel())),
                 ],
-                ["doc_id", "words", "class", "tokens"],
+                ["doc_id", "key", "row", "words", "class", "tokens"],
             )
 
 
+def _of_classes(batches):
+    """(class, text), each class of a batch once."""
+    for batch in batches:
+        for lo, hi, _, _, count, digest in grams(batch.column("text")):
+            some = np.flatnonzero(count)
+            classes, at = np.unique(digest[some], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(classes), batch.column("text").slice(lo, hi - lo).take(pa.array(some[at]))], ["class", "text"])
+
+
 def _gathered(batches, key: str):
     """Rows of a partition sorted by `key`, as tables that hold whole keys."""
     kept: list[pa.RecordBatch] = []
@@ -272,21 +289,35 @@ def _verify(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class, n_links, component_id) for every row of `docs`, in any order."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketch = written(slim.mapInArrow(_sketch, "doc_id long, words int, class long, tokens array<int>"))
+    """(doc_id, key, class, n_links, component_id, kept_key, kept) for every row of `docs`, in any order.
+
+    `key` is row_key() of the row and kept_key that of the row that stays of its component. Rows that
+    are equal in id and text share a key; `kept` marks one row of a component alone. Rows without
+    words are all kept.
+    """
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
+    numbered = slim.withColumn("row", F.monotonically_increasing_id())  # tells equal rows apart once it is written
+    sketch = written(numbered.mapInArrow(_sketch, "doc_id long, key long, row long, words int, class long, tokens array<int>"))
     classes = written(
         sketch.where("words > 0").groupBy("class").agg(
-            F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.first("tokens").alias("tokens")
+            F.min("doc_id").alias("first_id"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "row")).alias("first"),
+            F.count(F.lit(1)).alias("size"),
+            F.first("tokens").alias("tokens"),
         )
     )
     groups = components(candidates(classes.select("class", "tokens"), recall))
     n_group = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n_comp"))
     members = groups.join(n_group, "root").select(F.col("node").alias("class"), F.col("root").alias("comp"), "n_comp")
-    members = members.join(classes.drop("tokens"), "class")
+    members = members.join(classes.drop("tokens", "first"), "class")
+    wanted = ("comp", "n_comp", "class", "size", "text")
     named = members.where(F.col("first_id").isNotNull())
-    texts = slim.join(named.hint("shuffle_hash"), F.col("doc_id") == F.col("first_id"))
-    sets = texts.select("comp", "n_comp", "class", "size", "text").mapInArrow(
+    texts = slim.join(named.hint("shuffle_hash"), F.col("doc_id") == F.col("first_id")).select(*wanted)
+    nameless = members.where(F.col("first_id").isNull())
+    # classes of which no row has an id: copies are dropped before they are dealt out
+    of_class = slim.where(F.col("doc_id").isNull()).select("text").mapInArrow(_of_classes, "class long, text string")
+    texts = texts.unionByName(of_class.dropDuplicates(["class"]).join(nameless, "class").select(*wanted))
+    sets = texts.mapInArrow(
         _sets, "comp long, n_comp long, class long, size long, grams array<long>"
     )
     n = F.ceil(F.col("n_comp") / BLOCK).cast("int")
@@ -305,19 +336,22 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     linked = links.groupBy("class").agg(F.sum("linked").alias("linked"))
     known = classes.drop("tokens").join(root, "class", "left").join(linked, "class", "left")
     known = known.withColumn("root", F.coalesce("root", "class"))
-    named = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = known.groupBy("root").agg(F.min("first").alias("kept"))
     known = known.join(named, "root").select(
-        "class", "component_id", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
+        "class", F.col("kept.doc_id").alias("component_id"), F.col("kept.key").alias("kept_key"), F.col("kept.row").alias("kept_row"), (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
     )
     return sketch.drop("tokens").join(known, "class", "left").select(
         "doc_id",
+        "key",
         "class",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("kept_key", "key").alias("kept_key"),
+        F.coalesce(F.col("row") == F.col("kept_row"), F.lit(True)).alias("kept"),
     )
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs)
-    return found.select("doc_id", "n_links", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_links", "component_id", "kept")

@@ -213,3 +213,30 @@ def test_repeated_rows_keep_one(spark, odd_docs):
     assert ids.count(None) == 2 and {5, 6, 7, 8, 10} <= set(ids)
     dropped = corpus_pipeline.decontaminated
     assert dropped and decontaminate.WINDOW == 13
+
+
+# ---------------------------------------------------------------- rows without an id, repeated ids
+def test_rows_without_an_id_are_linked_and_leave(spark):
+    a, b, c = prose(90, 80), prose(91, 80), prose(92, 80)
+    rows = [
+        (1, a), (None, a), (None, near(1, a, 1)), (None, a.upper()),  # copies of an identified document
+        (None, b), (None, b), (None, near(2, b, 1)),  # a group without any id
+        (2, c), (3, prose(93, 80)), (3, near(3, c, 1)), (None, None), (None, ""), (4, None),
+    ]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [grams(t) for _, t in rows]
+    links = [(i, j) for j in range(len(rows)) for i in range(j) if sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    root, n = union(len(rows), links), [0] * len(rows)
+    for i, j in links:
+        n[i] += 1
+        n[j] += 1
+    assert len(set(root)) == 7  # the near copies are linked
+    name = {r: min((rows[i][0] for i in range(len(rows)) if root[i] == r and rows[i][0] is not None), default=None) for r in root}
+    found = ngram_join.near_duplicates(docs).collect()
+    told = lambda x: sorted(x, key=str)
+    assert told((r.doc_id, r.n_links, r.component_id) for r in found) == told((d, n[i], name[root[i]]) for i, (d, _) in enumerate(rows))
+    assert sum(r.kept for r in found) == 7
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()]
+    assert told(x for x in out if x[0] is not None) == told([(1, a), (2, c), (3, rows[8][1]), (4, None)])
+    nameless = [t for d, t in out if d is None]
+    assert len(nameless) == 3 and {None, ""} < set(nameless) and {b, rows[6][1]} & set(nameless)
