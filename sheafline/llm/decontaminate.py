@@ -7,7 +7,9 @@ and test fingerprints are joined and each hit is extended to the window of words
 which is compared as text, so nothing is lost and nothing is matched by hash only.
 
 Defined results: a null or empty text has no words and is never hit; an item without words is
-ignored; items shorter than `window` are one window of their own length; repeated rows get equal
+ignored; an item with a null id hits as any other and is left out of the list `items` alone, and
+op10's n_items counts all such items of a document as one, as its SQL does; items shorter than
+`window` are one window of their own length; repeated rows get equal
 results; extra columns of `docs` pass through, those named like a result are replaced.
 """
 
@@ -65,7 +67,7 @@ def _maybe_broadcast(df: DataFrame, n: int) -> DataFrame:
 def _places(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """Rows (rid, carried columns, n_words, start, n, item_id): n-word windows of items in documents.
 
-    Each document has one more row, with start 0, that carries n_words. posexplode_outer: for
+    Each document has one more row, with start 0, that carries n_words. A hit may have no item_id. posexplode_outer: for
     posexplode, Spark infers a filter on the array and moves it below the projections, where it
     would compute every fingerprint a second time, inside its own lambdas.
     """
@@ -75,6 +77,7 @@ def _places(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     n_tests = tests.count()
     whole = items.select("item_id", "w", F.explode_outer(F.sequence(F.lit(1), F.size("w") - (n - 1))).alias("at"))
     windows = whole.select("item_id", F.array_join(F.slice("w", F.col("at"), n), " ").alias("window")).distinct()
+    windows = windows.withColumn("met", F.lit(True))
     carried = [c for c in docs.columns if c != "w"]
     docs, mark = _fingerprints(docs, n)
     rows = docs.select(*carried, "w", F.posexplode_outer(F.concat(F.array(F.lit(None).cast("long")), mark)).alias("start", "print"))
@@ -83,16 +86,19 @@ def _places(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     window = F.when(F.col("start") > 0, F.array_join(F.slice("w", F.greatest("start", F.lit(1)), n), " "))
     rows = rows.select(*carried, F.size("w").alias("n_words"), "start", window.alias("window"))
     found = rows.join(_maybe_broadcast(windows, n_tests), "window", "left")
-    return found.where((F.col("start") == 0) | F.col("item_id").isNotNull()).select(
+    return found.where((F.col("start") == 0) | F.col("met")).select(
         *carried, "n_words", "start", F.lit(n).alias("n"), "item_id"
     )
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """(rid, carried columns, n_words, n_hit, items) for documents (rid, text, carried columns)."""
+    """(rid, carried columns, n_words, n_hit, items, nameless) for documents (rid, text, carried columns).
+
+    `nameless` is 1 where an item without an id is among the hits, else 0.
+    """
     cut = docs.withColumn("w", words(F.col("text"))).drop("text")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w"))
-    items = items.where((F.size("w") > 0) & F.col("item_id").isNotNull())
+    items = items.where(F.size("w") > 0)
     found = _places(cut, items.where(F.size("w") >= window), window)
     for r in items.where(F.size("w") < window).select(F.size("w").alias("n")).distinct().collect():  # < window rows
         found = found.unionByName(_places(cut, items.where(F.size("w") == r.n), r.n))
@@ -102,6 +108,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> Data
         F.max("n_words").cast("long").alias("n_words"),
         F.sort_array(F.collect_set(F.when(F.col("start") > 0, F.struct("start", "n")))).alias("places"),
         F.sort_array(F.collect_set("item_id")).alias("items"),
+        F.max(((F.col("start") > 0) & F.col("item_id").isNull()).cast("int")).alias("nameless"),
     )
     covered = F.aggregate(
         "places",
@@ -122,7 +129,7 @@ def contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """`docs` with n_words, n_hit, items (sorted strings) and contaminated."""
     rows = docs.drop("n_words", "n_hit", "items", "contaminated").withColumn("__rid", F.xxhash64(F.col(doc_id), F.col(text)))
-    found = hits(rows.select(F.col("__rid").alias("rid"), F.col(text).alias("text")), benchmark, window=window)
+    found = hits(rows.select(F.col("__rid").alias("rid"), F.col(text).alias("text")), benchmark, window=window).drop("nameless")
     return (
         rows.join(found.withColumnRenamed("rid", "__rid"), "__rid")
         .drop("__rid")
@@ -137,7 +144,7 @@ def op10(spark, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_words",
         "n_hit",
-        F.size("items").cast("long").alias("n_items"),
+        (F.size("items") + F.col("nameless")).cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )

@@ -106,3 +106,27 @@ def test_mix_prefers_heavy_documents(spark):
 
 def test_mix_of_nothing(no_docs):
     assert mixing.mix(no_docs).count() == 0
+
+
+def test_items_without_an_id_hit(spark, tmp_path):
+    """Against brute force and the query's SQL, on tables where items and documents have no id."""
+    from sheafline.llm import entry
+
+    secret, other, both = prose(60, 20), prose(61, 20), prose(62, 16)
+    items = [(None, secret), (None, "three short words"), (None, both), (7, both), (8, other), (None, None)]
+    texts = [secret, f"x {secret} y", "and THREE short, words", both, other, f"{secret} {other} three short words", prose(63, 50), "", None]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    cut = [(i, words(t)) for i, t in items]
+    for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect():
+        n, hit, named = brute(r.text, cut)
+        assert (r.n_words, r.n_hit, r["items"]) == (n, hit, [x for x in named if x != "None"]), r.doc_id
+        assert r.contaminated == (hit > 0 and 20 * hit >= n) == (r.doc_id < 6)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["op10_decontaminate"])
+    names = [d[0] for d in want.description]
+    got = entry.queries()["op10_decontaminate"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(want.fetchall()) == sorted(tuple(r) for r in got)
