@@ -19,9 +19,10 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def letter_counts(x: Column) -> Column:
-    """Characters with how often each comes, sorted."""
+    """Characters with how often each comes, sorted; the text is cut up once, not for each character."""
     chars = F.sort_array(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)))
-    return F.transform(F.array_distinct(chars), lambda c: F.struct(c.alias("c"), F.size(F.filter(chars, lambda d: d == c)).alias("n")))
+    counted = lambda of: F.transform(F.array_distinct(of), lambda c: F.struct(c.alias("c"), F.size(F.filter(of, lambda d: d == c)).alias("n")))
+    return F.get(F.transform(F.array(chars), counted), F.lit(0))
 
 
 def ratio_bound(left: Column, right: Column, a: Column, b: Column) -> Column:
