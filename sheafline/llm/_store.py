@@ -7,24 +7,51 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where set, Spark drops a query's shuffle files once the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets one; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sheafline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared folder and read back (compressed, with known sizes)."""
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """Writes `df` to `path` and reads it back; its shuffle files go as soon as it is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if spark.conf.isModifiable(_CLEANUP):
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder and read back (compressed, with known sizes)."""
+    return saved(df, f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}")
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/table-" not in path:
+                continue
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether a written table has at most `rows` rows (answered from Parquet footers)."""
     return df.count() <= rows
