@@ -2,14 +2,16 @@
 
 A page is read as a sequence of words and tags. Every word scores by where it stands (the role of
 its nearest landmark element, inside a link or not), every tag by its name; the scores are log odds
-learned from labelled pages, tags never above a small negative value. One linear scan finds the
-contiguous stretch with the largest total. Inside it, words standing in page furniture (menus,
-adverts, comments, forms and the like) are left out, and the blocks are joined in page order.
+learned from labelled pages, tags never above a small negative value. Page furniture (menus,
+adverts, comments, forms and the like, and what is hidden) is transparent: its words and tags score
+nothing, so it neither joins nor parts what stands around it. One linear scan finds the contiguous
+stretch with the largest total; its words outside furniture are joined in page order.
 
 Defined results: a null or empty page, or one without a positive word, gives an empty text; of two
 stretches with equal scores the first wins; unclosed elements end with their parent; an unclosed
-script, style or comment runs to the end of the page; rows are independent, so repeated pages and
-extra columns need no care.
+script, style or comment runs to the end of the page, as does an unclosed quoted attribute; pages may
+be very long or deeply nested, the time is linear in their length; rows are independent, so repeated
+pages and extra columns need no care.
 """
 
 from __future__ import annotations
@@ -32,49 +34,86 @@ LANDMARKS = {
     "article": "content", "main": "content", "nav": "menu", "menu": "menu", "header": "header", "footer": "footer",
     "aside": "aside", "form": "form", "button": "form", "textarea": "form", "fieldset": "form", "dialog": "notice",
 }
-#: Words of class, id and role attributes that tell what an element is for, most telling first.
+#: Names in class, id and role attributes that tell what an element is for, most telling first.
 NAMED = [
-    ("comment", "comment comments commentlist disqus respond reply replies discussion reader-comments"),
-    ("advert", "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted banner-ad adsense"),
+    ("comment", "comment comments commentlist disqus respond reply replies discussion"),
+    ("advert", "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted adsense"),
     ("menu", "nav navbar navigation menu menubar breadcrumb breadcrumbs toc pagination pager tabs sitemap"),
-    ("notice", "notice cookie cookies consent gdpr popup modal overlay alert newsletter subscribe subscription signup paywall toast banner"),
-    ("aside", "sidebar side aside related recommended widget widgets share sharing social tags recirc complementary"),
-    ("footer", "footer foot copyright colophon contentinfo legal"),
-    ("header", "header masthead topbar branding site-header"),
+    ("notice", "notice cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup paywall toast banner"),
+    ("aside", "sidebar aside related recommended widget widgets share sharing social tags recirc complementary"),
+    ("footer", "footer copyright colophon contentinfo legal"),
+    ("header", "masthead topbar branding"),
     ("form", "form search searchbox login"),
-    ("content", "article content main post entry story body text post-content entry-content article-body main-content story-body"),
+    ("content", "article content main post entry story body text"),
 ]
 ROLE_OF = {word: role for role, names in reversed(NAMED) for word in names.split()}
-ROLES = ("plain", "content", "comment", "advert", "menu", "notice", "aside", "footer", "header", "form")
-
+#: Parts of names that tell nothing of their own.
+GENERIC = frozenset("site page top bottom left right primary secondary global inner outer list box block wrapper wrap container area bar section item items links posts reader user".split())
+#: As the last part of a name, these tell enough whatever stands before.
+TELLING = frozenset("comment comments commentlist ad ads advert nav navbar navigation menu breadcrumb breadcrumbs pagination sidebar footer".split())
+HIDDEN = "hidden"
+ROLES = ("plain", "content", "comment", "advert", "menu", "notice", "aside", "footer", "header", "form", HIDDEN)
+FURNITURE = frozenset(r + s for r in ROLES[2:] for s in ("", "/link"))
+
+# Quotes count only after an equals sign; possessive, so that a tag is read once.
 LEXER = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|</?([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?|=)*+)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-
-
-def role_by_name(attributes: str) -> str | None:
+ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]*+)))?")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+CLOSING = {name: re.compile(rf"</{name}(?![a-z0-9])", re.I | re.A) for name in SKIPPED}
+
+
+def role_of_name(name: str) -> str | None:
+    """The role told by one name; other parts than furniture and generic ones make it tell nothing."""
+    if name in ROLE_OF:
+        return ROLE_OF[name]
+    parts = re.split(r"[-_]+", name)
+    if len(parts) > 1:
+        if parts[-1] in TELLING:
+            return ROLE_OF[parts[-1]]
+        told = [p for p in parts if p not in GENERIC]
+        if told and all(p in ROLE_OF for p in told):
+            roles = {ROLE_OF[p] for p in told}
+            if roles == {"content"} or "content" not in roles:
+                return next(role for role, _ in NAMED if role in roles)
+    return None
+
+
+def role_by_name(attributes: dict[str, str]) -> str | None:
     """The role told by class, id and role attributes."""
-    found = set()
-    for m in ATTRIBUTE.finditer(attributes):
-        for name in re.split(r"\s+", (m[2] or m[3] or m[4] or "").lower()):
-            found.update(ROLE_OF.get(x, "") for x in [name, *re.split(r"[-_]+", name)])
+    found = {role_of_name(name) for key in ("class", "id", "role") for name in attributes.get(key, "").lower().split()}
     return next((role for role, _ in NAMED if role in found), None)
 
 
+def attributes_of(text: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)}
+
+
+def hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(NOT_SHOWN.search(attributes.get("style", "")))
+
+
 def events(page: str) -> Iterator[tuple[str, str, str]]:
-    """("tag", name, "") and ("text", raw text, role) in page order; what is never shown is left out.
+    """("tag", name, role) and ("text", raw text, role) in page order; scripts and the like are left out.
 
     The role is that of the nearest element that has one, with "/link" added inside a link. Content
     elements keep what they hold, save furniture named inside them; a header of an article is content.
     """
     stack: list[tuple[str, str, bool]] = []  # element, role, in a link
-    role, link, at = "plain", False, 0
-    lower = None
+    opened: Counter[str] = Counter()  # elements of the stack by name, so that a stray end tag costs nothing
+    role, link = "plain", False
     pos, end = 0, len(page)
+
+    def pop() -> str:
+        nonlocal role, link
+        name = stack.pop()[0]
+        opened[name] -= 1
+        role, link = (stack[-1][1], stack[-1][2]) if stack else ("plain", False)
+        return name
+
     while pos < end:
         m = LEXER.search(page, pos)
         text_to = m.start() if m else end
@@ -87,55 +126,39 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         name = m[1].lower()
         if m[0][1] == "/":
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if at >= 0:
-                del stack[at:]
-                role, link = (stack[-1][1], stack[-1][2]) if stack else ("plain", False)
-            yield "tag", name, ""
+            if opened[name]:
+                while pop() != name:
+                    pass
+            yield "tag", name, role
             continue
-        attributes = m[2] or ""
-        if name in SKIPPED or (HIDDEN.search(attributes) and name not in VOID and name not in ("body", "html")):
-            if name in SKIPPED or name in ("div", "p", "section", "span", "aside", "form"):
-                lower = page.lower() if lower is None else lower
-                if name in SKIPPED:
-                    close = lower.find(f"</{name}", pos)
-                    if name == "head" and close < 0:
-                        continue
-                else:
-                    close = _closing(lower, name, pos)
-                pos = end if close < 0 else close
-                yield "tag", name, ""
-                continue
-        yield "tag", name, ""
-        if name in VOID:
+        if name in SKIPPED:
+            close = CLOSING[name].search(page, pos)
+            if close or name != "head":
+                pos = close.start() if close else end
+            yield "tag", name, role
             continue
-        if name not in INLINE and stack and stack[-1][0] == "p":  # a block ends an open paragraph
-            stack.pop()
-            role, link = (stack[-1][1], stack[-1][2]) if stack else ("plain", False)
-        if name == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
-            role, link = (stack[-1][1], stack[-1][2]) if stack else ("plain", False)
-        if name in INLINE and name != "a":
+        attributes = attributes_of(m[2]) if m[2] else {}
+        if name not in VOID:
+            if name not in INLINE and stack and stack[-1][0] == "p":  # a block ends an open paragraph
+                pop()
+            if name == "li" and stack and stack[-1][0] == "li":
+                pop()
+        yield "tag", name, role
+        unseen = bool(attributes) and name not in ("html", "body") and hidden(attributes)
+        if name in VOID or (name in INLINE and name != "a" and not unseen):
             continue
         own = LANDMARKS.get(name)
-        if name not in ("html", "body", "article", "main", "a"):
-            own = role_by_name(attributes) or own if attributes else own
+        if attributes and name not in ("html", "body", "article", "main", "a"):
+            own = role_by_name(attributes) or own
         if own == "header" and name == "header" and role == "content":
             own = "content"
         if own == "content" and role not in ("plain", "content", "header"):
             own = role  # content of a comment is a comment
+        if unseen or role == HIDDEN:
+            own = HIDDEN
         role, link = own or role, link or name == "a"
         stack.append((name, role, link))
-
-
-def _closing(lower: str, name: str, pos: int) -> int:
-    """Where the element opened before `pos` is closed, nested ones of its name counted."""
-    depth = 1
-    for m in re.compile(rf"<(/?){name}\b").finditer(lower, pos):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.start()
-    return -1
+        opened[name] += 1
 
 
 #: Labelled pages: what stands between the marks [[ and ]] is main text. More can be passed to fit().
@@ -146,6 +169,9 @@ LABELLED = [
     '<body><div class="cookie-notice">We use cookies to make this better</div><main>[[<h1>News of today</h1><p>Words of the story told in one place.</p><blockquote>Quoted words of somebody who was asked.</blockquote><p>More words.</p><table><tr><td>Cell one</td><td>Cell two</td></tr></table>]]</main><form><label>Your name</label><button>Send</button></form><aside>Most read pages of the week</aside></body>',
     '<body><table><tr><td><a href="1">Menu one</a><br><a href="2">Menu two</a><br><a href="3">Menu three</a></td><td>[[<p>Old layout with tables and text in a cell of it, long enough to count.</p><p>It goes on for another paragraph of plain text.</p>]]</td></tr></table><div class="footer">All rights reserved by us</div></body>',
     '<body><section class="post">[[<p>Post body with words and words and words of it.</p><ul><li>A point made</li><li>Another point made</li></ul><p>Closing words of the post.</p>]]</section><section class="reader-comments"><h3>Comments</h3><div class="comment">First reply of a reader here</div><div class="comment">Second reply</div></section><div class="share"><a href="s">Share this</a></div></body>',
+    '<body><div id="wrapper"><div class="top-bar"><a href="/">Start</a><a href="/shop">Shop</a></div><div class="story-page">[[<h1>Heading of a story</h1><p>First half of the text that people came to read.</p>]]<aside><p>Read this other story too</p></aside>[[<p>Second half of the text with as many words as it needs.</p><pre>code in the text</pre>]]</div><p><a href="/x">Next</a> <a href="/y">Previous</a></p></div></body>',
+    '<body><main>[[<h2>Question</h2><p>Somebody asks how a thing is done and tells what was tried.</p><ol><li>One step of the answer</li><li>Another step of it</li></ol>]]</main><section><h4>Hot network</h4><a href="1">Some link text</a><a href="2">More link text</a><a href="3">Even more link text</a></section></body>',
+    '<body><center><font>Best viewed in any browser</font></center><hr>[[<h1>Notes</h1>Text that stands in no paragraph at all, line by line.<br>It is broken by line breaks only.<br>Here is the last line of it.]]<hr><a href="mailto:x">Mail</a> <a href="/">Up</a></body>',
 ]
 MARK = re.compile(r"\[\[|\]\]")
 #: A tag never scores above this.
@@ -157,6 +183,8 @@ def features(page: str) -> Iterator[tuple[str, bool]]:
     """(feature, is in the main text) for each word and tag of a labelled page."""
     inside = False
     for kind, what, role in events(page):
+        if role in FURNITURE:
+            continue
         if kind == "tag":
             yield f"<{what}", inside
             continue
@@ -171,16 +199,12 @@ def fit(labelled: list[str] = LABELLED) -> dict[str, float]:
     """Log odds of words by role and of tags by name, from a bounded list of labelled pages."""
     counts = Counter(x for page in labelled for x in features(page))
     total = {kind: {b: sum(n for (f, x), n in counts.items() if x == b and f.startswith("<") == kind) for b in (True, False)} for kind in (True, False)}
-    names = {f for f, _ in counts} | {r + s for r in ROLES for s in ("", "/link")}
+    names = {f for f, _ in counts} | {r + s for r in ROLES[:2] for s in ("", "/link")}
     weights = {}
     for f in names:
         tag = f.startswith("<")
         odds = math.log((counts[f, True] + 0.5) / (total[tag][True] + 1) * (total[tag][False] + 1) / (counts[f, False] + 0.5))
         weights[f] = max(-CLIP, min(CLIP, min(odds, TAG_TOP) if tag else odds))
-    for r in ROLES[2:]:  # roles unseen in the labelled pages count as furniture
-        for f in (r, r + "/link"):
-            if not counts[f, True]:
-                weights[f] = min(weights[f], -1.0)
     weights["content/link"] = max(weights["content/link"], 0.0)  # links in running text are text
     return weights
 
@@ -192,6 +216,8 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     run, run_from = 0.0, 0
     found = list(events(page))
     for i, (kind, what, role) in enumerate(found):
+        if role in FURNITURE:
+            continue
         # words between two tags share a score, so the scan moves from tag to tag
         score = weights.get(f"<{what}", TAG_TOP) if kind == "tag" else weights[role] * len(what.split())
         if run <= 0:
@@ -204,7 +230,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         if kind == "tag":
             if what not in INLINE:
                 parts.append(" ")
-        elif weights[role] > 0 or role.startswith(("content", "plain")):
+        elif role not in FURNITURE:
             parts.append(html.unescape(what))
     return " ".join("".join(parts).split())
 
