@@ -1,11 +1,17 @@
 """Secret scan by grammar inference.
 
-Labelled credentials of each format are laid out as a prefix tree, whose states are merged while
-their outgoing frequencies agree within a Hoeffding bound (red and blue states, breadth first). The
-result is one small probabilistic automaton per format. Every candidate token of every text is
-scored by the mean log likelihood of its characters under each automaton, against one automaton
-learned from ordinary tokens; a token is a secret if the best format leads by a margin, the
-automaton has seen each of its transitions, and its length is one that the format has.
+Labelled credentials of each format (labelled_secrets.py, or the caller's own) are laid out as a
+prefix tree, whose states are merged while their outgoing frequencies agree within a Hoeffding bound
+(red and blue states, breadth first; of several red ones the likeliest, never the first). The result is one small
+probabilistic automaton per format, whose states also tell how likely a credential ends there.
+
+Candidates are all stretches of a run of token characters that begin at its start or after what is no
+letter or digit, and end at its end or before one of / . = +, so credentials in paths, hosts and
+assignments are met, whatever their length. One pass over a run scores all of them under an
+automaton: for each state, only the best start is kept. The score is the log likelihood of the
+characters and of ending there, less that of the same characters under the likeliest of the automata
+learned from kinds of ordinary tokens; a stretch is a secret if the score is at least a margin a
+character and no transition is unseen, save for letters and digits in states that have seen many. Of overlapping ones the highest score stays.
 
 Spans are (kind, start, end) in code points, end exclusive. The base kinds are found by pattern
 alone; the automata only add spans (kind "format"), never remove any.
@@ -17,9 +23,9 @@ no care.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
-import random
 import re
 from collections import defaultdict, deque
 
@@ -27,76 +33,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheafline.llm.labelled_secrets import CREDENTIALS, ORDINARY
+
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Characters that a format's credential has at least.
+LEAST = 16
 #: Confidence of the Hoeffding test: a lower value merges more.
 ALPHA = 0.05
 #: Nats a character by which a format must beat ordinary tokens.
 MARGIN = 0.5
-MINIMUM = -math.inf
+#: A state with more different characters admits letters and digits it has not seen.
+VARIED = 6
 END = ""
 
 
-# ---------------------------------------------------------------- labelled credentials
-#: Public credential formats as (name, prefix, alphabet, lengths of the rest).
-UP, LOW, NUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-FORMATS = [
-    ("cloud access key", "AKIA", UP + NUM, (16,)),
-    ("cloud temporary key", "ASIA", UP + NUM, (16,)),
-    ("forge personal token", "ghp_", UP + LOW + NUM, (36,)),
-    ("forge server token", "ghs_", UP + LOW + NUM, (36,)),
-    ("lab personal token", "glpat-", UP + LOW + NUM + "_-", (20,)),
-    ("payment live key", "sk_live_", UP + LOW + NUM, (24, 32)),
-    ("map key", "AIza", UP + LOW + NUM + "_-", (35,)),
-    ("package token", "npm_", UP + LOW + NUM, (36,)),
-    ("mail key", "SG.", UP + LOW + NUM + "_-", (66,)),
-    ("chat bot token", "xoxb-", NUM + LOW, (40, 50)),
-    ("web token", "eyJ", UP + LOW + NUM + "_-", (60, 90, 120)),
-    ("hex digest", "", NUM + "abcdef", (32, 40, 64)),
-]
-
-
-def labelled_credentials(per_format: int = 200, seed: int = 7) -> dict[str, list[str]]:
-    """Labelled examples: `per_format` strings drawn from each public format."""
-    draw = random.Random(seed)
-    return {
-        name: [prefix + "".join(draw.choices(alphabet, k=draw.choice(lengths))) for _ in range(per_format)]
-        for name, prefix, alphabet, lengths in FORMATS
-    }
-
-
-def ordinary_tokens(n: int = 400, seed: int = 8) -> list[str]:
-    """Long tokens that are no credentials: words run together, paths, names, numbers, rules."""
-    draw = random.Random(seed)
-    syllables = "the ing tion er an re on es en or ti ed st al ar te in ou le de per com pro con ment able".split()
-
-    def word() -> str:
-        return "".join(draw.choices(syllables, k=draw.randint(1, 4)))
-
-    makers = [
-        lambda: "".join(word() for _ in range(4)),
-        lambda: "-".join(word() for _ in range(4)),
-        lambda: "_".join(word() for _ in range(4)),
-        lambda: "/".join(word() for _ in range(4)) + draw.choice(["", ".html", ".png"]),
-        lambda: ".".join(word() for _ in range(4)),
-        lambda: "".join(word().capitalize() for _ in range(4)),
-        lambda: word().upper() + "_" + word().upper() + "_" + word().upper(),
-        lambda: "".join(draw.choices(NUM, k=draw.randint(16, 20))),
-        lambda: f"20{draw.randint(10, 29)}-{draw.randint(1, 12):02d}-{draw.randint(1, 28):02d}/{word()}-{draw.randint(0, 999)}",
-        lambda: draw.choice("=-_.") * draw.randint(16, 60),
-    ]
-    return [draw.choice(makers)().ljust(16, "e") for _ in range(n)]
-
-
 # ---------------------------------------------------------------- automata
 class Automaton:
     """A probabilistic automaton inferred from strings by merging prefix-tree states."""
 
-    def __init__(self, strings: list[str], alpha: float = ALPHA, smooth: float = 1e-4):
+    def __init__(self, strings: list[str], alpha: float = ALPHA):
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [defaultdict(int)]
         for s in strings:
@@ -111,8 +70,13 @@ class Automaton:
             self.count[state][END] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
-        self.lengths = (min(map(len, strings)), max(map(len, strings)))
-        self.logs = {q: self._log(q, smooth) for q in self.states}
+        self.logs = {q: self._log(q) for q in self.states}
+        visits = {q: sum(self.count[q].values()) for q in self.states}
+        self.most = {q: max(self.next[q].values(), key=visits.get, default=q) for q in self.states}
+
+    def admits(self, state: int, ch: str) -> bool:
+        """Whether a credential may go on so: a character seen here, or any letter or digit where many have been seen."""
+        return ch in self.next[state] or (len(self.next[state]) > VARIED and (ch.isalnum() or ch in "-_"))
 
     def _alike(self, a: int, b: int) -> bool:
         """Whether no frequency below the two states tells them apart."""
@@ -123,8 +87,6 @@ class Automaton:
             if not n or not m:
                 continue
             most = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-            if most >= 1:
-                continue
             for ch in {*self.count[a], *self.count[b]}:
                 if abs(self.count[a].get(ch, 0) / n - self.count[b].get(ch, 0) / m) > most:
                     return False
@@ -132,6 +94,17 @@ class Automaton:
                     todo.append((self.next[a][ch], self.next[b][ch]))
         return True
 
+    def _fits(self, red: int, blue: int) -> float:
+        """Log likelihood of all that was seen below `blue` if it went on from `red`, often visited ones being likelier."""
+        todo, total = [(red, blue)], sum(self.count[blue].values()) * math.log(sum(self.count[red].values()))
+        while todo:
+            a, b = todo.pop()
+            n = sum(self.count[a].values())
+            for ch, m in self.count[b].items():
+                total += m * math.log((self.count[a].get(ch, 0) + 0.05) / (n + 5))
+            todo += [(self.next[a].get(ch, red), child) for ch, child in self.next[b].items()]
+        return total
+
     def _fold(self, a: int, b: int) -> None:
         """Adds the tree below b to a."""
         todo = [(a, b)]
@@ -153,7 +126,7 @@ class Automaton:
             state = self.next[parent][ch]
             if state in known:
                 continue
-            like = next((r for r in red if self._alike(r, state)), None)
+            like = max((r for r in red[1:] if self._alike(r, state)), key=lambda r: self._fits(r, state), default=None)
             if like is None:
                 red.append(state)
                 known.add(state)
@@ -164,40 +137,79 @@ class Automaton:
                 blue.extend((r, c) for r in red for c in sorted(self.next[r]) if self.next[r][c] not in known)
         self.states = red
 
-    def _log(self, state: int, smooth: float) -> dict[str, float]:
-        total = sum(self.count[state].values())
-        kept = {ch: math.log((n + smooth) / (total + 100 * smooth)) for ch, n in self.count[state].items()}
-        kept[None] = math.log(smooth / (total + 100 * smooth))
+    def _log(self, state: int) -> dict[str, float]:
+        """Log probabilities; the mass of the unseen grows with the number of different characters seen."""
+        seen = self.count[state]
+        total = sum(seen.values()) + len(seen)
+        kept = {ch: math.log(n / total) for ch, n in seen.items()}
+        kept[None] = math.log(len(seen) / total / 95)
         return kept
 
-    def score(self, s: str) -> float:
-        """Mean log likelihood of the characters; one never seen in a state costs much and stays there."""
-        state, total = 0, 0.0
-        for ch in s:
-            logs = self.logs[state]
-            p = logs.get(ch)
-            if p is None:
-                total += logs[None]
-            else:
-                total += p
-                state = self.next[state][ch]
-        return total / max(1, len(s))
+    def step(self, state: int, ch: str) -> tuple[float, int]:
+        """(log likelihood, next state); after an unseen character the most visited one that follows."""
+        p = self.logs[state].get(ch)
+        return (self.logs[state][None], self.most[state]) if p is None else (p, self.next[state][ch])
 
 
 class Scanner:
     """Automata of every format and the one of ordinary tokens (a few hundred states in all)."""
 
-    def __init__(self, labelled: dict[str, list[str]] | None = None, ordinary: list[str] | None = None, margin: float = MARGIN):
-        self.formats = {k: Automaton(v) for k, v in (labelled or labelled_credentials()).items()}
-        self.ordinary = Automaton(ordinary or ordinary_tokens())
+    def __init__(self, labelled: dict[str, list[str]] | None = None, ordinary: dict[str, list[str]] | None = None, margin: float = MARGIN):
+        self.formats = {k: Automaton(v) for k, v in (labelled or CREDENTIALS).items()}
+        self.ordinary = [Automaton(v) for v in (ordinary or ORDINARY).values()]
         self.margin = margin
 
+    def plain(self, run: str) -> list[list[float]]:
+        """For each ordinary kind, the log likelihood of the first characters of a run."""
+        out = []
+        for a in self.ordinary:
+            state, total, upto = 0, 0.0, [0.0]
+            for ch in run:
+                p, state = a.step(state, ch)
+                total += p
+                upto.append(total)
+            out.append(upto)
+        return out
+
+    def credentials(self, run: str) -> list[tuple[int, int]]:
+        """(start, end) of the credentials in a run of token characters."""
+        plain = self.plain(run)
+        guide = max(plain, key=lambda upto: upto[-1])
+        starts = [True, *(not a.isalnum() for a in run[:-1])]  # after what is no letter or digit
+        ends = [*(b in "/.=+" for b in run[1:]), True]
+        found = []
+        for a in self.formats.values():
+            live: dict[int, tuple[float, int]] = {}  # state -> best score and its start
+            for i, ch in enumerate(run):
+                if starts[i] and a.admits(0, ch) and (0 not in live or live[0][0] < 0):
+                    live[0] = (0.0, i)
+                if not live:
+                    continue
+                now: dict[int, tuple[float, int]] = {}
+                for state, (score, start) in live.items():
+                    if a.admits(state, ch):
+                        p, to = a.step(state, ch)
+                        value = score + p - guide[i + 1] + guide[i]
+                        if to not in now or now[to][0] < value:
+                            now[to] = (value, start)
+                live = now
+                if ends[i]:
+                    for state, (score, start) in live.items():
+                        score += a.logs[state].get(END, a.logs[state][None]) + guide[i + 1] - guide[start]
+                        score -= max(upto[i + 1] - upto[start] for upto in plain)
+                        if i + 1 - start >= LEAST and score >= self.margin * (i + 1 - start):
+                            found.append((score, start, i + 1))
+        kept: list[tuple[int, int]] = []
+        upto: list[int] = []  # starts and ends in turn, of what is kept
+        for _, start, end in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+            at = bisect.bisect_right(upto, start)
+            if at % 2 == 0 and bisect.bisect_left(upto, end) == at:
+                upto[at:at] = [start, end]
+                kept.append((start, end))
+        return kept
+
     def is_secret(self, token: str) -> bool:
-        best = max(
-            (a.score(token) for a in self.formats.values() if a.lengths[0] <= len(token) <= a.lengths[1]),
-            default=MINIMUM,
-        )
-        return best > MINIMUM and best - self.ordinary.score(token) >= self.margin
+        return (0, len(token)) in self.credentials(token)
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """(start, number of the kind, end), sorted."""
@@ -208,16 +220,8 @@ class Scanner:
             found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        for m in CANDIDATE.finditer(text):
-            token, start = m[0], m.start()
-            if token.isalpha() and (token.islower() or token.istitle()):
-                continue  # a plain word: the ordinary automaton wins at every length
-            while token and token[-1] in ".=-/+":
-                token = token[:-1]
-            cut = token.rfind("=") + 1  # name=value
-            token, start = token[cut:], start + cut
-            if len(token) >= 16 and self.is_secret(token):
-                found.append((start, 3, start + len(token)))
+        for m in RUN.finditer(text):
+            found += [(m.start() + a, 3, m.start() + b) for a, b in self.credentials(m[0])]
         return sorted(found)
 
 
