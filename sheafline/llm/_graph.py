@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm._store import written
+from sheafline.llm._store import dropped, written
 
 
 def labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -24,23 +24,38 @@ def labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
+#: Nodes with at least this part of all edges are broadcast: at most HOT of either end.
+HOT = 1000
+
+
+def _with_least(edges: DataFrame, key: str, value: str, total: int) -> DataFrame:
+    """`edges` with m, the smallest `value` of its `key`; keys with very many edges are not shuffled."""
+    least = edges.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("n"))
+    limit = max(1000, -(-total // HOT))
+    hot = least.where(F.col("n") >= limit).select(key, F.col("m").alias("__hot"))
+    told = edges.join(F.broadcast(hot), key, "left")
+    rest = least.where(F.col("n") < limit).select(key, "m")
+    found = told.where("__hot IS NULL").drop("__hot").join(rest, key)
+    return found.unionByName(told.where("__hot IS NOT NULL").withColumnRenamed("__hot", "m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b long): root is the smallest node it reaches.
 
     Large-star and small-star steps in turn until nothing changes, O(log n) rounds of two
-    aggregations each. Sums per node are combined before the shuffle; a node with many edges only
-    meets them in joins, which adaptive execution splits. Each round cuts its lineage.
+    aggregations each. Sums per node are combined before the shuffle; what they tell of nodes with a
+    thousandth of all edges is broadcast, of the others joined. Each round cuts its lineage.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     print_of = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
     before = e.agg(*print_of).first()
     while before.n:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = written(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct())
+        large = _with_least(both, "u", "v", before.n).where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).distinct()
+        low = written(_with_least(large, "a", "b", before.n))
+        small = low.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last, e = e, written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        dropped(last, low)
         now = e.agg(*print_of).first()
         if now == before:
             break

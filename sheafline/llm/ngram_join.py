@@ -22,7 +22,8 @@ that with the smallest key; null ids come last, so a row without an id is linked
 kept only where no row of its component has an id (component_id is null there); other columns pass
 through untouched.
 
-Rows are told apart by a key of their own, a digest of id and text, and not by their id.
+Rows are told apart by a key of their own, a digest of id and text, and not by their id; equal word
+sequences meet by 128 bits.
 """
 
 from __future__ import annotations
@@ -69,15 +70,16 @@ def _starts(row: np.ndarray) -> np.ndarray:
 
 
 def grams(column: pa.Array, n: int = N) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For chunks of rows: (lo, hi, row of each gram sorted, gram, words per row, digest per row)."""
+    """For chunks of rows: (lo, hi, row of each gram sorted, gram, words per row, two digests per row)."""
     for lo, hi, row, words in A.word_hashes(column, A.NOT_WORD):
         count = np.bincount(row, minlength=hi - lo)
-        digest = np.zeros(hi - lo, dtype=np.uint64)
+        digest = np.zeros((2, hi - lo), dtype=np.uint64)
         if len(row):
             at = np.arange(len(row)) - np.concatenate([[0], np.cumsum(count)[:-1]])[row]
-            placed = A.mixed(words + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
             starts = _starts(row)
-            digest[row[starts]] = A.mixed(np.add.reduceat(placed, starts) + count[row[starts]].astype(np.uint64))
+            for k, factor in enumerate((0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)):
+                placed = A.mixed(words + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(factor))
+                digest[k, row[starts]] = A.mixed(np.add.reduceat(placed, starts) + count[row[starts]].astype(np.uint64))
         g_row, g = A.run_hashes(row, words, n)
         if len(g_row) and (g_row[1:] < g_row[:-1]).any():
             order = np.argsort(g_row, kind="stable")
@@ -91,7 +93,7 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def _sketch(batches):
-    """(doc_id, key, row, words, class, tokens) of (doc_id, key, row, text)."""
+    """(doc_id, key, row, words, one, two, tokens) of (doc_id, key, row, text)."""
     for batch in batches:
         for lo, hi, row, g, count, digest in grams(batch.column("text")):
             tokens = np.zeros((hi - lo, TOKENS), dtype=np.uint32)
@@ -103,22 +105,14 @@ def _sketch(batches):
                 [
                     *[batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "key", "row")],
                     pa.array(count.astype(np.int32)),
-                    pa.array(digest),
+                    pa.array(digest[0]),
+                    pa.array(digest[1]),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo) * TOKENS + 1, TOKENS, dtype=np.int32)), pa.array(tokens.view(np.int32).ravel())),
                 ],
-                ["doc_id", "key", "row", "words", "class", "tokens"],
+                ["doc_id", "key", "row", "words", "one", "two", "tokens"],
             )
 
 
-def _of_classes(batches):
-    """(class, text), each class of a batch once."""
-    for batch in batches:
-        for lo, hi, _, _, count, digest in grams(batch.column("text")):
-            some = np.flatnonzero(count)
-            classes, at = np.unique(digest[some], return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(classes), batch.column("text").slice(lo, hi - lo).take(pa.array(some[at]))], ["class", "text"])
-
-
 def _gathered(batches, key: str):
     """Rows of a partition sorted by `key`, as tables that hold whole keys."""
     kept: list[pa.RecordBatch] = []
@@ -223,7 +217,7 @@ def candidates(classes: DataFrame, recall: float = RECALL, leaf: int = LEAF) ->
 
 
 def _sets(batches):
-    """(group, comp, n_group, class, size, grams sorted and distinct) of (comp, size..., class, text)."""
+    """(comp, n_comp, class, size, grams sorted and distinct) of (comp, n_comp, class, size, one, two, text)."""
     for batch in batches:
         for lo, hi, row, g, _, digest in grams(batch.column("text")):
             part = batch.slice(lo, hi - lo)
@@ -234,7 +228,7 @@ def _sets(batches):
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
             sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(g.view(np.int64)))
             out = pa.RecordBatch.from_arrays([part.column("comp"), part.column("n_comp"), part.column("class"), part.column("size"), sets], ["comp", "n_comp", "class", "size", "grams"])
-            yield out.filter(pa.array(part.column("class").to_numpy() == digest))
+            yield out.filter(pa.array((part.column("one").to_numpy() == digest[0]) & (part.column("two").to_numpy() == digest[1])))
 
 
 def _verify(threshold: float):
@@ -297,27 +291,21 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
     numbered = slim.withColumn("row", F.monotonically_increasing_id())  # tells equal rows apart once it is written
-    sketch = written(numbered.mapInArrow(_sketch, "doc_id long, key long, row long, words int, class long, tokens array<int>"))
+    sketch = written(numbered.mapInArrow(_sketch, "doc_id long, key long, row long, words int, one long, two long, tokens array<int>"))
     classes = written(
-        sketch.where("words > 0").groupBy("class").agg(
-            F.min("doc_id").alias("first_id"),
+        sketch.where("words > 0").groupBy("one", "two").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "row")).alias("first"),
             F.count(F.lit(1)).alias("size"),
             F.first("tokens").alias("tokens"),
-        )
-    )
+        ).withColumn("class", F.monotonically_increasing_id())
+    )
     groups = components(candidates(classes.select("class", "tokens"), recall))
     n_group = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n_comp"))
     members = groups.join(n_group, "root").select(F.col("node").alias("class"), F.col("root").alias("comp"), "n_comp")
-    members = members.join(classes.drop("tokens", "first"), "class")
-    wanted = ("comp", "n_comp", "class", "size", "text")
-    named = members.where(F.col("first_id").isNotNull())
-    texts = slim.join(named.hint("shuffle_hash"), F.col("doc_id") == F.col("first_id")).select(*wanted)
-    nameless = members.where(F.col("first_id").isNull())
-    # classes of which no row has an id: copies are dropped before they are dealt out
-    of_class = slim.where(F.col("doc_id").isNull()).select("text").mapInArrow(_of_classes, "class long, text string")
-    texts = texts.unionByName(of_class.dropDuplicates(["class"]).join(nameless, "class").select(*wanted))
-    sets = texts.mapInArrow(
+    members = members.join(classes.select("class", "one", "two", "size", F.col("first.key").alias("of")), "class")
+    # a text of each class, by the key of its first row; equal rows share it and count once
+    texts = slim.select("key", "text").join(members.hint("shuffle_hash"), F.col("key") == F.col("of"))
+    sets = texts.select("comp", "n_comp", "class", "size", "one", "two", "text").mapInArrow(
         _sets, "comp long, n_comp long, class long, size long, grams array<long>"
     )
     n = F.ceil(F.col("n_comp") / BLOCK).cast("int")
@@ -338,9 +326,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     known = known.withColumn("root", F.coalesce("root", "class"))
     named = known.groupBy("root").agg(F.min("first").alias("kept"))
     known = known.join(named, "root").select(
-        "class", F.col("kept.doc_id").alias("component_id"), F.col("kept.key").alias("kept_key"), F.col("kept.row").alias("kept_row"), (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
+        "one", "two", "class", F.col("kept.doc_id").alias("component_id"), F.col("kept.key").alias("kept_key"), F.col("kept.row").alias("kept_row"), (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
     )
-    return sketch.drop("tokens").join(known, "class", "left").select(
+    return sketch.drop("tokens").join(known, ["one", "two"], "left").select(
         "doc_id",
         "key",
         "class",
