@@ -45,7 +45,7 @@ def dropped(*tables: DataFrame) -> None:
     """Removes written tables that nothing reads any more."""
     for df in tables:
         spark = df.sparkSession
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:  # its own folder, or those it is derived from
             if "/table-" not in path:
                 continue
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
