@@ -199,7 +199,9 @@ def quote_balance(x: Column) -> Column:
 
 
 def looks_corrupt(title: Column) -> Column:
-    return _or([F.coalesce(F.trim(title), F.lit("")) == "", title.rlike(r"\?{2,}"), F.contains(title, F.lit("�"))])
+    """Empty, the bare word for context, or with question marks and no Cyrillic letter."""
+    s = F.trim(F.coalesce(title, F.lit("")))
+    return s.isin("") | (F.lower(s) == "контекст") | (F.contains(s, F.lit("?")) & ~F.lower(s).rlike("[а-яё]"))
 
 
 def title_tokens(x: Column) -> Column:

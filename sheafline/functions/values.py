@@ -43,7 +43,8 @@ def century_distractors(number: Column) -> Column:
 
 
 def year_distractors(year: Column) -> Column:
-    return F.slice(F.array(*[year + d for d in (-1, 1, -5, 5, -10, 10)]), F.lit(1), F.lit(3))
+    """Three neighbours of a year, all positive."""
+    return F.slice(F.filter(F.array(*[year + d for d in (-1, 1, 5, -5, 10, -10)]), lambda x: x > 0), F.lit(1), F.lit(3))
 
 
 ROMAN = ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheafline.plans import items, sequences
+from sheafline.plans import items, quizzes, sequences
 
-QUERIES: dict = {**items.QUERIES, **sequences.QUERIES}
-ORACLES: dict[str, str] = {**items.ORACLES, **sequences.ORACLES}
+QUERIES: dict = {**items.QUERIES, **sequences.QUERIES, **quizzes.QUERIES}
+ORACLES: dict[str, str] = {**items.ORACLES, **sequences.ORACLES, **quizzes.ORACLES}
