@@ -139,7 +139,7 @@ def option_parts(x: Column) -> Column:
     """Texts of all options on one line; empty unless the line starts with an option label."""
     mark = r"(?iU)(?<!\w)[AАBВCСDД](?:\)|\.\s+)\s*"
     s = collapse(x)
-    parts = F.filter(F.transform(F.split(s, mark), F.trim), lambda p: F.length(p) > 0)
+    parts = F.filter(F.transform(F.split(s, mark), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     return F.when(s.rlike("^" + mark), parts).otherwise(F.array().cast("array<string>"))
 
 

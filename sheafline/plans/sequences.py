@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheafline.functions import text as T
 from sheafline.operators import gate, ledger, merge, ordered
 from sheafline.plans.items import table
 
@@ -79,7 +80,8 @@ def nearest_anchor(spark, sf_dir):
 def conditional_propagation(spark, sf_dir):
     """A turn inherits the context if it shares a long word of it, or refers to it."""
     c = ordered.carry_forward(conversations(spark, sf_dir), UNIT, ORDER, F.lower("text"), F.col("role") == "system", F.lit(False), "context")
-    inherits = F.col("context").isNotNull() & (F.contains(F.lower("text"), F.lit("this")) | F.contains("context", F.substring(F.lower("text"), 1, 5)))
+    low = F.lower("text")
+    inherits = F.col("context").isNotNull() & (F.contains(low, F.lit("this")) | F.exists(T.title_tokens(F.col("context")), lambda t: F.contains(low, t)))
     return c.where("role = 'user'").select("conv_id", "turn", inherits.alias("inherits"))
 
 
@@ -257,7 +259,7 @@ e AS (SELECT pos, (pos - 1) // 240 AS owner, unnest(generate_series((pos - 1) //
 SELECT CAST(chunk AS INTEGER) AS chunk, count(*) AS seen, count(*) FILTER (owner = chunk) AS owned FROM e GROUP BY 1""",
     "nearest_anchor": """SELECT c.conv_id, c.turn, coalesce(min(a.turn) FILTER (a.turn BETWEEN c.turn AND c.turn + 8), max(a.turn) FILTER (a.turn BETWEEN c.turn - 5 AND c.turn - 1)) AS anchor
 FROM conversations c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.role = 'assistant' GROUP BY 1, 2""",
-    "conditional_propagation": "SELECT conv_id, turn, context IS NOT NULL AND (contains(lower(text), 'this') OR contains(context, left(lower(text), 5))) AS inherits FROM (SELECT *, " + _CARRIED.format(v="CASE WHEN role = 'system' THEN lower(text) END") + " AS context FROM conversations) WHERE role = 'user'",
+    "conditional_propagation": "SELECT conv_id, turn, context IS NOT NULL AND (contains(lower(text), 'this') OR len(list_filter(regexp_extract_all(context, '[" + T.LETTER + "]+'), lambda t: length(t) >= 5 AND contains(lower(text), t))) > 0) AS inherits FROM (SELECT *, " + _CARRIED.format(v="CASE WHEN role = 'system' THEN lower(text) END") + " AS context FROM conversations) WHERE role = 'user'",
     "disambiguate_duplicates": """SELECT p_partkey, CASE WHEN n > 1 THEN p_name || ' (контекст ' || n || ')' ELSE p_name END AS title
 FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n FROM part)""",
     "decision_join": ISSUES_SQL + 'SELECT source, code, idx AS "index", severity, action, resolved FROM o',

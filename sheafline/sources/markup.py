@@ -24,7 +24,7 @@ def _sum(flag: Column, unit: str) -> Column:
 
 def meta_map(meta: Column) -> Column:
     """The key=value parts of a header as a map."""
-    pairs = F.filter(F.transform(F.split(meta, r"\s*\|\s*"), F.trim), lambda p: F.contains(p, F.lit("=")))
+    pairs = F.filter(F.transform(F.split(meta, r"\s*\|\s*"), lambda p: F.trim(p)), lambda p: F.contains(p, F.lit("=")))
     return F.map_from_entries(
         F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)), F.trim(F.regexp_replace(p, "^[^=]*=", ""))))
     )
@@ -108,6 +108,60 @@ def marker_issues(lines: DataFrame, unit: str) -> DataFrame:
     return rows.select(unit, "pos", code.alias("code")).where("code IS NOT NULL")
 
 
+def strict_issues(lines: DataFrame, unit: str) -> DataFrame:
+    """(unit, pos, code, severity) of all that the marker grammar has no place for, told at the marker that opens it.
+
+    A block runs from its marker to its end marker, or without one to the next opening marker or the
+    end of the file, which is an error. Questions need a text, two options with texts and an answer;
+    those of a question without an end are not told.
+    """
+    s = F.trim("line")
+    opens = s.isin("#CONTEXT", "#Q") | s.startswith("#SECTION") | (s == "#RESET_CONTEXT")
+    closes = s.isin("#END_CONTEXT", "#END_Q")
+    rows = lines.withColumn("s", s).withColumn("opens", opens).withColumn("closes", closes)
+    rows = rows.withColumn("item", _sum(F.col("opens"), unit)).where("s <> ''")
+    within = Window.partitionBy(unit, "item").orderBy("pos")
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("start", F.first("s").over(upto)).withColumn("start", F.when(F.col("item") > 0, F.col("start")))
+    rows = rows.withColumn("ended", F.coalesce(F.sum(F.col("closes").cast("int")).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0)
+    rows = rows.withColumn("nth", F.sum(F.col("s").isin("#A", "#A*").cast("int")).over(upto))
+    rows = rows.withColumn("part", F.last(F.when(F.col("s").startswith("#"), F.col("s")), ignorenulls=True).over(upto))
+    in_block = F.coalesce(F.col("start").isin("#CONTEXT", "#Q") & ~F.col("ended"), F.lit(False))
+    marker = F.col("s").startswith("#")
+    title = F.col("start").startswith("#SECTION") & (F.trim(F.regexp_replace("start", "^#SECTION:?", "")) == "")
+    after_title = F.coalesce(title & (F.lag("s").over(within) == F.col("start")) & ~marker, F.lit(False))
+    lone = (
+        F.when(F.col("s").startswith("#SECTION") & ~F.col("s").rlike("^#SECTION(:|$)"), "strict_section_marker_invalid")
+        .when(marker & ~F.col("s").isin(*MARKERS) & ~F.col("s").startswith("#SECTION") & in_block & (F.col("start") == "#Q"), "strict_unknown_marker_in_question")
+        .when(marker & ~F.col("s").isin(*MARKERS) & ~F.col("s").startswith("#SECTION"), "strict_unknown_marker")
+        .when(~marker & ~in_block & ~after_title, "strict_text_outside_block")
+    )
+    single = rows.select(unit, "pos", lone.alias("code"), F.lit("error").alias("severity")).where("code IS NOT NULL")
+    say = ~marker & ~F.col("ended")
+    blocks = rows.where("item > 0").groupBy(unit, "item", "start").agg(
+        F.min("pos").alias("pos"), F.bool_or("closes").alias("closed"), F.max("nth").alias("options"), F.bool_or(F.col("s") == "#A*").alias("answered"),
+        F.count_if(say & (F.col("part") == F.col("start"))).alias("said"), F.count_if(~marker).alias("any_text"),
+        F.count_distinct(F.when(say & F.col("part").isin("#A", "#A*"), F.col("nth"))).alias("filled"),
+    )
+    q, c = F.col("start") == "#Q", F.col("start") == "#CONTEXT"
+    section = F.col("start").rlike("^#SECTION(:|$)") & (F.trim(F.regexp_replace("start", "^#SECTION:?", "")) == "") & (F.col("any_text") == 0)
+    told = lambda when, code, severity="error": F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
+    whole = q & F.col("closed")
+    found = F.array_compact(
+        F.array(
+            told(section, "strict_section_title_empty"),
+            told(c & ~F.col("closed"), "strict_context_missing_end"),
+            told(c & F.col("closed") & (F.col("said") == 0), "strict_context_empty", "warning"),
+            told(q & ~F.col("closed"), "strict_question_missing_end"),
+            told(whole & (F.col("said") == 0), "question_text_empty"),
+            told(whole & (F.col("filled") < F.col("options")), "option_text_empty"),
+            told(whole & (F.col("options") < 2), "too_few_options"),
+            told(whole & ~F.col("answered"), "answer_missing"),
+        )
+    )
+    return single.unionByName(blocks.select(unit, "pos", F.inline(found)))
+
+
 def option_runs(blocks: DataFrame, unit: str) -> DataFrame:
     """(unit, question, options, answers, answer_line): a block followed by two or more option blocks.
 
