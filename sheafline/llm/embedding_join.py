@@ -11,7 +11,8 @@ a pair at the threshold shares a cell with the target probability. The number of
 the logarithm of the number of vectors, the number of repeats slowly with it. A cell that is far
 too large is compared in blocks, whole. A pair counts in the first cell that it shares.
 
-Equal vectors are one class with a representative; links are counted with class sizes.
+A cell travels with its vectors alone; the cells of other repeats are worked out where they are
+needed. Equal vectors are one class with a representative; links are counted with class sizes.
 
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components link
 with nothing and are their own component; vectors of different lengths never link; repeated rows
@@ -68,26 +69,30 @@ def _rows(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def cells_of(x: np.ndarray, signs: int, repeats: int) -> np.ndarray:
+    """The cell of each row of x in each repeat."""
+    n, dim = x.shape
+    if not signs:
+        return np.zeros((n, repeats), dtype=np.int64)
+    bits = (x.astype(np.float32) @ directions(dim, signs * repeats, 1) > 0).reshape(n, repeats, signs)
+    return (bits * (1 << np.arange(signs, dtype=np.int64))).sum(2)
+
+
 def _deal(signs: int, repeats: int):
-    """(class, size, dim, v) -> a row for each cell, with the list of all its cells."""
-    powers = (1 << np.arange(max(signs, 1), dtype=np.int64))[: max(signs, 1)]
+    """(class, size, dim, v) -> a row for each cell, named by repeat, dimension and signs."""
 
     def run(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                x = _rows(part.column("v"), dim)
-                n = len(x)
-                bits = (x @ directions(dim, max(signs * repeats, 1), 1) > 0).reshape(n, -1)
-                bits = bits.reshape(n, repeats, signs) if signs else np.zeros((n, repeats, 1), dtype=bool)
-                cells = (bits * powers).sum(2) + (np.arange(repeats, dtype=np.int64) << 40) + (np.int64(dim) << 48)
-                take = pa.array(np.repeat(np.arange(n), repeats))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * repeats + 1, repeats, dtype=np.int32)), pa.array(cells.ravel()))
-                rows = part.take(take)
+                cells = cells_of(_rows(part.column("v"), dim), signs, repeats)
+                n = len(cells)
+                rows = part.take(pa.array(np.repeat(np.arange(n), repeats)))
+                repeat = pa.array(np.tile(np.arange(repeats, dtype=np.int32), n))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.ravel()), rows.column("class"), rows.column("size"), rows.column("dim"), lists.take(take), rows.column("v")],
-                    ["cell", "class", "size", "dim", "cells", "v"],
+                    [repeat, pa.array(cells.ravel()), rows.column("class"), rows.column("size"), rows.column("dim"), rows.column("v")],
+                    ["repeat", "cell", "class", "size", "dim", "v"],
                 )
 
     return run
@@ -113,24 +118,26 @@ def collisions(x: np.ndarray, half: float = HALF_WIDTH, m: int = PROJECTIONS) ->
     return count.reshape(n, n)
 
 
-def _count_and_verify(cosine: float):
+def _count_and_verify(cosine: float, signs: int, repeats: int):
     least = least_count(cosine=cosine)
 
     def run(batches):
         for table in _gathered(batches, "group"):
             keys = table.column("group").to_numpy()
-            ids, size, cell, own, dims = (table.column(c).to_numpy() for c in ("class", "size", "cell", "own", "dim"))
-            vectors, cells = table.column("v").combine_chunks(), table.column("cells").combine_chunks()
+            ids, size, repeat, own, dims = (table.column(c).to_numpy() for c in ("class", "size", "repeat", "own", "dim"))
+            vectors = table.column("v").combine_chunks()
             for lo, hi in _groups(keys):
                 if hi - lo < 2:
                     continue
-                x = _rows(vectors.slice(lo, hi - lo), int(dims[lo])).astype(np.float64)
-                all_cells = _rows(cells.slice(lo, hi - lo), len(cells[lo]))
+                single = _rows(vectors.slice(lo, hi - lo), int(dims[lo]))
+                x = single.astype(np.float64)
                 norm = np.sqrt((x * x).sum(1))
                 i, j = np.nonzero(collisions(x / norm[:, None]) >= least)
                 if len(i):
-                    same = all_cells[i] == all_cells[j]
-                    mine = same.argmax(1) == np.argmax(all_cells[0] == cell[lo])  # the first cell they share
+                    mine = np.ones(len(i), dtype=bool)
+                    if repeat[lo]:  # a pair counts in the first repeat in which it shares a cell
+                        before = cells_of(single, signs, repeats)[:, : repeat[lo]]
+                        mine = ~(before[i] == before[j]).any(1)
                     if len(np.unique(own[lo:hi])) > 1:  # a pair of one block counts in the block's own group
                         mine &= own[lo:hi][i] != own[lo:hi][j]
                     i, j = i[mine], j[mine]
@@ -155,32 +162,34 @@ def near_duplicates(rows: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
     every = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(valid, F.col(embedding)).alias("v"))
-    # equal vectors meet by digest, 0.0 and -0.0 alike
-    every = every.withColumn("class", F.when(F.col("v").isNotNull(), F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0).cast("float")))))
+    # equal vectors meet by 128 bits, 0.0 and -0.0 alike
+    plain = F.transform("v", lambda x: x + F.lit(0.0).cast("float"))
+    every = every.withColumn("one", F.when(F.col("v").isNotNull(), F.xxhash64(plain))).withColumn("two", F.xxhash64(F.lit(1), plain))
     classes = written(
-        every.where("class IS NOT NULL").groupBy("class").agg(
+        every.where("one IS NOT NULL").groupBy("one", "two").agg(
             F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.first("v").alias("v")
-        ).withColumn("dim", F.size("v"))
+        ).withColumns({"dim": F.size("v"), "class": F.monotonically_increasing_id()})
     )
     signs, repeats = layout(classes.count(), cosine)
     dealt = classes.select("class", "size", "dim", "v").mapInArrow(
-        _deal(signs, repeats), "cell long, class long, size long, dim int, cells array<long>, v array<float>"
+        _deal(signs, repeats), "repeat int, cell long, class long, size long, dim int, v array<float>"
     )
-    large = written(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGEST))
+    keys = ["repeat", "dim", "cell"]
+    large = written(dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGEST))
     if large.head(1):
-        dealt = dealt.join(large, "cell", "left")
+        dealt = dealt.join(large, keys, "left")
     else:
         dealt = dealt.withColumn("n", F.lit(None).cast("long"))
     blocks = F.when(F.col("n").isNull(), F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / LARGEST).cast("int"))
     dealt = dealt.withColumn("blocks", blocks)
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("class", F.lit(3)), F.col("blocks").cast("long")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("group", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = dealt.withColumn("group", F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other")))
     links = written(
-        dealt.select("group", "cell", "class", "size", "dim", "own", "cells", "v")
+        dealt.select("group", "repeat", "class", "size", "dim", "own", "v")
         .repartition("group")
         .sortWithinPartitions("group")
-        .mapInArrow(_count_and_verify(cosine), "class long, linked long, root long")
+        .mapInArrow(_count_and_verify(cosine, signs, repeats), "class long, linked long, root long")
     )
     root = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy("class").agg(F.sum("linked").alias("linked"))
@@ -188,9 +197,9 @@ def near_duplicates(rows: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     known = known.withColumn("root", F.coalesce("root", "class"))
     named = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = known.join(named, "root").select(
-        "class", "component_id", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
+        "one", "two", "component_id", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
     )
-    return every.drop("v").join(known, "class", "left").select(
+    return every.drop("v").join(known, ["one", "two"], "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
