@@ -9,7 +9,7 @@ bytes whose occurrences differ in the byte before them are maximal repeats, all
 are marked. Pieces of a gram with very many of them are cut by the place of the gram in a string into
 parts; parts that share their core but differ are resolved by digests of their strings instead.
 
-Texts are UTF-8 bytes; strings never cross documents; what is judged is the input, so overlaps and
+Pieces are told apart by a digest among those of one gram only. Texts are UTF-8 bytes; strings never cross documents; what is judged is the input, so overlaps and
 repeats inside one document count. Equal texts are one class: with copies and LEAST bytes or more,
 all of its bytes go.
 
@@ -281,7 +281,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = docs.groupBy("class").agg(F.min("doc_id").alias("first_id"))
     runs = written(
         docs.select("doc_id", "class", "text").mapInArrow(
-            _runs, "key long, piece long, class long, doc_id long, starts array<int>, length int"
+            _runs, "key long, piece long, class binary, doc_id long, starts array<int>, length int"
         )
     )
     shared = runs.groupBy("key").agg(F.sum(F.size("starts")).alias("n")).where("n > 1").select("key")
@@ -322,10 +322,10 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    slim = slim.withColumn("class", F.xxhash64("text"))
+    slim = slim.withColumn("class", F.unhex(F.md5("text")))  # equal texts meet by 128 bits
     spans, texts = repeated_spans(slim)
     cleaned = texts.join(spans, "class").select("class", "text", "lo", "hi").mapInArrow(
-        _kept, "class long, n_removed long, n_spans long, kept_sha256 string"
+        _kept, "class binary, n_removed long, n_spans long, kept_sha256 string"
     )
     copies = slim.groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
     known = copies.join(cleaned, "class", "left")
