@@ -4,7 +4,7 @@ A page is read as a sequence of words and tags. Every word scores by where it st
 its nearest landmark element, inside a link or not), every tag by its name; the scores are log odds
 learned from labelled pages, tags never above a small negative value. Page furniture (menus,
 adverts, comments, forms and the like, and what is hidden) is transparent: its words and tags score
-nothing, so it neither joins nor parts what stands around it. One linear scan finds the contiguous
+nothing, those of its own element included, so it neither joins nor parts what stands around it. One linear scan finds the contiguous
 stretch with the largest total; its words outside furniture are joined in page order.
 
 Defined results: a null or empty page, or one without a positive word, gives an empty text; of two
@@ -107,12 +107,12 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
     role, link = "plain", False
     pos, end = 0, len(page)
 
-    def pop() -> str:
+    def pop() -> tuple[str, str]:
         nonlocal role, link
-        name = stack.pop()[0]
+        name, was, _ = stack.pop()
         opened[name] -= 1
         role, link = (stack[-1][1], stack[-1][2]) if stack else ("plain", False)
-        return name
+        return name, was
 
     while pos < end:
         m = LEXER.search(page, pos)
@@ -126,10 +126,10 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         name = m[1].lower()
         if m[0][1] == "/":
-            if opened[name]:
-                while pop() != name:
-                    pass
-            yield "tag", name, role
+            ended, was = "", role
+            while opened[name] and ended != name:
+                ended, was = pop()
+            yield "tag", name, was
             continue
         if name in SKIPPED:
             close = CLOSING[name].search(page, pos)
@@ -143,9 +143,9 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
                 pop()
             if name == "li" and stack and stack[-1][0] == "li":
                 pop()
-        yield "tag", name, role
         unseen = bool(attributes) and name not in ("html", "body") and hidden(attributes)
         if name in VOID or (name in INLINE and name != "a" and not unseen):
+            yield "tag", name, role
             continue
         own = LANDMARKS.get(name)
         if attributes and name not in ("html", "body", "article", "main", "a"):
@@ -157,6 +157,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         if unseen or role == HIDDEN:
             own = HIDDEN
         role, link = own or role, link or name == "a"
+        yield "tag", name, role
         stack.append((name, role, link))
         opened[name] += 1
 
