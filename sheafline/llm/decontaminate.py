@@ -60,10 +60,6 @@ def _fingerprints(df: DataFrame, n: int) -> tuple[DataFrame, str]:
     return _over(df, grams, min(KEEP, n - k + 1), lambda a, b: F.least(a, b))
 
 
-def _maybe_broadcast(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
 def _places(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """Rows (rid, carried columns, n_words, start, n, item_id): n-word windows of items in documents.
 
@@ -79,16 +75,32 @@ def _places(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     windows = whole.select("item_id", F.array_join(F.slice("w", F.col("at"), n), " ").alias("window")).distinct()
     windows = windows.withColumn("met", F.lit(True))
     carried = [c for c in docs.columns if c != "w"]
-    docs, mark = _fingerprints(docs, n)
-    rows = docs.select(*carried, "w", F.posexplode_outer(F.concat(F.array(F.lit(None).cast("long")), mark)).alias("start", "print"))
-    rows = rows.join(_maybe_broadcast(prints, n_tests), "print", "left")
+    marked, mark = _fingerprints(docs, n)
+    if n_tests > BROADCAST_ROWS:
+        return _by_shuffle(docs, marked.select("rid", F.posexplode_outer(mark).alias("at", "print")), carried, n, prints, windows)
+    rows = marked.select(*carried, "w", F.posexplode_outer(F.concat(F.array(F.lit(None).cast("long")), mark)).alias("start", "print"))
+    rows = rows.join(F.broadcast(prints), "print", "left")
     rows = rows.where((F.col("start") == 0) | (F.col("shared") & (F.col("start") + (n - 1) <= F.size("w"))))
     window = F.when(F.col("start") > 0, F.array_join(F.slice("w", F.greatest("start", F.lit(1)), n), " "))
     rows = rows.select(*carried, F.size("w").alias("n_words"), "start", window.alias("window"))
-    found = rows.join(_maybe_broadcast(windows, n_tests), "window", "left")
-    return found.where((F.col("start") == 0) | F.col("met")).select(
-        *carried, "n_words", "start", F.lit(n).alias("n"), "item_id"
-    )
+    found = rows.join(F.broadcast(windows), "window", "left")
+    return found.where((F.col("start") == 0) | F.col("met")).select(*carried, "n_words", "start", F.lit(n).alias("n"), "item_id")
+
+
+def _by_shuffle(docs: DataFrame, places: DataFrame, carried: list[str], n: int, prints: DataFrame, windows: DataFrame) -> DataFrame:
+    """_places() where the test side is too large to broadcast: only (rid, place, print) of a text is shuffled by print.
+
+    Places met go back to their text once, as one list, and only there the windows are cut out.
+    """
+    met = places.where("print IS NOT NULL").join(prints, "print").groupBy("rid").agg(F.collect_set(F.col("at") + 1).alias("starts"))
+    of_doc = docs.select(*carried, F.size("w").alias("n_words"))
+    cut = docs.select("rid", "w").join(met, "rid")
+    starts = F.filter("starts", lambda i: i + (n - 1) <= F.size("w"))
+    each = cut.select("rid", F.explode(F.transform(starts, lambda i: F.struct(i.alias("start"), F.array_join(F.slice("w", i, n), " ").alias("window")))).alias("x"))
+    found = each.select("rid", "x.start", "x.window").join(windows, "window").select("rid", "start", "item_id")
+    none = [F.lit(0).alias("start"), F.lit(n).alias("n"), F.lit(None).cast("string").alias("item_id")]
+    hit = of_doc.join(found, "rid").select(*carried, "n_words", "start", F.lit(n).alias("n"), "item_id")
+    return hit.unionByName(of_doc.select(*carried, "n_words", *none))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
@@ -128,7 +140,8 @@ def contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """`docs` with n_words, n_hit, items (sorted strings) and contaminated."""
-    rows = docs.drop("n_words", "n_hit", "items", "contaminated").withColumn("__rid", F.xxhash64(F.col(doc_id), F.col(text)))
+    both = F.struct(F.xxhash64(F.col(doc_id), F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(doc_id), F.col(text)).alias("b"))  # 128 bits
+    rows = docs.drop("n_words", "n_hit", "items", "contaminated").withColumn("__rid", both)
     found = hits(rows.select(F.col("__rid").alias("rid"), F.col(text).alias("text")), benchmark, window=window).drop("nameless")
     return (
         rows.join(found.withColumnRenamed("rid", "__rid"), "__rid")
