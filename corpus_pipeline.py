@@ -12,9 +12,13 @@ from sheafline.llm._store import shared_dir, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the rule ensemble, fitted on labelled documents, predicts to be good."""
+    """Keeps what the rule ensemble, fitted on labelled documents, predicts to be good.
+
+    A null text is judged as an empty one, repeated rows alike; columns of any name come out as they were.
+    """
     model = quality.fit(quality.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return quality.scored(docs, model).where("predicted = 1").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"))
+    return quality.scored(whole, model, "__text").where("predicted = 1").select("__row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +38,17 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of whose words a twentieth or more stand in benchmark windows."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    """Drops documents of whose words a twentieth or more stand in benchmark windows.
+
+    A text without words stays, repeated rows fare alike; columns of any name come out as they were.
+    """
+    whole = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    found = decontaminate.contamination(whole, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text="__text", doc_id="__id")
+    return found.where(~F.col("contaminated")).select("__row.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks every secret in the texts; all documents stay."""
+    """Masks every secret in the texts and counts n_chars anew; all documents stay, null and empty texts as they are."""
     out = secrets.redacted(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -48,7 +56,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target and taken words."""
+    """The documents that the mix takes, with size, source_size, target and taken words (in place of columns named so)."""
     return mixing.mix(docs).where("taken > 0")
 
 
