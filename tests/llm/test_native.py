@@ -27,7 +27,9 @@ def bench(spark):
     return spark.createDataFrame(rows, "item_id long, text string"), rows
 
 
-def test_contamination_is_brute_force(spark, odd_docs):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_contamination_is_brute_force(spark, odd_docs, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)  # 0: fingerprints are joined by shuffle
     items, rows = bench(spark)
     known = [(i, words(t)) for i, t in rows if i is not None]
     a, b = rows[0][1].split(), rows[2][1].split()

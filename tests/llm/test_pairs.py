@@ -215,6 +215,39 @@ def test_repeated_rows_keep_one(spark, odd_docs):
     assert dropped and decontaminate.WINDOW == 13
 
 
+def test_stages_keep_clashing_columns(spark, odd_docs, no_docs, tmp_path):
+    clash = {c: F.lit(c) for c in ("score", "predicted", "n_words", "n_hit", "items", "contaminated", "spans", "key", "class", "row")}
+    sf = "/root/testdata/sf0.001"
+    for docs in (odd_docs, no_docs):
+        rows = docs.withColumns(clash)
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, rows, sf)
+            assert out.columns == rows.columns, name
+            assert all(r[c] == c for r in out.collect() for c in clash)
+        assert corpus_pipeline.mixed(spark, rows, sf).count() <= rows.count()
+
+
+def test_near_pairs_of_vectors_are_found(spark):
+    """Recall on pairs just above the threshold alone."""
+    import numpy as np
+
+    draw = np.random.default_rng(8)
+    x = draw.standard_normal((3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 3000, 2):
+        side = draw.standard_normal(32)
+        side -= side @ x[i] * x[i]
+        c = draw.uniform(0.9005, 0.915)
+        x[i + 1] = c * x[i] + math.sqrt(1 - c * c) * side / np.linalg.norm(side)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    y = x.astype(np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    link = y @ y.T >= 0.9
+    np.fill_diagonal(link, False)
+    found = sum(r.n_links for r in embedding_join.near_duplicates(rows).collect())
+    assert 0.98 * link.sum() <= found <= link.sum()
+
+
 # ---------------------------------------------------------------- rows without an id, repeated ids
 def test_rows_without_an_id_are_linked_and_leave(spark):
     a, b, c = prose(90, 80), prose(91, 80), prose(92, 80)
