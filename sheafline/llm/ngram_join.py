@@ -195,13 +195,17 @@ def candidates(classes: DataFrame, recall: float = RECALL, leaf: int = LEAF) ->
         second = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(1000)) < int(1000 * (1 / THRESHOLD - 1))
         return F.array_distinct(F.array_compact(F.array(go(token(1)), F.when(second, go(token(2))))))
 
-    runs = F.explode(F.array(*[F.lit(r).cast("long") for r in range(runs_for(recall))]))
+    n_runs = runs_for(recall)
+    runs = F.explode(F.array(*[F.lit(r).cast("long") for r in range(n_runs)]))
     rows = classes.select("class", "tokens", runs.alias("node"))
+    hot = max(leaf + 1, classes.count() * n_runs // 1000)  # nodes of this size: at most 2 ** level thousand
     found = None
     for level in range(1, LEVELS + 1):
         rows = rows.select("class", F.explode(children(F.col("node"), F.col("tokens"))).alias("node"))
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        live = written(rows.join(sizes, "node"))
+        told = rows.join(F.broadcast(sizes.where(F.col("size") >= hot).withColumnRenamed("size", "__hot")), "node", "left")
+        rest = told.where("__hot IS NULL").drop("__hot").join(sizes.where(F.col("size") < hot), "node")
+        live = written(rest.unionByName(told.where("__hot IS NOT NULL").withColumnRenamed("__hot", "size")))
         small = live.where(F.col("size") <= leaf)
         large = live.where(F.col("size") > leaf)
         rest = bool(large.head(1))
