@@ -108,7 +108,8 @@ def fit(train: DataFrame, *, sample: int = SAMPLE) -> Model | None:
     share = F.lit(0.0)
     for lang, size in sizes.items():
         share = F.when(F.col("lang") == lang, float(min(1.0, sample / size))).otherwise(share)
-    picked = train.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)
+    digest = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    picked = train.where(digest < share).dropDuplicates(["lang", "doc_id", "text"])  # copies of a row count once
     fitted = picked.groupBy("lang").applyInPandas(_clusters(idf), "lang string, floor double, centroid array<float>")
     rows = sorted(fitted.collect(), key=lambda r: r["lang"])
     if not rows:

@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, with DataFrame functions only.
 
-Every document gets the exponential key -ln(u) / quality, u from a digest of its id and the seed.
+Every document gets the exponential key -ln(u) / quality, u from a digest of the seed, its id and its
+text.
 A source's target is first spent on complete epochs; what remains is filled in key order until the
 running number of words reaches it, and the document that crosses the budget is taken in part. The
 running sum never sorts a source as a whole: keys are dealt into slices of (0, inf), slices are
 summed, and only the slice in which a source's budget ends is sorted.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source of its own,
-last; a source without words has target 0; documents with equal ids share a key and rank by size,
-equal rows may swap places; without documents the result is empty; other columns pass through, those
+last; a source without words has target 0; null and repeated ids are told apart by the text, equal
+rows share a key and may swap places; without documents the result is empty; other columns pass through, those
 named like a result are replaced.
 """
 
@@ -26,9 +27,9 @@ SLICES = 4096
 BROADCAST_SOURCES = 100_000
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) made of 52 digest bits."""
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in (0, 1) made of 52 digest bits of id and text."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
@@ -80,7 +81,7 @@ def mix(
     rows = docs.drop("source_size", "target", "taken").withColumn("size", size)
     quality = quality_weight(F.col(text), F.col("size")) if weight is None else weight
     # key = -ln(u) / quality, kept with the slice that it falls in
-    rows = rows.withColumn("__key", F.round(-F.log(uniform(F.col(doc_id), seed)) / quality, 9))
+    rows = rows.withColumn("__key", F.round(-F.log(uniform(F.col(doc_id), F.col(text), seed)) / quality, 9))
     rows = rows.withColumn("__slice", F.floor((1.0 - F.exp(-F.col("__key"))) * slices).cast("int"))
 
     sums = written(rows.groupBy(F.col(source).alias("source"), F.col("__slice").alias("slice")).agg(F.sum("size").alias("words")))
@@ -128,7 +129,7 @@ def op7(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    (CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5)
+    (CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS DOUBLE) + 0.5)
       / 4503599627370496.0 AS u, length(text) AS chars FROM documents),
 k AS (
   SELECT doc_id, source, size,

@@ -5,7 +5,7 @@ into conjunctive rules (the path to each node); a logistic model with a lasso pe
 rules that matter; rules and weights are compiled into one Spark column expression over the
 statistics.
 
-The model is fitted on at most about `MAX_LABELLED` labelled rows, taken by a digest of the id; the
+The model is fitted on at most `MAX_LABELLED` labelled rows, taken by a digest of the id; the
 statistics of texts and the scores cover all rows.
 
 Defined results: a null text scores as an empty one; an id with several labels counts once for
@@ -201,13 +201,20 @@ def fit(labelled: DataFrame, *, text: str = "text", label: str = "quality", seed
     return RuleEnsemble(b, [named[i] for i in used], [float(w[i]) for i in used])
 
 
+def fraction(*columns: str) -> Column:
+    """A digest of some columns as a number from 0 to 1."""
+    return F.pmod(F.xxhash64(*columns, F.lit(9)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, *, most: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, text, quality) of labelled training rows, about `most` of them, taken by a digest."""
+    """(doc_id, text, quality) of labelled training rows, at most `most` of them, taken by a digest."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
     known = known.select("doc_id", "quality")
-    share = min(1.0, most / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by `most`
+    share = min(1.0, 2 * most / max(1, known.count()))  # twice as many, of which the first by digest stay
+    picked = known.where(fraction("doc_id", "quality") < share)
+    picked = picked.orderBy(F.xxhash64("doc_id", "quality"), "doc_id", "quality").limit(most)
+    both = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by `most`
+    return both.orderBy(F.xxhash64("doc_id", "text", "quality"), "doc_id", "quality").limit(most)  # where ids repeat
 
 
 def scored(docs: DataFrame, model: RuleEnsemble, text: str = "text") -> DataFrame:
