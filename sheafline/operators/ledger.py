@@ -55,16 +55,16 @@ def continue_plan(start: Column, next_index: Column, count: Column, target: Colu
     )
 
 
-def error_class(message: Column) -> Column:
-    """struct(status, code) of an error by what its message says, first match first."""
-    low = F.lower(message)
+def error_class(message: Column, kind: Column | None = None) -> Column:
+    """struct(status, code: fixed values) of an error by its kind (the name of its class), then by what its message says."""
+    low, kind = F.lower(message), F.lower(F.coalesce(kind if kind is not None else F.lit(""), F.lit("")))
     has = lambda s: F.contains(low, F.lit(s))
     code = (
-        F.when(has("timeout"), "telegram_timeout")
-        .when(has("unexpected state"), "unexpected_bot_state")
+        F.when(F.contains(kind, F.lit("timeout")), "telegram_timeout")
+        .when(F.contains(kind, F.lit("unexpectedstate")), "unexpected_bot_state")
         .when(has("too many incoming messages"), "telegram_too_many_incoming_messages")
         .when(has("too many requests"), "telegram_too_many_requests")
-        .when(has("floodwait"), "telegram_flood_wait")
+        .when(has("floodwait") | F.contains(kind, F.lit("floodwait")), "telegram_flood_wait")
         .when(has("retry") & has("exhaust"), "telegram_retry_exhausted")
         .otherwise("upload_failed")
     )

@@ -213,9 +213,11 @@ def probe_fold(spark, sf_dir):
 
 
 def error_classes(spark, sf_dir):
-    texts = ["Timeout waiting", "Too many requests, retry", "FLOODWAIT of 30", "retry limit exhausted", "broken"]
+    texts = ["no answer", "Too many requests, retry", "wait for 30 s", "retry limit exhausted", "a timeout it is not"]
+    kinds = ["TimeoutError", "", "FloodWaitError", "", "ValueError"]
+    kind = F.get(F.array(*[F.lit(t) for t in kinds]), F.pmod("event_id", F.lit(5)).cast("int"))
     message = F.get(F.array(*[F.lit(t) for t in texts]), F.pmod("event_id", F.lit(5)).cast("int"))
-    e = table(spark, sf_dir, "events").where("event_type = 'error'").select(ledger.error_class(message).alias("c"))
+    e = table(spark, sf_dir, "events").where("event_type = 'error'").select(ledger.error_class(message, kind).alias("c"))
     return e.groupBy(F.col("c.status").alias("status"), F.col("c.code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
