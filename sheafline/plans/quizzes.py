@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheafline.functions import text as T
 from sheafline.functions import values as V
 from sheafline.operators import answers, ordered, rules
+from sheafline.operators import blocks as B
 from sheafline.operators import questions as Q
 from sheafline.plans.items import questions, table
 
@@ -610,3 +611,41 @@ ORACLES = {
     "resumable_sources": SOURCES, "undo_plan": UNDO, "account_views": ACCOUNTS, "accounts_over_limit": OVER, "run_accounts": RUN_ACCOUNTS, "json_shapes": SHAPES,
     "quiz_markdown": MARKDOWN, "corrupt_titles": CORRUPT,
 }
+
+
+# ------------------------------------------------------------------ blocks of documents
+def parsed_blocks(spark, sf_dir):
+    """A document for each customer: a date, then each order as a question, up to four options and an answer line."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    packed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.slice(F.sort_array(F.collect_list(line)), 1, 4).alias("lines"))
+    o = table(spark, sf_dir, "orders").join(packed, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("n", F.size("lines"))
+    letter = lambda i: F.get(F.array(*[F.lit(x) for x in "ABCD"]), i)
+    options = F.transform("lines", lambda x, i: F.concat(letter(i), F.lit(") part "), x.l_partkey.cast("string")))
+    asked = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("Order "), S("o_orderkey"))).otherwise(F.concat(F.lit("Какой номер у "), S("o_orderkey"), F.lit("?")))
+    answer = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.concat(F.lit("Ответ: "), letter((F.col("o_orderkey") % F.col("n")).cast("int"))))).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(F.array(asked), options, answer)
+    bold = F.when(F.col("o_orderkey") % 3 == 1, F.get("lines", 0)["l_partkey"].cast("string")).otherwise("")
+    rows = o.select("o_custkey", "o_orderkey", F.posexplode(texts).alias("at", "text"), bold.alias("right"))
+    rows = rows.withColumn("bold_text", F.when((F.col("at") == 1) & (F.col("right") != ""), F.col("text")).otherwise(""))
+    head = o.select("o_custkey", F.lit(-1).cast("long").alias("o_orderkey"), F.lit(0).alias("at"), F.lit("5 мая").alias("text"), F.lit("").alias("bold_text")).distinct()
+    every = rows.drop("right").unionByName(head)
+    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey", "at"))
+    blocks = every.select(
+        S("o_custkey").alias("document"), pos.alias("pos"), F.lit("text").alias("kind"), "text", "bold_text", F.lit(0).alias("blank_before"), F.lit(False).alias("is_heading")
+    )
+    found = B.questions_of_blocks(blocks)
+    return found.select("document", "item", "date", "question", F.array_join("options", "|").alias("options"), F.array_join(F.transform("answers", lambda a: a.cast("string")), ",").alias("answers"), "correct_answer", "type")
+
+
+PARSED = """
+WITH l AS (SELECT l_orderkey AS k, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) AS i FROM lineitem),
+g AS (SELECT k, count(*) AS n, list('part ' || p ORDER BY i) AS o FROM l WHERE i <= 4 GROUP BY 1),
+a AS (SELECT *, CASE WHEN k % 3 = 0 THEN [CAST(k % n + 1 AS INT)] WHEN k % 3 = 1 THEN list_filter(list_transform(o, lambda x, i: CASE WHEN contains(o[1], x) OR contains(x, o[1]) THEN i END), lambda i: i = 1) ELSE [] END AS good
+  FROM g JOIN orders ON o_orderkey = k)
+SELECT CAST(o_custkey AS VARCHAR) AS document, row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS item, '5 мая' AS date,
+  CASE WHEN k % 4 = 0 THEN 'Order ' || k ELSE 'Какой номер у ' || k || '?' END AS question, array_to_string(o, '|') AS options, array_to_string(good, ',') AS answers,
+  coalesce(o[good[1]], '') AS correct_answer, CASE WHEN len(good) = 0 THEN 'needs_answer_review' ELSE 'multiple_choice' END AS type FROM a
+"""
+
+QUERIES["parsed_blocks"] = parsed_blocks
+ORACLES["parsed_blocks"] = PARSED
