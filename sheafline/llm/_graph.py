@@ -31,7 +31,7 @@ HOT = 1000
 def _with_least(edges: DataFrame, key: str, value: str, total: int) -> DataFrame:
     """`edges` with m, the smallest `value` of its `key`; keys with very many edges are not shuffled."""
     least = edges.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("n"))
-    limit = max(1000, -(-total // HOT))
+    limit = max(256, -(-total // HOT))
     hot = least.where(F.col("n") >= limit).select(key, F.col("m").alias("__hot"))
     told = edges.join(F.broadcast(hot), key, "left")
     rest = least.where(F.col("n") < limit).select(key, "m")
