@@ -18,6 +18,7 @@ from sheafline.llm import (
     quality,
     repeats,
     secrets,
+    url_filter,
 )
 
 
@@ -33,6 +34,7 @@ def queries() -> dict:
         "op8_language_id": language.op8,
         "op9_quality_rules": quality.op9,
         "op10_decontaminate": decontaminate.op10,
+        "op13_url_filter": url_filter.op13,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -41,4 +43,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_mix_sources": mixing.ORACLE,
         "op10_decontaminate": decontaminate.ORACLE,
+        "op13_url_filter": url_filter.ORACLE,
     }
