@@ -19,6 +19,7 @@ from sheafline.llm import (
     repeats,
     secrets,
     url_filter,
+    vector_codes,
 )
 
 
@@ -34,6 +35,7 @@ def queries() -> dict:
         "op8_language_id": language.op8,
         "op9_quality_rules": quality.op9,
         "op10_decontaminate": decontaminate.op10,
+        "op12_vector_codes": vector_codes.op12,
         "op13_url_filter": url_filter.op13,
         "pipeline": corpus_pipeline.run,
     }
@@ -43,5 +45,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_mix_sources": mixing.ORACLE,
         "op10_decontaminate": decontaminate.ORACLE,
+        "op12_vector_codes": vector_codes.ORACLE,
         "op13_url_filter": url_filter.ORACLE,
     }
