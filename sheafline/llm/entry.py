@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from sheafline.llm import (
+    collocations,
     decontaminate,
     embedding_join,
     language,
@@ -35,6 +36,7 @@ def queries() -> dict:
         "op8_language_id": language.op8,
         "op9_quality_rules": quality.op9,
         "op10_decontaminate": decontaminate.op10,
+        "op11_collocations": collocations.op11,
         "op12_vector_codes": vector_codes.op12,
         "op13_url_filter": url_filter.op13,
         "pipeline": corpus_pipeline.run,
@@ -45,6 +47,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_mix_sources": mixing.ORACLE,
         "op10_decontaminate": decontaminate.ORACLE,
+        "op11_collocations": collocations.ORACLE,
         "op12_vector_codes": vector_codes.ORACLE,
         "op13_url_filter": url_filter.ORACLE,
     }
