@@ -32,7 +32,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: Bits that tell frequent phrases: 16 MB in each task, whatever the corpus.
 BITS = 1 << 27
 #: Bytes of text that are counted at once.
-STRETCH = 1 << 22
+STRETCH = 1 << 21
 #: Groups that share the first sort of a language's candidates.
 SALTS = 256
 

@@ -138,7 +138,8 @@ def bin_of(score: Column) -> Column:
 def threshold(held: DataFrame) -> int:
     """The bin from which URLs are allowed: smallest sum of both error rates on scored rows with n and accepted.
 
-    Of equal bins the one nearest 0 counts, then the lower one. There are 2 * LAST_BIN + 1 bins at most.
+    A threshold stands half-way between two bins that hold rows. Of equal ones the one nearest 0 counts,
+    then the lower one. There are 2 * LAST_BIN + 1 bins at most.
     """
     part = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     bins = held.groupBy(bin_of(F.col("score")).alias("bin")).agg(part(F.col("accepted")).alias("a"), part(~F.col("accepted")).alias("r"))
@@ -146,7 +147,8 @@ def threshold(held: DataFrame) -> int:
     wide = lambda c: c.cast("decimal(19,0)")
     lost, let_in = F.coalesce(F.sum("a").over(below), F.lit(0)), F.sum("r").over(every) - F.coalesce(F.sum("r").over(below), F.lit(0))
     errors = wide(lost) * wide(F.sum("r").over(every)) + wide(let_in) * wide(F.sum("a").over(every))
-    best = bins.select("bin", errors.alias("e"), F.sum("a").over(every).alias("a"), F.sum("r").over(every).alias("r"))
+    half = F.col("bin") - F.coalesce(F.floor((F.col("bin") - F.lag("bin").over(Window.partitionBy(F.lit(1)).orderBy("bin"))) / 2), F.lit(0))
+    best = bins.select(half.alias("bin"), errors.alias("e"), F.sum("a").over(every).alias("a"), F.sum("r").over(every).alias("r"))
     best = best.where("a > 0 AND r > 0").orderBy("e", F.abs("bin"), "bin").first()
     return best.bin if best else 0
 
@@ -238,7 +240,7 @@ s AS (
   SELECT url, told, n, greatest(-{LAST_BIN}, least({LAST_BIN}, floor(((total - ((total % len) + len) % len) // len) / {BIN}.0))) AS bin FROM s0),
 b AS (SELECT bin, sum(CASE WHEN told = 'allow' THEN n ELSE 0 END) AS a, sum(CASE WHEN told = 'block' THEN n ELSE 0 END) AS r FROM s WHERE told IS NOT NULL GROUP BY bin),
 e AS (
-  SELECT bin, coalesce(sum(a) OVER below, 0) * sum(r) OVER () + (sum(r) OVER () - coalesce(sum(r) OVER below, 0)) * sum(a) OVER () AS errors,
+  SELECT bin - coalesce(floor((bin - lag(bin) OVER (ORDER BY bin)) / 2.0), 0) AS bin, coalesce(sum(a) OVER below, 0) * sum(r) OVER () + (sum(r) OVER () - coalesce(sum(r) OVER below, 0)) * sum(a) OVER () AS errors,
     sum(a) OVER () AS a, sum(r) OVER () AS r FROM b WINDOW below AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT coalesce((SELECT bin FROM e WHERE a > 0 AND r > 0 ORDER BY errors, abs(bin), bin LIMIT 1), 0) AS least)
 SELECT page_id, host, path, rule, coalesce(u2.told, CASE WHEN s.bin >= (SELECT least FROM t) THEN 'allow' ELSE 'block' END) AS verdict
