@@ -91,15 +91,8 @@ def with_distractors(df: DataFrame, distractors: Column, question_kind: str = "t
 
 
 # ------------------------------------------------------------------ questions from block ids
-def texts_of_ids(items: DataFrame, keys: Sequence[str], ids: str, blocks: DataFrame, name: str) -> DataFrame:
-    """(keys, name: texts in the order of the ids, name_missing: ids that no block has)."""
-    at = items.select(*keys, F.posexplode(ids).alias("__pos", "__id"))
-    found = at.join(blocks.select(F.col("block_id").alias("__id"), F.col("text").alias("__text"), F.lit(True).alias("__known")), "__id", "left")
-    row = F.struct("__pos", "__id", "__text", "__known")
-    folded = found.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("__rows"))
-    texts = F.transform(F.filter("__rows", lambda r: r["__known"]), lambda r: r["__text"])
-    missing = F.transform(F.filter("__rows", lambda r: r["__known"].isNull()), lambda r: r["__id"].cast("string"))
-    return folded.select(*keys, texts.alias(name), missing.alias(f"{name}_missing"))
+def _tagged(role: int, ids: Column) -> Column:
+    return F.transform(F.coalesce(ids, F.array().cast("array<long>")), lambda x, i: F.struct(F.lit(role).alias("role"), i.alias("pos"), x.cast("string").alias("id")))
 
 
 def build_from_markup(markup: DataFrame, blocks: DataFrame, regions: DataFrame | None = None) -> DataFrame:
@@ -110,40 +103,49 @@ def build_from_markup(markup: DataFrame, blocks: DataFrame, regions: DataFrame |
     (region, block_ids, applies_to), of which the last one wins. Flags tell missing ids, the
     replacement, limits that are broken and missing answers. An empty context repeats nothing: one
     equal to the question is dropped.
+
+    All ids of a question are exploded once with what they are, meet the blocks once and are gathered once;
+    a block carries the block with text before it, so that the replacement needs no join of its own.
     """
-    place = blocks.select("block_id", "order")
-    spans = markup.select("question_id", F.explode("context_ids").alias("block_id")).join(place, "block_id").groupBy("question_id").agg(F.max("order").alias("__from"))
-    stops = markup.select("question_id", F.explode("option_ids").alias("block_id")).join(place, "block_id").groupBy("question_id").agg(F.min("order").alias("__to"))
-    overlap = markup.where(F.arrays_overlap("question_ids", "context_ids")).select("question_id")
-    wanted = overlap.join(spans, "question_id").join(stops, "question_id").where("__to > __from + 1")
-    w = Window.partitionBy("document").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.select(
-        F.col("order").alias("__to"), F.last(F.when(F.col("text") != "", F.struct("order", "block_id")), ignorenulls=True).over(w).alias("__last")
-    )
-    inferred = wanted.join(before, "__to").where("__last.order > __from").select("question_id", F.col("__last.block_id").alias("__inferred"))
-    m = markup.join(inferred, "question_id", "left")
-    m = m.withColumn("__ids", F.when(F.col("__inferred").isNotNull(), F.array("__inferred")).otherwise(F.col("question_ids")))
-    keys = ["question_id"]
-    for ids, name in (("__ids", "q"), ("option_ids", "options"), ("context_ids", "c")):
-        m = m.join(texts_of_ids(m, keys, ids, blocks, name), keys, "left")
-    known = texts_of_ids(m, keys, "correct_ids", blocks, "right")
-    m = m.join(known, keys, "left")
-    if regions is not None:
-        told = texts_of_ids(regions, ["region"], "block_ids", blocks, "r")
-        of = regions.join(told, "region", "left").select(F.explode("applies_to").alias("question_id"), "region", "r", "r_missing")
-        last = of.groupBy("question_id").agg(F.max_by("r", "region").alias("r"), F.max_by("r_missing", "region").alias("r_missing"))
-        m = m.join(last, keys, "left")
+    if regions is None:
+        asked = markup.withColumn("__region", F.array().cast("array<long>"))
     else:
-        m = m.withColumns({"r": F.lit(None).cast("array<string>"), "r_missing": F.lit(None).cast("array<string>")})
+        of = regions.select(F.explode("applies_to").alias("question_id"), "region", "block_ids")
+        asked = markup.join(of.groupBy("question_id").agg(F.max_by("block_ids", "region").alias("__region")), "question_id", "left")
+    every = F.concat(
+        _tagged(0, F.col("question_ids")), _tagged(1, F.col("option_ids")), _tagged(2, F.col("context_ids")), _tagged(3, F.col("__region")), _tagged(4, F.col("correct_ids")),
+        F.array(F.struct(F.lit(-1).alias("role"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("id"))),
+    )
+    overlap = F.coalesce(F.arrays_overlap("question_ids", "context_ids"), F.lit(False))
+    refs = asked.select("question_id", overlap.alias("__overlap"), F.explode(every).alias("r")).select("question_id", "__overlap", "r.*")
+    refs = refs.withColumn("__key", F.coalesce("id", F.concat(F.lit("no id of "), F.col("question_id").cast("string"))))  # no key is common to all questions
+    w = Window.partitionBy("document").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("text") != "", F.struct("order", "text")), ignorenulls=True).over(w)
+    known = blocks.select(F.col("block_id").cast("string").alias("__key"), "order", "text", before.alias("before"), F.lit(True).alias("known"))
+    rows = F.sort_array(F.collect_list(F.struct("role", "pos", "id", "known", "text", "order", "before")))
+    m = refs.join(known, "__key", "left").groupBy("question_id", "__overlap").agg(rows.alias("rows"))
+    found = lambda role: F.filter("rows", lambda r: (r["role"] == role) & r["known"])
+    texts = lambda role: F.transform(found(role), lambda r: r["text"])
+    lost = lambda role: F.transform(F.filter("rows", lambda r: (r["role"] == role) & r["known"].isNull() & r["id"].isNotNull()), lambda r: r["id"])
+    since = F.array_max(F.transform(found(2), lambda r: r["order"]))
+    first = F.array_min(F.transform(found(1), lambda r: F.struct(r["order"].alias("order"), r["before"].alias("before"))))
+    m = m.withColumns({"__since": since, "__first": first})
+    told = F.col("__overlap") & (F.col("__first.order") > F.col("__since") + 1) & (F.col("__first.before.order") > F.col("__since"))
+    m = m.withColumn("inferred", F.coalesce(told, F.lit(False)))
+    right = F.array_distinct(F.transform(found(4), lambda r: r["id"]))
+    m = m.withColumns(
+        {
+            "q": F.when(F.col("inferred"), F.array("__first.before.text")).otherwise(texts(0)), "options": texts(1), "c": texts(2), "r": texts(3),
+            "answers": F.filter(F.transform(F.filter("rows", lambda r: r["role"] == 1), lambda r: F.when(F.array_contains(right, r["id"]), r["pos"] + 1)), lambda i: i.isNotNull()),
+            "missing": F.array_distinct(F.concat(F.when(F.col("inferred"), F.array().cast("array<string>")).otherwise(lost(0)), lost(1), lost(2), lost(3), lost(4))),
+        }
+    )
     some = lambda c: F.coalesce(F.col(c), _none("string"))
     question = F.trim(F.array_join(some("q"), "\n"))
     own = F.trim(F.array_join(some("c"), "\n"))
     context = F.when(own != "", own).otherwise(F.trim(F.array_join(some("r"), "\n")))
     options = F.transform(some("options"), lambda x: F.regexp_replace(x, r"^\s*[A-DА-Га-гa-d][).]\s*", ""))
-    usable = F.array_except("correct_ids", F.transform(some("right_missing"), lambda x: x.cast("long")))
-    answers = F.filter(F.transform("option_ids", lambda x, i: F.when(F.array_contains(usable, x), i + 1)), lambda i: i.isNotNull())
-    missing = F.array_distinct(F.concat(some("q_missing"), some("options_missing"), some("c_missing"), some("r_missing"), some("right_missing")))
-    m = m.select("question_id", question.alias("question"), options.alias("options"), answers.alias("answers"), context.alias("context"), missing.alias("missing"), F.col("__inferred").isNotNull().alias("inferred"))
+    m = m.select("question_id", question.alias("question"), options.alias("options"), "answers", context.alias("context"), "missing", "inferred")
     long = F.filter(F.transform("options", lambda o, i: F.when(F.length(o) > T.OPTION_MAX, F.concat(F.lit("option_too_long:"), (i + 1).cast("string")))), lambda x: x.isNotNull())
     flags = F.concat(
         F.array_compact(
