@@ -40,12 +40,12 @@ FROM n, r
 
 # ------------------------------------------------------------------ answers from labels, lines and bold options
 def _evidence(spark, sf_dir):
-    """Up to four options a question; every seventh has a Cyrillic label among Latin ones, lines come in several spellings."""
+    """A line is an option, the fifth and later ones with labels of no scheme; every seventh question has a Cyrillic label among Latin ones, lines come in several spellings."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")
-    packed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.slice(F.sort_array(F.collect_list(line)), 1, 4).alias("lines"))
-    letters = lambda names: F.array(*[F.lit(x) for x in names])
-    q = packed.withColumn("labels", F.transform("lines", lambda x, i: F.when((F.col("l_orderkey") % 7 == 0) & (i == 1), "Б").otherwise(F.get(letters("ABCD"), i))))
-    named = F.array_join(F.array_compact(F.transform("lines", lambda x, i: F.when(x.l_returnflag == "R", F.get(letters("ABCD"), i)))), ", ")
+    packed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    letter = lambda i: F.char(i + 65)
+    q = packed.withColumn("labels", F.transform("lines", lambda x, i: F.when((F.col("l_orderkey") % 7 == 0) & (i == 1), "Б").otherwise(letter(i))))
+    named = F.array_join(F.array_compact(F.transform("lines", lambda x, i: F.when(x.l_returnflag == "R", letter(i)))), ", ")
     at = F.col("l_orderkey")
     said = (
         F.when(at % 11 == 0, "Ответ: да").when(at % 5 == 0, F.concat(F.lit("Источник: "), named))
@@ -69,10 +69,11 @@ WITH l AS (
   FROM lineitem),
 p AS (
   SELECT l_orderkey, count(*) AS n, coalesce(list(i ORDER BY i) FILTER (l_returnflag = 'R'), []) AS named,
-    coalesce(list(i ORDER BY i) FILTER (l_linestatus = 'O'), []) AS bold FROM l WHERE i <= 4 GROUP BY 1),
+    coalesce(list(i ORDER BY i) FILTER (l_linestatus = 'O'), []) AS bold FROM l GROUP BY 1),
 s AS (
   SELECT *, l_orderkey % 7 = 0 AND n > 1 AS mixed,
-    len(named) > 0 AND l_orderkey % 11 <> 0 AND l_orderkey % 5 <> 0 AS told, len(named) > 0 AND l_orderkey % 11 = 0 AS wrong FROM p),
+    len(named) > 0 AND l_orderkey % 11 <> 0 AND l_orderkey % 5 <> 0 AND list_max(named) <= 4 AS told,
+    len(named) > 0 AND (l_orderkey % 11 = 0 OR l_orderkey % 5 <> 0 AND list_max(named) > 4) AS wrong FROM p),
 a AS (
   SELECT *, CASE WHEN NOT told THEN [] WHEN mixed THEN list_filter(named, lambda x: x <> 2) ELSE named END AS line,
     told AND mixed AND list_contains(named, 2) AS lost FROM s),
@@ -96,13 +97,13 @@ def question_types(spark, sf_dir):
     media = F.when(F.col("doc_id") % 7 == 0, F.array("source")).otherwise(F.array().cast("array<string>"))
     right = F.sequence(F.lit(1), (F.col("doc_id") % 3).cast("int"))
     right = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<int>")).otherwise(right)
-    answer = F.when(F.col("doc_id") % 4 == 0, F.substring("text", 1, 120)).otherwise(F.col("source"))
+    answer = F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.col("source"))
     kind = Q.question_type(F.col("text"), answer, options, media, right)
     return d.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 TYPES = """
-SELECT CASE WHEN doc_id % 3 = 0 THEN 'needs_answer_review' WHEN doc_id % 4 = 0 AND length(substr(text, 1, 120)) > 100 THEN 'needs_option_length_review'
+SELECT CASE WHEN doc_id % 3 = 0 THEN 'needs_answer_review' WHEN doc_id % 4 = 0 AND length(text) > 100 THEN 'needs_option_length_review'
   WHEN doc_id % 3 = 2 THEN 'multiple_answer' WHEN doc_id % 7 = 0 THEN 'media_context_quiz' WHEN doc_id % 5 = 0 THEN 'multiple_choice'
   WHEN length(text) > 250 THEN 'long_question' ELSE 'simple_quiz' END AS kind, count(*) AS n FROM documents GROUP BY 1
 """
@@ -585,11 +586,14 @@ SELECT o_custkey, sha256(t) AS sha, length(t) AS chars FROM m
 def corrupt_titles(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 5
-    title = F.when(k == 0, "").when(k == 1, " Контекст ").when(k == 2, "что?").when(k == 3, F.concat(F.substring("text", 1, 20), F.lit("?"))).otherwise(F.col("source"))
+    title = F.when(k == 0, "").when(k == 1, " Контекст ").when(k == 2, "что?").when(k == 3, F.concat("text", F.lit("?"))).otherwise(F.col("source"))
     return d.groupBy(T.looks_corrupt(title).alias("corrupt")).agg(F.count(F.lit(1)).alias("n"))
 
 
-CORRUPT = "SELECT doc_id % 5 IN (0, 1, 3) AS corrupt, count(*) AS n FROM documents GROUP BY 1"
+CORRUPT = """
+SELECT CASE WHEN doc_id % 5 IN (0, 1) THEN true WHEN doc_id % 5 = 3 THEN NOT regexp_matches(lower(text), '[а-яё]')
+  ELSE doc_id % 5 = 4 AND (trim(source) = '' OR contains(source, '?')) END AS corrupt, count(*) AS n FROM documents GROUP BY 1
+"""
 
 
 QUERIES = {
@@ -615,11 +619,11 @@ ORACLES = {
 
 # ------------------------------------------------------------------ blocks of documents
 def parsed_blocks(spark, sf_dir):
-    """A document for each customer: a date, then each order as a question, up to four options and an answer line."""
+    """A document for each customer: a date, then each order as a question, its lines as options (labels start again after the fourth) and an answer line."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
-    packed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.slice(F.sort_array(F.collect_list(line)), 1, 4).alias("lines"))
+    packed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     o = table(spark, sf_dir, "orders").join(packed, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("n", F.size("lines"))
-    letter = lambda i: F.get(F.array(*[F.lit(x) for x in "ABCD"]), i)
+    letter = lambda i: F.char(i % 4 + 65)
     options = F.transform("lines", lambda x, i: F.concat(letter(i), F.lit(") part "), x.l_partkey.cast("string")))
     asked = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("Order "), S("o_orderkey"))).otherwise(F.concat(F.lit("Какой номер у "), S("o_orderkey"), F.lit("?")))
     answer = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.concat(F.lit("Ответ: "), letter((F.col("o_orderkey") % F.col("n")).cast("int"))))).otherwise(F.array().cast("array<string>"))
@@ -639,8 +643,8 @@ def parsed_blocks(spark, sf_dir):
 
 PARSED = """
 WITH l AS (SELECT l_orderkey AS k, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) AS i FROM lineitem),
-g AS (SELECT k, count(*) AS n, list('part ' || p ORDER BY i) AS o FROM l WHERE i <= 4 GROUP BY 1),
-a AS (SELECT *, CASE WHEN k % 3 = 0 THEN [CAST(k % n + 1 AS INT)] WHEN k % 3 = 1 THEN list_filter(list_transform(o, lambda x, i: CASE WHEN contains(o[1], x) OR contains(x, o[1]) THEN i END), lambda i: i = 1) ELSE [] END AS good
+g AS (SELECT k, count(*) AS n, list('part ' || p ORDER BY i) AS o FROM l GROUP BY 1),
+a AS (SELECT *, CASE WHEN k % 3 = 0 THEN [CAST(k % n % 4 + 1 AS INT)] WHEN k % 3 = 1 THEN list_filter(list_transform(o, lambda x, i: CASE WHEN contains(o[1], x) OR contains(x, o[1]) THEN i END), lambda i: i = 1) ELSE [] END AS good
   FROM g JOIN orders ON o_orderkey = k)
 SELECT CAST(o_custkey AS VARCHAR) AS document, row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS item, '5 мая' AS date,
   CASE WHEN k % 4 = 0 THEN 'Order ' || k ELSE 'Какой номер у ' || k || '?' END AS question, array_to_string(o, '|') AS options, array_to_string(good, ',') AS answers,
