@@ -1,15 +1,17 @@
 """Main text of HTML pages as a maximum-scoring subsequence.
 
 A page is read as a sequence of words and tags. Every word scores by where it stands (the role of
-its nearest landmark element, inside a link or not), every tag by its name; the scores are log odds
-learned from labelled pages, tags never above a small negative value. Page furniture (menus,
+its nearest landmark element, inside a link or not), every tag by its name and whether it stands in a
+content element; the scores are log odds learned from labelled pages, tags never above a small negative value. Page furniture (menus,
 adverts, comments, forms and the like, and what is hidden) is transparent: its words and tags score
 nothing, those of its own element included, so it neither joins nor parts what stands around it. One linear scan finds the contiguous
 stretch with the largest total; its words outside furniture are joined in page order.
 
 Defined results: a null or empty page, or one without a positive word, gives an empty text; of two
-stretches with equal scores the first wins; unclosed elements end with their parent; an unclosed
-script, style or comment runs to the end of the page, as does an unclosed quoted attribute; pages may
+stretches with equal scores the first wins; unclosed elements end with their parent; of the elements
+that are skipped whole, a self-closed one (`<svg/>`) is empty and an unclosed one ends with its parent too,
+but an unclosed script, style, title or comment runs to the end of the page, as does an unclosed quoted
+attribute; pages may
 be very long or deeply nested, the time is linear in their length; rows are independent, so repeated
 pages and extra columns need no care.
 """
@@ -26,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheafline.llm.labelled_pages import labelled_pages
+
 # HTML element names by what they do.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video title head select option datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,7 +67,10 @@ LEXER = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]*+)))?")
 NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
-CLOSING = {name: re.compile(rf"</{name}(?![a-z0-9])", re.I | re.A) for name in SKIPPED}
+#: What these hold is no markup, so that only their own end tag ends them.
+RAW = frozenset("script style title".split())
+CLOSING = {name: re.compile(rf"</{name}(?![a-z0-9])", re.I | re.A) for name in RAW}
+ANY_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)[^>]*+")
 
 
 def role_of_name(name: str) -> str | None:
@@ -96,6 +103,20 @@ def hidden(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(NOT_SHOWN.search(attributes.get("style", "")))
 
 
+def ends_of(page: str) -> dict[int, int]:
+    """Start of each start tag -> start of its end tag, by name alone, in one pass."""
+    waiting: dict[str, list[int]] = {}
+    out = {}
+    for m in ANY_TAG.finditer(page):
+        name = m[2].lower()
+        if m[1]:
+            if waiting.get(name):
+                out[waiting[name].pop()] = m.start()
+        elif not m[0].endswith("/"):
+            waiting.setdefault(name, []).append(m.start())
+    return out
+
+
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """("tag", name, role) and ("text", raw text, role) in page order; scripts and the like are left out.
 
@@ -106,10 +127,13 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
     opened: Counter[str] = Counter()  # elements of the stack by name, so that a stray end tag costs nothing
     role, link = "plain", False
     pos, end = 0, len(page)
+    places: list[int] = []  # where the elements of the stack start
+    ends: dict[int, int] | None = None
 
     def pop() -> tuple[str, str]:
         nonlocal role, link
         name, was, _ = stack.pop()
+        places.pop()
         opened[name] -= 1
         role, link = (stack[-1][1], stack[-1][2]) if stack else ("plain", False)
         return name, was
@@ -132,9 +156,13 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             yield "tag", name, was
             continue
         if name in SKIPPED:
-            close = CLOSING[name].search(page, pos)
-            if close or name != "head":
-                pos = close.start() if close else end
+            closed = page[m.end() - 2 : m.end()] == "/>"
+            if name in RAW:
+                close = CLOSING[name].search(page, pos)
+                pos = close.start() if close else pos if closed else end
+            elif not closed:
+                ends = ends_of(page) if ends is None else ends
+                pos = max(pos, ends.get(m.start(), ends.get(places[-1], pos) if places and name != "head" else pos))
             yield "tag", name, role
             continue
         attributes = attributes_of(m[2]) if m[2] else {}
@@ -159,27 +187,20 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         role, link = own or role, link or name == "a"
         yield "tag", name, role
         stack.append((name, role, link))
+        places.append(m.start())
         opened[name] += 1
 
 
-#: Labelled pages: what stands between the marks [[ and ]] is main text. More can be passed to fit().
-LABELLED = [
-    '<html><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">About us</a></li></ul></nav><div class="ad">Buy now and save today</div><article>[[<h1>A title of words</h1><p>First paragraph of several plain words here.</p><p>Second one with <b>bold</b> words and more of them.</p>]]</article><footer>Copyright of the site owner</footer></body></html>',
-    '<body><header>Site name and slogan</header><div id="content">[[<h2>Heading</h2><p>Long text with a <a href="x">link inside</a> the running text of it.</p><p>Another one follows with a few more words in it.</p>]]</div><div class="sidebar"><h3>Related</h3><ul><li><a href="/1">One more story</a></li><li><a href="/2">Another story</a></li></ul></div><div class="comments"><p>Nice read thanks a lot</p><p>I do not agree with this</p></div></body>',
-    '<body><div><a href="/">Home</a> | <a href="/n">News</a> | <a href="/c">Contact</a></div><div>[[<p>Page without any landmark but with some text to be read by people.</p><p>It has a second paragraph that is also plain text of the page.</p><p>And a third one ends it.</p>]]</div><div><a href="/p">Privacy</a> <a href="/t">Terms of use</a></div></body>',
-    '<body><div class="cookie-notice">We use cookies to make this better</div><main>[[<h1>News of today</h1><p>Words of the story told in one place.</p><blockquote>Quoted words of somebody who was asked.</blockquote><p>More words.</p><table><tr><td>Cell one</td><td>Cell two</td></tr></table>]]</main><form><label>Your name</label><button>Send</button></form><aside>Most read pages of the week</aside></body>',
-    '<body><table><tr><td><a href="1">Menu one</a><br><a href="2">Menu two</a><br><a href="3">Menu three</a></td><td>[[<p>Old layout with tables and text in a cell of it, long enough to count.</p><p>It goes on for another paragraph of plain text.</p>]]</td></tr></table><div class="footer">All rights reserved by us</div></body>',
-    '<body><section class="post">[[<p>Post body with words and words and words of it.</p><ul><li>A point made</li><li>Another point made</li></ul><p>Closing words of the post.</p>]]</section><section class="reader-comments"><h3>Comments</h3><div class="comment">First reply of a reader here</div><div class="comment">Second reply</div></section><div class="share"><a href="s">Share this</a></div></body>',
-    '<body><div id="wrapper"><div class="top-bar"><a href="/">Start</a><a href="/shop">Shop</a></div><div class="story-page">[[<h1>Heading of a story</h1><p>First half of the text that people came to read.</p>]]<aside><p>Read this other story too</p></aside>[[<p>Second half of the text with as many words as it needs.</p><pre>code in the text</pre>]]</div><p><a href="/x">Next</a> <a href="/y">Previous</a></p></div></body>',
-    '<body><main>[[<h2>Question</h2><p>Somebody asks how a thing is done and tells what was tried.</p><ol><li>One step of the answer</li><li>Another step of it</li></ol>]]</main><section><h4>Hot network</h4><a href="1">Some link text</a><a href="2">More link text</a><a href="3">Even more link text</a></section></body>',
-    '<body><center><font>Best viewed in any browser</font></center><hr>[[<h1>Notes</h1>Text that stands in no paragraph at all, line by line.<br>It is broken by line breaks only.<br>Here is the last line of it.]]<hr><a href="mailto:x">Mail</a> <a href="/">Up</a></body>',
-]
 MARK = re.compile(r"\[\[|\]\]")
 #: A tag never scores above this.
 TAG_TOP = -0.05
 CLIP = 4.0
 
 
+def tag_feature(name: str, role: str) -> str:
+    return f"<{name}@content" if role.startswith("content") else f"<{name}"
+
+
 def features(page: str) -> Iterator[tuple[str, bool]]:
     """(feature, is in the main text) for each word and tag of a labelled page."""
     inside = False
@@ -187,7 +208,7 @@ def features(page: str) -> Iterator[tuple[str, bool]]:
         if role in FURNITURE:
             continue
         if kind == "tag":
-            yield f"<{what}", inside
+            yield tag_feature(what, role), inside
             continue
         for part in re.split(r"(\[\[|\]\])", what):
             if MARK.fullmatch(part):
@@ -196,8 +217,9 @@ def features(page: str) -> Iterator[tuple[str, bool]]:
                 yield from ((role, inside) for _ in part.split())
 
 
-def fit(labelled: list[str] = LABELLED) -> dict[str, float]:
-    """Log odds of words by role and of tags by name, from a bounded list of labelled pages."""
+def fit(labelled: list[str] | None = None) -> dict[str, float]:
+    """Log odds of words by role and of tags by name and place, from a bounded list of labelled pages."""
+    labelled = labelled_pages() if labelled is None else labelled
     counts = Counter(x for page in labelled for x in features(page))
     total = {kind: {b: sum(n for (f, x), n in counts.items() if x == b and f.startswith("<") == kind) for b in (True, False)} for kind in (True, False)}
     names = {f for f, _ in counts} | {r + s for r in ROLES[:2] for s in ("", "/link")}
@@ -220,7 +242,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         if role in FURNITURE:
             continue
         # words between two tags share a score, so the scan moves from tag to tag
-        score = weights.get(f"<{what}", TAG_TOP) if kind == "tag" else weights[role] * len(what.split())
+        score = weights.get(tag_feature(what, role), TAG_TOP) if kind == "tag" else weights[role] * len(what.split())
         if run <= 0:
             run, run_from = 0.0, i
         run += score
