@@ -4,8 +4,9 @@ Every document gets the exponential key -ln(u) / quality, u from a digest of the
 text.
 A source's target is first spent on complete epochs; what remains is filled in key order until the
 running number of words reaches it, and the document that crosses the budget is taken in part. The
-running sum never sorts a source as a whole: keys are dealt into slices of (0, inf), slices are
-summed, and only the slice in which a source's budget ends is sorted.
+running sum never sorts a source as a whole: keys are dealt into slices of equal width in ln(key), slices
+are summed, and only the slice in which a source's budget ends is sorted. A weight scales keys and so only shifts
+their logarithms: whatever the weights, a slice holds about 1 / (e * SLICES) of the different rows of a source at most.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source of its own,
 last; a source without words has target 0; null and repeated ids are told apart by the text, equal
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from sheafline.llm._store import written
 
 TOKEN = r"[^\x20\x09-\x0D]+"
-#: Slices of a source's keys; one slice of one source is sorted in one task.
-SLICES = 4096
+#: Slices for each factor of e in a source's keys; one slice of one source is sorted in one task.
+SLICES = 1024
+#: Keys below are one slice.
+LEAST_KEY = 1e-9
 #: More sources than this are joined by shuffle instead of broadcast.
 BROADCAST_SOURCES = 100_000
 
@@ -39,6 +42,10 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.greatest(F.lit(0.1), F.lit(1.0) - F.abs(F.coalesce(mean, F.lit(6.0)) - 6.0) / 12.0)
 
 
+def slice_of(key: Column, slices: int = SLICES) -> Column:
+    return F.floor(F.log(F.greatest(key, F.lit(LEAST_KEY))) * slices).cast("int")
+
+
 def targets(sources: DataFrame, max_epochs: int) -> DataFrame:
     """(source, source_size) -> plus target: shares by weight, capped, the excess dealt again.
 
@@ -82,14 +89,14 @@ def mix(
     quality = quality_weight(F.col(text), F.col("size")) if weight is None else weight
     # key = -ln(u) / quality, kept with the slice that it falls in
     rows = rows.withColumn("__key", F.round(-F.log(uniform(F.col(doc_id), F.col(text), seed)) / quality, 9))
-    rows = rows.withColumn("__slice", F.floor((1.0 - F.exp(-F.col("__key"))) * slices).cast("int"))
+    rows = rows.withColumn("__slice", slice_of(F.col("__key"), slices))
 
     sums = written(rows.groupBy(F.col(source).alias("source"), F.col("__slice").alias("slice")).agg(F.sum("size").alias("words")))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), max_epochs)
     goal = goal.withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     ).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)  # <= slices rows each
+    upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)  # about 30 * slices rows each
     cut = (
         sums.withColumn("upto", F.sum("words").over(upto))
         .withColumnRenamed("source", "of")

@@ -132,3 +132,14 @@ def test_items_without_an_id_hit(spark, tmp_path):
     names = [d[0] for d in want.description]
     got = entry.queries()["op10_decontaminate"](spark, str(tmp_path)).select(*names).collect()
     assert sorted(want.fetchall()) == sorted(tuple(r) for r in got)
+
+
+def test_no_slice_is_hot(spark):
+    """Whatever the weights, no slice of keys holds much of a source: unspaced texts, mixed ones, single-word ones."""
+    from sheafline.llm import mixing
+
+    for chars in ("'x'", "repeat('日', 40 + id % 9)", "if(id % 2 = 0, repeat('z', 90), 'six ch')"):
+        rows = spark.range(20_000).selectExpr("id AS doc_id", f"{chars} AS text")
+        key = -F.log(mixing.uniform(F.col("doc_id"), F.col("text"), "mix-1")) / mixing.quality_weight(F.col("text"), F.lit(1))
+        largest = rows.groupBy(mixing.slice_of(key)).count().agg(F.max("count")).first()[0]
+        assert largest <= 20_000 * 0.002
