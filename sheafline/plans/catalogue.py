@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheafline.plans import files, items, quizzes, sequences
+from sheafline.plans import files, items, quizzes, sequences, streams
 
-QUERIES: dict = {**items.QUERIES, **sequences.QUERIES, **quizzes.QUERIES, **files.QUERIES}
-ORACLES: dict[str, str] = {**items.ORACLES, **sequences.ORACLES, **quizzes.ORACLES, **files.ORACLES}
+QUERIES: dict = {**items.QUERIES, **sequences.QUERIES, **quizzes.QUERIES, **files.QUERIES, **streams.QUERIES}
+ORACLES: dict[str, str] = {**items.ORACLES, **sequences.ORACLES, **quizzes.ORACLES, **files.ORACLES, **streams.ORACLES}
