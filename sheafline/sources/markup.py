@@ -160,29 +160,3 @@ def strict_issues(lines: DataFrame, unit: str) -> DataFrame:
         )
     )
     return single.unionByName(blocks.select(unit, "pos", F.inline(found)))
-
-
-def option_runs(blocks: DataFrame, unit: str) -> DataFrame:
-    """(unit, question, options, answers, answer_line): a block followed by two or more option blocks.
-
-    Bold options are answers; a line right after the options that names letters is kept with them. A
-    page break inside the run is told.
-    """
-    w = Window.partitionBy(unit).orderBy("pos")
-    label = T.option_label(F.col("text"))
-    rows = blocks.withColumn("label", label).withColumn("is_option", label.isNotNull())
-    rows = rows.withColumn("starts", F.col("is_option") & ~F.coalesce(F.lag("is_option").over(w), F.lit(False)))
-    rows = rows.withColumn("run", F.when(F.col("is_option"), _sum(F.col("starts"), unit)))
-    rows = rows.withColumns({"before": F.lag("text").over(w), "after": F.lead("text").over(w)})
-    text = F.regexp_replace("text", r"^\s*\S[).]\s*", "")
-    runs = rows.where("is_option").groupBy(unit, "run").agg(
-        F.min_by("before", "pos").alias("question"),
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x.t).alias("options"),
-        F.sort_array(F.collect_list(F.when(F.size("bold") > 0, F.col("label")))).alias("bold_answers"),
-        F.max_by("after", "pos").alias("after"),
-        F.bool_or("page_break_before").alias("split_by_page"),
-    )
-    answer = F.regexp_extract("after", r"(?iu)^\s*(?:правильный ответ|ответ)?\s*[:：]?\s*([A-DА-Г](?:[,;/ ]+[A-DА-Г])*)\s*$", 1)
-    return runs.where((F.size("options") >= 2) & F.col("question").isNotNull()).select(
-        unit, "run", "question", "options", "bold_answers", F.nullif(answer, F.lit("")).alias("answer_line"), "split_by_page"
-    )
