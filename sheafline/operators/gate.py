@@ -29,19 +29,29 @@ def resolved(issues: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def upload_gate(issues: DataFrame, decisions: DataFrame, unit: str, stale: bool = False) -> DataFrame:
-    """(unit, status, reason, skipped) of every unit that has issues."""
+    """(unit, status, reason, n_skipped) of every unit that has issues; skipped_rows() has the rows themselves.
+
+    Issues are folded by unit and index first, then by unit, so that a unit with most of the issues is combined on its way.
+    """
     found = resolved(issues, decisions)
     if stale:
         found = found.withColumn("resolved", F.lit(False))
     open_ = lambda severity: F.bool_or((F.col("severity") == severity) & ~F.col("resolved"))
-    skipped = F.sort_array(F.collect_set(F.when(F.col("resolved") & (F.col("action") == "skip_question"), F.col("index"))))
-    folded = found.groupBy(unit).agg(open_("error").alias("e"), open_("warning").alias("w"), skipped.alias("skipped"))
+    skips = F.bool_or(F.col("resolved") & (F.col("action") == "skip_question") & F.col("index").isNotNull())
+    each = found.groupBy(unit, "index").agg(open_("error").alias("e"), open_("warning").alias("w"), skips.alias("s"))
+    folded = each.groupBy(unit).agg(F.bool_or("e").alias("e"), F.bool_or("w").alias("w"), F.count_if("s").alias("n_skipped"))
     if stale:
         status, reason = F.lit("review_required"), F.lit("review_decisions_stale")
     else:
         status = F.when(F.col("e"), "blocked").when(F.col("w"), "review_required").otherwise("allowed")
         reason = F.when(F.col("e"), "hard_errors_unresolved").when(F.col("w"), "warnings_unresolved").otherwise("validation_resolved")
-    return folded.select(unit, status.alias("status"), reason.alias("reason"), "skipped")
+    return folded.select(unit, status.alias("status"), reason.alias("reason"), "n_skipped")
+
+
+def skipped_rows(issues: DataFrame, decisions: DataFrame, unit: str) -> DataFrame:
+    """(unit, index) of every question that a decision skips, once."""
+    found = resolved(issues, decisions)
+    return found.where((F.col("action") == "skip_question") & F.col("resolved") & F.col("index").isNotNull()).select(unit, "index").distinct()
 
 
 def warning_buckets(issues: DataFrame, keys: list[str]) -> DataFrame:

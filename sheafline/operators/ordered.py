@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from sheafline.operators.prefix import SIZE, running
+
 
 def _upto(unit: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*unit).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -91,19 +93,30 @@ def nth_repeat(unit: Sequence[str], key: Column, order: Sequence[str]) -> Column
     return F.row_number().over(Window.partitionBy(*unit, key).orderBy(*order))
 
 
-def disambiguated(text: Column, n: Column, most: int = 300) -> Column:
-    """Repeats get a numbered suffix; the whole stays within `most` characters."""
+def with_suffix(text: Column, n: Column, most: int = 300) -> Column:
+    """A numbered suffix; the whole stays within `most` characters."""
     suffix = F.concat(F.lit(" (контекст "), n.cast("string"), F.lit(")"))
-    cut = F.rtrim(F.substring(text, F.lit(1), most - F.length(suffix)))
-    return F.when(n > 1, F.concat(cut, suffix)).otherwise(text)
+    return F.concat(F.rtrim(F.substring(text, F.lit(1), most - F.length(suffix))), suffix)
 
 
-def thirds(df: DataFrame, unit: Sequence[str], order: Sequence[str], most: int, name: str = "part") -> DataFrame:
-    """Three contiguous parts of equal size, the size capped, the rest in the last."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*unit))
-    at = F.row_number().over(Window.partitionBy(*unit).orderBy(*order))
-    size = F.least(F.lit(most), F.ceil(n / 3).cast("int"))
-    return df.withColumn(name, F.least(F.floor((at - 1) / size), F.lit(2)).cast("int"))
+def disambiguated(text: Column, n: Column, most: int = 300) -> Column:
+    """Repeats get a numbered suffix."""
+    return F.when(n > 1, with_suffix(text, n, most)).otherwise(text)
+
+
+def thirds(df: DataFrame, unit: Sequence[str], pos: str, most: int, name: str = "part", size: int = SIZE) -> DataFrame:
+    """Three contiguous parts of equal size, the size capped, the rest in the last; by a whole-number position, unique in a unit.
+
+    Rows are numbered per range of positions, so that a unit with most of the rows is no single task.
+    """
+    n = df.groupBy(*[F.col(u).alias(f"__{u}") for u in unit]).agg(F.count(F.lit(1)).alias("__n"))
+    placed = running(df, unit, pos, sums={"__at": F.lit(1)}, size=size)
+    same = F.lit(True)
+    for u in unit:
+        same = same & F.col(u).eqNullSafe(F.col(f"__{u}"))
+    each = F.least(F.lit(most), F.ceil(F.col("__n") / 3))
+    part = F.least(F.floor((F.col("__at") - 1) / each), F.lit(2)).cast("int")
+    return placed.join(n, same).select(*df.columns, part.alias(name))
 
 
 def nearest(df: DataFrame, unit: Sequence[str], position: str, anchor: Column, ahead: int, back: int, name: str) -> DataFrame:

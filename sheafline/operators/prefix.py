@@ -48,7 +48,7 @@ def running(
         *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__part").alias("__k_part"),
         *[F.sum(n).over(parts).alias(f"__s_{n}") for n in sums], *[F.last(n, ignorenulls=True).over(parts).alias(f"__s_{n}") for n in lasts],
     )
-    same = F.col("__part") == F.col("__k_part")
+    same = F.col("__part").eqNullSafe(F.col("__k_part"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     inner = d.withColumns(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.functions import text as T
-from sheafline.operators import gate, ledger, merge, ordered
+from sheafline.operators import gate, ledger, merge, ordered, selection
 from sheafline.plans.items import table
 
 
@@ -56,7 +56,7 @@ def blank_runs(spark, sf_dir):
 
 
 def split_three_parts(spark, sf_dir):
-    d = ordered.thirds(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 200)
+    d = ordered.thirds(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], "doc_id", 200)
     return d.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
 
@@ -86,9 +86,31 @@ def conditional_propagation(spark, sf_dir):
 
 
 def disambiguate_duplicates(spark, sf_dir):
+    """Names of parts of one brand are made different; every ninth part is named like the second of some name."""
     p = table(spark, sf_dir, "part")
-    n = ordered.nth_repeat(["p_brand"], F.col("p_name"), ["p_partkey"])
-    return p.select("p_partkey", ordered.disambiguated(F.col("p_name"), n).alias("title"))
+    name = F.when(F.col("p_partkey") % 9 == 0, F.concat("p_name", F.lit(" (контекст 2)"))).when(F.col("p_partkey") % 50 == 7, F.concat("p_name", F.lit(" (контекст 2) (контекст 1)"))).otherwise(F.col("p_name"))
+    named = p.select(F.substring("p_brand", 1, 7).alias("brand"), "p_partkey", name.alias("name"))
+    return selection.made_different(named, "brand", "p_partkey", "name").select("p_partkey", "title")
+
+
+# ------------------------------------------------------------------ selection in order
+def limited_rows(spark, sf_dir):
+    """Documents from an id on, up to a limit; a limit of 0 gives one row."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return selection.limited(d, "doc_id", 37, 250).withColumn("kind", F.lit("some")).unionByName(selection.limited(d, "doc_id", 100, 0).withColumn("kind", F.lit("none")))
+
+
+def list_failures(spark, sf_dir):
+    """Turns as lists of one role and length class: the first text that came before, else lists that are too long."""
+    c = conversations(spark, sf_dir).select(F.concat_ws(" ", "role", (F.length("text") % 97).cast("string")).alias("list"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), F.substring_index("text", " ", 2).alias("text"))
+    return selection.list_failures(c, "list", "pos", "text")
+
+
+def merged_in_order(spark, sf_dir):
+    """Documents with labels put over them, numbered by id, up to the first that is toxic and of low quality."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("unlabelled").alias("state"))
+    new = table(spark, sf_dir, "labels").select("doc_id", F.concat_ws(" ", "quality", "toxic").alias("state"))
+    return selection.until_first(selection.merged_in_order(d, new, "doc_id"), "doc_id", (F.col("state") == "0 1") & (F.col("doc_id") > 100))
 
 
 # ------------------------------------------------------------------ decisions
@@ -111,7 +133,15 @@ def decision_join(spark, sf_dir):
 
 def upload_gate(spark, sf_dir):
     out = gate.upload_gate(_issues(spark, sf_dir), _decisions(spark, sf_dir), "source")
-    return out.select("source", "status", "reason", F.size("skipped").cast("long").alias("n_skipped"))
+    return out
+
+
+def skipped_rows(spark, sf_dir):
+    return gate.skipped_rows(_issues(spark, sf_dir), _decisions(spark, sf_dir), "source")
+
+
+def stale_gate(spark, sf_dir):
+    return gate.upload_gate(_issues(spark, sf_dir), _decisions(spark, sf_dir), "source", stale=True)
 
 
 def warning_buckets(spark, sf_dir):
@@ -224,6 +254,7 @@ def error_classes(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     context_carry_forward, context_change_items, prelude_once, item_numbering, event_islands, blank_runs, split_three_parts,
     balanced_pack, chunk_ownership, nearest_anchor, conditional_propagation, disambiguate_duplicates, decision_join, upload_gate,
+    skipped_rows, stale_gate, limited_rows, list_failures, merged_in_order,
     warning_buckets, upsert_newest_wins, resume_todo, normalize_with_retries, run_snapshot, job_event_fold, eta_seconds,
     cooldown_due, continue_plan, probe_fold, error_classes,
 )}
@@ -262,8 +293,26 @@ SELECT CAST(chunk AS INTEGER) AS chunk, count(*) AS seen, count(*) FILTER (owner
     "nearest_anchor": """SELECT c.conv_id, c.turn, coalesce(min(a.turn) FILTER (a.turn BETWEEN c.turn AND c.turn + 8), max(a.turn) FILTER (a.turn BETWEEN c.turn - 5 AND c.turn - 1)) AS anchor
 FROM conversations c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.role = 'assistant' GROUP BY 1, 2""",
     "conditional_propagation": "SELECT conv_id, turn, context IS NOT NULL AND (contains(lower(text), 'this') OR len(list_filter(regexp_extract_all(context, '[" + T.LETTER + "]+'), lambda t: length(t) >= 5 AND contains(lower(text), t))) > 0) AS inherits FROM (SELECT *, " + _CARRIED.format(v="CASE WHEN role = 'system' THEN lower(text) END") + " AS context FROM conversations) WHERE role = 'user'",
-    "disambiguate_duplicates": """SELECT p_partkey, CASE WHEN n > 1 THEN p_name || ' (контекст ' || n || ')' ELSE p_name END AS title
-FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n FROM part)""",
+    "disambiguate_duplicates": """WITH RECURSIVE p AS (
+  SELECT substr(p_brand, 1, 7) AS brand, p_partkey AS pos, CASE WHEN p_partkey % 9 = 0 THEN p_name || ' (контекст 2)' WHEN p_partkey % 50 = 7 THEN p_name || ' (контекст 2) (контекст 1)' ELSE p_name END AS name FROM part),
+d AS (SELECT *, lower(trim(name)) AS key, row_number() OVER (PARTITION BY brand, lower(trim(name)) ORDER BY pos) AS n FROM p),
+g AS (
+  SELECT brand, pos, name || ' (контекст ' || n || ')' AS title FROM d WHERE n > 1
+  UNION SELECT d.brand, d.pos, d.name || ' (контекст 1)' FROM g JOIN d ON d.brand = g.brand AND d.key = lower(trim(g.title)) AND d.n = 1 AND d.pos > g.pos)
+SELECT d.pos AS p_partkey, coalesce(g.title, d.name) AS title FROM d LEFT JOIN g ON g.brand = d.brand AND g.pos = d.pos""",
+    "skipped_rows": ISSUES_SQL + "SELECT DISTINCT source, idx AS \"index\" FROM o WHERE resolved AND action = 'skip_question'",
+    "stale_gate": ISSUES_SQL + "SELECT DISTINCT source, 'review_required' AS status, 'review_decisions_stale' AS reason, 0 AS n_skipped FROM o",
+    "limited_rows": """SELECT doc_id, source, 'some' AS kind FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id >= 37) WHERE n <= 250
+UNION ALL SELECT doc_id, source, 'none' FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE doc_id >= 100)""",
+    "list_failures": """WITH c AS (
+  SELECT role || ' ' || (length(text) % 97) AS list, conv_id * 1000 + turn AS pos, lower(trim(array_to_string(string_split(text, ' ')[1:2], ' '))) AS key FROM conversations),
+r AS (SELECT *, min(pos) OVER (PARTITION BY list, key) AS first FROM c),
+f AS (SELECT list, min(pos) AS duplicate, arg_min(first, pos) AS original FROM r WHERE pos > first GROUP BY 1)
+SELECT list, count(*) AS rows, any_value(duplicate) AS duplicate, any_value(original) AS original,
+  CASE WHEN any_value(duplicate) IS NOT NULL THEN 'duplicate_question' WHEN count(*) > 200 THEN 'too_many_questions' END AS code FROM c LEFT JOIN f USING (list) GROUP BY 1""",
+    "merged_in_order": """WITH m AS (SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'unlabelled' ELSE quality || ' ' || toxic END AS state FROM documents d FULL JOIN labels l USING (doc_id)),
+n AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS place FROM m)
+SELECT * FROM n WHERE doc_id <= coalesce((SELECT min(doc_id) FROM n WHERE state = '0 1' AND doc_id > 100), (SELECT max(doc_id) FROM n))""",
     "decision_join": ISSUES_SQL + 'SELECT source, code, idx AS "index", severity, action, resolved FROM o',
     "upload_gate": ISSUES_SQL + """SELECT source, CASE WHEN e THEN 'blocked' WHEN w THEN 'review_required' ELSE 'allowed' END AS status,
   CASE WHEN e THEN 'hard_errors_unresolved' WHEN w THEN 'warnings_unresolved' ELSE 'validation_resolved' END AS reason, n_skipped FROM (
