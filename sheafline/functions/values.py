@@ -57,23 +57,6 @@ def roman(number: Column) -> Column:
     return F.concat(digit(TENS, F.floor(number / 10)), digit(ROMAN, number % 10))
 
 
-#: Parts of names of fields whose values are never shown.
-SECRET_PARTS = "token|secret|password|api_?key|api_?hash|phone|session"
-
-
-def redacted_map(entries: Column) -> Column:
-    """A map with the values of secret-looking keys hidden."""
-    return F.transform_values(entries, lambda k, v: F.when(F.lower(k).rlike(SECRET_PARTS), F.lit("***")).otherwise(v))
-
-
-def block_id(alias: Column) -> Column:
-    """One spelling of b0001, p-0001, p0001 and 1, or of img0001 and img-0001."""
-    digits = F.lpad(F.regexp_extract(alias, r"(\d+)$", 1), 4, "0")
-    return F.when(alias.rlike(r"(?i)^img-?\d+$"), F.concat(F.lit("img"), digits)).when(
-        alias.rlike(r"(?i)^(b|p-?)?\d+$"), F.concat(F.lit("b"), digits)
-    )
-
-
 MEDIA_SUFFIXES = ("png", "jpg", "jpeg", "webp", "gif")
 
 

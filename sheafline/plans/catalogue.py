@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheafline.plans import files, items, prepared, quizzes, sequences, streams
+from sheafline.plans import files, items, prepared, quizzes, sequences, streams, trees
 
-QUERIES: dict = {**items.QUERIES, **sequences.QUERIES, **quizzes.QUERIES, **files.QUERIES, **streams.QUERIES, **prepared.QUERIES}
-ORACLES: dict[str, str] = {**items.ORACLES, **sequences.ORACLES, **quizzes.ORACLES, **files.ORACLES, **streams.ORACLES, **prepared.ORACLES}
+QUERIES: dict = {**items.QUERIES, **sequences.QUERIES, **quizzes.QUERIES, **files.QUERIES, **streams.QUERIES, **prepared.QUERIES, **trees.QUERIES}
+ORACLES: dict[str, str] = {**items.ORACLES, **sequences.ORACLES, **quizzes.ORACLES, **files.ORACLES, **streams.ORACLES, **prepared.ORACLES, **trees.ORACLES}
