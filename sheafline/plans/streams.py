@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheafline.plans.items import table
-from sheafline.scratch import scratch
+from sheafline.scratch import scratch, written
 from sheafline.streaming import stateful, tail
+from sheafline.streaming import upload as uploads
 
 STEPS = 3
 
@@ -126,3 +128,31 @@ TAILED = "SELECT user_id AS job, count(*) AS events, max(event_id) AS \"last\",
 
 QUERIES = {f.__name__: f for f in (job_state_stream, resume_firings, net_run_states, tailed_jobs)}
 ORACLES = {"job_state_stream": JOBS, "resume_firings": FIRINGS, "net_run_states": NET, "tailed_jobs": TAILED}
+
+
+# ------------------------------------------------------------------ paced uploads
+def paced_uploads(spark, sf_dir):
+    """Orders uploaded by customer: an upload that breaks in a task, one whose driver is lost, then two that end; each row once, with its planned start."""
+    path = scratch(spark, "uploads")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), "o_orderkey")
+    rows = o.withColumn("index", F.row_number().over(Window.partitionBy("run").orderBy("o_orderkey")).cast("long"))
+    speed = F.get(F.array(*[F.lit(x) for x in ("normal", "fast", "slow", "auto")]), F.pmod("run", F.lit(4)).cast("int"))
+    rows = written(uploads.planned(rows, "run", "index", speed), "planned")
+    for crash in ("task", "driver", "", ""):
+        try:
+            uploads.upload(rows, path, "run", "index", **({"crash": crash} if crash else {}))
+        except Exception:  # what was planned to break
+            if not crash:
+                raise
+    return uploads.ledger(spark, path, "run", "index").select("run", "index", "o_orderkey", "seconds", "starts_at", "times")
+
+
+PACED = """
+WITH o AS (SELECT o_custkey AS run, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+s AS (
+  SELECT *, [4.5, 2.25, 8.0, 2.25][run % 4 + 1] + [30.0, 7.5, 75.0, 7.5][run % 4 + 1] + 2.0
+    + CASE WHEN i % [10, 10, 8, 10][run % 4 + 1] = 0 THEN [90.0, 27.5, 240.0, 27.5][run % 4 + 1] ELSE 0.0 END AS seconds FROM o)
+SELECT run, i AS "index", o_orderkey, CAST(seconds AS DOUBLE) AS seconds, CAST(sum(seconds) OVER (PARTITION BY run ORDER BY i) - seconds AS DOUBLE) AS starts_at, 2 AS times FROM s
+"""
+QUERIES["paced_uploads"] = paced_uploads
+ORACLES["paced_uploads"] = PACED

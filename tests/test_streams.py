@@ -90,3 +90,28 @@ def _sleeping(batches):
     for b in batches:
         time.sleep(20)
         yield b
+
+
+def test_uploads_are_kept_once(spark, tmp_path):
+    import pytest
+
+    from sheafline.streaming import upload
+
+    rows = spark.createDataFrame([(run, i, f"{run}-{i}") for run in range(5) for i in range(1, 8)], "run long, index long, text string")
+    path = f"file://{tmp_path}/up"
+    upload.upload(rows.where("run = 0"), path, "run", "index")
+    for crash in ("task", "driver"):
+        with pytest.raises(Exception, match="was lost"):
+            upload.upload(rows, path, "run", "index", crash=crash)
+        assert upload.ledger(spark, path, "run", "index").count() == 7  # what was not committed does not count
+    upload.upload(rows, path, "run", "index")
+    got = {(r["run"], r["index"]): (r["text"], r["times"]) for r in upload.ledger(spark, path, "run", "index").collect()}
+    assert got == {(run, i): (f"{run}-{i}", 2 if run == 0 else 1) for run in range(5) for i in range(1, 8)}
+    rows.write.parquet(f"{tmp_path}/in")
+    for checkpoint in ("a", "a", "b"):  # a stream that goes on, then one that starts anew
+        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        stream.writeStream.format(upload.NAME).option("path", path).option("query", checkpoint).option("checkpointLocation", f"{tmp_path}/{checkpoint}").trigger(availableNow=True).start().awaitTermination()
+    assert {r.times for r in upload.ledger(spark, path, "run", "index").collect()} == {3, 4} and upload.ledger(spark, path, "run", "index").count() == 35
+    long = spark.range(1, 200).selectExpr("7 AS run", "id AS index")
+    plans = [sorted((r["index"], r["seconds"], r["starts_at"]) for r in upload.planned(long, "run", "index", F.lit("slow"), size=s).collect()) for s in (1, 16, 4096)]
+    assert plans[0] == plans[1] == plans[2] and plans[0][8] == (9, 85.0, 8 * 85.0 + 240.0)
