@@ -88,8 +88,9 @@ def grams(column: pa.Array, n: int = N) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """The key of a row: rows share it only if id and text are equal, nulls included."""
-    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+    """128 bits of a row: rows share them only if id and text are equal, nulls included."""
+    told = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.md5(F.col(c).cast("string"))))
+    return F.unhex(F.md5(F.concat(told(doc_id), told(text))))
 
 
 def _sketch(batches):
@@ -295,7 +296,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
     numbered = slim.withColumn("row", F.monotonically_increasing_id())  # tells equal rows apart once it is written
-    sketch = written(numbered.mapInArrow(_sketch, "doc_id long, key long, row long, words int, one long, two long, tokens array<int>"))
+    sketch = written(numbered.mapInArrow(_sketch, "doc_id long, key binary, row long, words int, one long, two long, tokens array<int>"))
     classes = written(
         sketch.where("words > 0").groupBy("one", "two").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "row")).alias("first"),

@@ -178,8 +178,9 @@ class RuleEnsemble:
 
 
 def fit(labelled: DataFrame, *, text: str = "text", label: str = "quality", seed: int = 11) -> RuleEnsemble:
-    """Fits on the rows given, a bounded number."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col("doc_id"), statistics(F.col(text)).alias("s"), F.col(label).alias("y"))
+    """Fits on the rows given, a bounded number; with a column s of statistics, the texts are not asked for."""
+    found = F.col("s") if "s" in labelled.columns else statistics(F.col(text))
+    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col("doc_id"), found.alias("s"), F.col(label).alias("y"))
     table = rows.select("doc_id", "s.*", "y").orderBy("doc_id", *STATISTICS, "y").toPandas()
     x, y = table[list(STATISTICS)].to_numpy(float), table["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
@@ -207,14 +208,15 @@ def fraction(*columns: str) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, most: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, text, quality) of labelled training rows, at most `most` of them, taken by a digest."""
+    """(doc_id, s: statistics of the text, quality) of labelled training rows, at most `most` of them, taken by a digest."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
     known = known.select("doc_id", "quality")
     share = min(1.0, 2 * most / max(1, known.count()))  # twice as many, of which the first by digest stay
     picked = known.where(fraction("doc_id", "quality") < share)
     picked = picked.orderBy(F.xxhash64("doc_id", "quality"), "doc_id", "quality").limit(most)
     both = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by `most`
-    return both.orderBy(F.xxhash64("doc_id", "text", "quality"), "doc_id", "quality").limit(most)  # where ids repeat
+    told = both.select("doc_id", statistics(F.col("text")).alias("s"), "quality", F.xxhash64("doc_id", "text", "quality").alias("__h"))
+    return told.orderBy("__h", "doc_id", "quality").limit(most).drop("__h")  # where ids repeat; no text leaves its task
 
 
 def scored(docs: DataFrame, model: RuleEnsemble, text: str = "text") -> DataFrame:

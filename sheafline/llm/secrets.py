@@ -11,7 +11,9 @@ assignments are met, whatever their length. One pass over a run scores all of th
 automaton: for each state, only the best start is kept. The score is the log likelihood of the
 characters and of ending there, less that of the same characters under the likeliest of the automata
 learned from kinds of ordinary tokens; a stretch is a secret if the score is at least a margin a
-character and no transition is unseen, save for letters and digits in states that have seen many. Of overlapping ones the highest score stays.
+character and no transition is unseen, save for letters and digits in states that have seen many. Of overlapping ones the highest score
+stays, of equal scores the one that starts first, then the shorter one. Digests of 16 and more hex digits are a base kind and no format: nothing in
+their letters tells them from parts of identifiers.
 
 Spans are (kind, start, end) in code points, end exclusive. The base kinds are found by pattern
 alone; the automata only add spans (kind "format"), never remove any.
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.labelled_secrets import CREDENTIALS, ORDINARY
+from sheafline.llm import labelled_secrets
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -155,8 +157,8 @@ class Scanner:
     """Automata of every format and the one of ordinary tokens (a few hundred states in all)."""
 
     def __init__(self, labelled: dict[str, list[str]] | None = None, ordinary: dict[str, list[str]] | None = None, margin: float = MARGIN):
-        self.formats = {k: Automaton(v) for k, v in (labelled or CREDENTIALS).items()}
-        self.ordinary = [Automaton(v) for v in (ordinary or ORDINARY).values()]
+        self.formats = {k: Automaton(v) for k, v in (labelled or labelled_secrets.credentials()).items()}
+        self.ordinary = [Automaton(v) for v in (ordinary or labelled_secrets.ordinary()).values()]
         self.margin = margin
 
     def plain(self, run: str) -> list[list[float]]:
