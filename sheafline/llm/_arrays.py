@@ -57,12 +57,12 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most `most` bytes each, one row at least."""
+def chunks(offsets: np.ndarray, most: int = CHUNK, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most `most` bytes and `rows` rows each, one row at least."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + rows, n)
         yield lo, hi
         lo = hi
 

@@ -28,6 +28,8 @@ SAMPLE = 1200
 #: Share of a centroid's own members that lie farther away than what it accepts.
 FAR_SHARE = 0.005
 ROUNDS = 8
+#: Rows of one matrix in a task: 16 MB.
+ROWS_AT_ONCE = 1024
 
 _CLASS = A.LOWERED.copy()
 _CLASS[[b for b in range(128) if not (97 <= b <= 122 or 65 <= b <= 90)]] = 32
@@ -36,7 +38,7 @@ _CLASS[[b for b in range(128) if not (97 <= b <= 122 or 65 <= b <= 90)]] = 32
 def counts(column: pa.Array):
     """For chunks of rows: (lo, hi, matrix of trigram counts)."""
     raw, offsets = A.flat(column)
-    for lo, hi in A.chunks(offsets, A.CHUNK // 2):
+    for lo, hi in A.chunks(offsets, A.CHUNK // 2, ROWS_AT_ONCE):
         out = np.zeros((hi - lo, FEATURES), dtype=np.float32)
         part = _CLASS[raw[offsets[lo] : offsets[hi]]].astype(np.uint32)
         if len(part) >= 3:

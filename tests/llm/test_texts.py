@@ -9,6 +9,7 @@ import re
 import uuid
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -380,3 +381,33 @@ def test_language_model_without_rows(spark, no_docs, odd_docs):
 def test_remainder(spark, doc_id):
     r = spark.range(1).select(language.remainder(F.lit(doc_id), 7).alias("r")).first().r
     assert r == zlib.crc32(str(doc_id).encode()) % 7
+
+
+def test_language_by_brute_force(spark):
+    """Trigram counts, TF-IDF vectors and cosines to every centroid worked out with dictionaries, text by text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(120)
+    model = language.fit(docs.where("doc_id % 2 = 0"))
+    texts = [r.text for r in docs.collect()] + ["", "a", "ab 12", "AB" * 3000, "ßßß é 日本語"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in language.identify(rows, model).collect()}
+    import pyarrow as pa
+
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        letters = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in raw]
+        counts = collections.Counter()
+        for a, b, c in zip(letters, letters[1:], letters[2:]):
+            if not a == b == 32:
+                mixed = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+                counts[(mixed * 0x27D4EB2F & 0xFFFFFFFF) >> 20] += 1
+        ((_, _, matrix),) = language.counts(pa.array([text], pa.string()))
+        assert {k: int(n) for k, n in enumerate(matrix[0]) if n} == dict(counts)
+        vector = np.zeros(len(model.idf))
+        for k, n in counts.items():
+            vector[k] = math.sqrt(n) * model.idf[k]
+        cosines = model.centroids @ (vector / max(np.linalg.norm(vector), 1e-12))
+        if re.search(r"[^\W\d_]", text or ""):
+            assert abs(got[i].score - max(0.0, min(1.0, cosines.max()))) < 1e-4
+            assert got[i].lang_pred in {model.langs[j] for j in np.flatnonzero(cosines > cosines.max() - 1e-4)}
+        else:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
