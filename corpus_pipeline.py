@@ -24,17 +24,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group linked by five-word shingles.
 
-    Rows with equal ids and texts count once; a document without an id is kept only where none of its
-    group has one. Kept rows are found by their own key, since ids may be null or repeated.
+    Rows with equal ids and texts count once (of such rows the one with the smallest digest of all its columns
+    stays, so that reruns agree); a document without an id is kept only where none of its
+    group has one. Kept rows are found by their own key of 128 bits, since ids may be null or repeated.
     """
     found = ngram_join.near_duplicates(docs)
     kept = written(found.where("key = kept_key").groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("__rows")))
-    named, nameless = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL").dropDuplicates(["text"])
-    rows = named.unionByName(nameless).withColumn("__key", ngram_join.row_key())
+    rows = docs.withColumn("__key", ngram_join.row_key())
     out = rows.join(kept.hint("shuffle_hash"), "__key")
-    if kept.where("__rows > 1").head(1):
-        out = out.dropDuplicates(["__key"])
-    return out.select(*docs.columns)
+    alone = out.where("__rows = 1").select(*docs.columns)
+    if not kept.where("__rows > 1").head(1):
+        return alone
+    one = out.where("__rows > 1").groupBy("__key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
+    return alone.unionByName(one.select("r.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
