@@ -1,36 +1,47 @@
-"""A data source for the paragraphs of DOCX files, in reading order.
+"""Blocks of DOCX files, in reading order, and what such a file holds that is not read.
 
-    spark.dataSource.register(DocxBlocks)
-    spark.read.format("docx_blocks").load("folder/*.docx")
+Files come as rows (path, content): from binaryFile, which opens whatever file system Spark reads, or from any table. A file
+is a zip of XML and one row's work; files are dealt out by Spark.
 
-One partition per file; a file is a zip of XML and read by the task that owns it. For paths that
-only Spark can open, read_binary() takes the files through binaryFile instead. Text, line and page
-breaks and bold stretches come from the runs; drawings give image rows where they stand.
+Text, line breaks, page and section breaks and bold stretches come from the runs of the body's paragraphs; drawings give
+image rows where they stand. A break at the end of a file gives a row of its own. Tables and text boxes are not read: their drawings
+are counted by unsupported_media(). A file that is no DOCX gives one row of kind "broken".
 """
 
 from __future__ import annotations
 
-import glob
 import io
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sheafline.functions.text import collapse
 
 SCHEMA = (
-    "file string, pos int, kind string, text string, style string, bold array<struct<start:int,end:int>>, "
-    "blank_before int, page_break_before boolean, media array<string>"
+    "file string, pos int, kind string, block_id string, paragraph int, text string, style string, bold array<struct<start:int,end:int>>, "
+    "blank_before int, page_break_before boolean, section_break_before boolean, media array<string>"
 )
+COLUMNS = ["file", "pos", "kind", "block_id", "paragraph", "text", "style", "bold", "blank_before", "page_break_before", "section_break_before", "media"]
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+#: Starts of heading styles, prefixes of ids by kind.
+HEADINGS = ("heading", "заголовок")
+PREFIX = {"heading": "p", "paragraph": "p", "image": "img", "break": "br"}
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the DOCX files below a path."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
 def _pieces(paragraph) -> Iterator[tuple[str, str, bool]]:
-    """("text" | "image" | "page", value, bold) in order."""
-    for run in paragraph.iter(f"{W}r"):
+    """("text" | "image" | "page", value, bold) of a paragraph's own runs, in order."""
+    for run in paragraph.findall(f"{W}r"):
         weight = run.find(f"{W}rPr/{W}b")
         bold = weight is not None and weight.get(f"{W}val", "1") not in ("0", "false")
         for node in run:
@@ -38,87 +49,118 @@ def _pieces(paragraph) -> Iterator[tuple[str, str, bool]]:
                 yield "text", node.text or "", bold
             elif node.tag == f"{W}tab":
                 yield "text", "\t", bold
+            elif node.tag == f"{W}cr" or node.tag == f"{W}br" and node.get(f"{W}type") != "page":
+                yield "text", "\n", bold
             elif node.tag == f"{W}br":
-                yield ("page", "", bold) if node.get(f"{W}type") == "page" else ("text", "\n", bold)
-            elif node.tag == f"{W}drawing":
-                for blip in node.iter(f"{A}blip"):
-                    yield "image", blip.get(f"{R}embed", ""), bold
+                yield "page", "", bold
+            else:
+                for drawing in node.iter(f"{W}drawing"):
+                    for blip in drawing.iter(f"{A}blip"):
+                        yield "image", blip.get(f"{R}embed", ""), bold
+
+
+def _body(data: bytes):
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            return ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return None
 
 
-def blocks_of(name: str, data: bytes) -> Iterator[tuple]:
+def blocks_of(name: str, data: bytes | None) -> Iterator[tuple]:
     """Rows of one file."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
-    pos, blanks, page = 0, 0, False
-    for paragraph in body.findall(f"{W}p"):
+    body = _body(data or b"")
+    if body is None:
+        yield (name, 1, "broken", None, None, "", "", [], 0, False, False, [])
+        return
+    n, pos = {"p": 0, "img": 0, "br": 0}, 0
+    blanks, page, section = 0, False, False
+
+    def row(kind: str, at: int | None, text: str, style: str, bold: list, media: list) -> tuple:
+        nonlocal pos, blanks, page, section
+        prefix = PREFIX[kind]
+        pos, n[prefix] = pos + 1, n[prefix] + 1
+        out = (name, pos, kind, f"{prefix}-{n[prefix]:04d}", at, text, style, bold, blanks, page, section, media)
+        blanks, page, section = 0, False, False
+        return out
+
+    for at, paragraph in enumerate(body.findall(f"{W}p"), start=1):
         style = paragraph.find(f"{W}pPr/{W}pStyle")
         style = style.get(f"{W}val", "") if style is not None else ""
+        kind = "heading" if style.lower().startswith(HEADINGS) else "paragraph"
         text, bold, seen = "", [], False
-
-        def row(kind: str, media: list[str]) -> tuple:
-            nonlocal pos, blanks, page
-            pos += 1
-            out = (name, pos, kind, text if kind != "image" else "", style, bold if kind != "image" else [], blanks, page, media)
-            blanks, page = 0, False
-            return out
-
-        heading = style.lower().startswith(("heading", "заголовок"))
-        for kind, value, strong in [*_pieces(paragraph), ("end", "", False)]:
-            if kind == "text":
+        for piece, value, strong in [*_pieces(paragraph), ("end", "", False)]:
+            if piece == "text":
                 if strong and value:
                     bold.append({"start": len(text), "end": len(text) + len(value)})
                 text += value
                 continue
             if text.strip():
                 seen = True
-                yield row("heading" if heading else "paragraph", [])
+                yield row(kind, at, text, style, bold, [])
             text, bold = "", []
-            if kind == "image":
+            if piece == "image":
                 seen = True
-                yield row("image", [value])
-            elif kind == "page":
+                yield row("image", at, "", style, [], [value])
+            elif piece == "page":
                 page = seen = True
-        if not seen:
-            blanks += 1
-
-
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+        blanks += not seen
+        section = section or paragraph.find(f"{W}pPr/{W}sectPr") is not None
+    if page or section:
+        yield row("break", None, "", "", [], [])
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+def blocks(docs: DataFrame) -> DataFrame:
+    """SCHEMA rows of files (path, content)."""
 
-    def partitions(self) -> list[_File]:
-        return [_File(p) for p in sorted(glob.glob(self.path))] or [_File("")]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        if partition.path:
-            with open(partition.path, "rb") as f:
-                yield from blocks_of(partition.path, f.read())
-
-
-class DocxBlocks(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "docx_blocks"
-
-    def schema(self) -> str:
-        return SCHEMA
+    def cut(batches):
+        for pdf in batches:
+            for name, data in zip(pdf["path"], pdf["content"], strict=True):
+                yield pd.DataFrame(list(blocks_of(name, data)), columns=COLUMNS).astype({"paragraph": "Int32"})
 
-    def reader(self, schema) -> _Reader:
-        return _Reader(dict(self.options))
+    return docs.select("path", "content").mapInPandas(cut, SCHEMA)
 
 
-def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """The same rows from any file system that Spark reads."""
-    import pandas as pd
+def unsupported_media(docs: DataFrame) -> DataFrame:
+    """(file, tables, text_boxes, images, drawings): how much of a file is not read; drawings count those in tables and those in text boxes."""
 
-    def cut(batches):
+    def count(batches):
         for pdf in batches:
-            rows = [r for name, data in zip(pdf["path"], pdf["content"], strict=True) for r in blocks_of(name, data)]
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in SCHEMA.split(", ")])
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).mapInPandas(cut, SCHEMA)
+            out = []
+            for name, data in zip(pdf["path"], pdf["content"], strict=True):
+                body = _body(data or b"")
+                if body is None:
+                    continue
+                tables, boxes = body.findall(f"{W}tbl"), list(body.iter(f"{W}txbxContent"))
+                drawn = lambda of: sum(1 for x in of for _ in x.iter(f"{W}drawing"))
+                out.append((name, len(tables), len(boxes), sum(1 for _ in body.iter(f"{W}drawing")), drawn(tables) + drawn(boxes)))
+            yield pd.DataFrame(out, columns=["file", "tables", "text_boxes", "images", "drawings"])
+
+    return docs.select("path", "content").mapInPandas(count, "file string, tables int, text_boxes int, images int, drawings int")
+
+
+def paragraphs(found: DataFrame) -> DataFrame:
+    """Blocks for operators.blocks: (document, pos, kind, text, bold_text, blank_before, is_heading); texts collapsed, breaks left out."""
+    bold = F.array_join(F.transform("bold", lambda b: F.substring(F.col("text"), b["start"] + 1, b["end"] - b["start"])), "")
+    image = F.col("kind") == "image"
+    return found.where(F.col("kind").isin("heading", "paragraph", "image")).select(
+        F.col("file").alias("document"), "pos", F.when(image, "image").otherwise("text").alias("kind"), F.when(image, F.get("media", F.lit(0))).otherwise(collapse(F.col("text"))).alias("text"),
+        collapse(bold).alias("bold_text"), "blank_before", (F.col("kind") == "heading").alias("is_heading"),
+    )
+
+
+def prepared(found: DataFrame) -> DataFrame:
+    """Blocks for operators.prepare: (document, pos, kind, text, bold, page_break, media)."""
+    return found.where("kind <> 'broken'").select(
+        F.col("file").alias("document"), "pos", "kind", "text", (F.size("bold") > 0).alias("bold"), F.col("page_break_before").alias("page_break"), "media"
+    )
+
+
+def scanned(found: DataFrame) -> DataFrame:
+    """(file, block_id, paragraph_id, kind, text, bold_text, media): blocks numbered over all kinds, images with the paragraph they stand in."""
+    bold = F.array_join(F.transform("bold", lambda b: F.substring(F.col("text"), b["start"] + 1, b["end"] - b["start"])), "")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("pos"))
+    numbered = found.where(F.col("kind").isin("heading", "paragraph", "image")).withColumn("place", place)
+    return numbered.select(
+        "file", F.concat(F.lit("b"), F.lpad(F.col("place").cast("string"), 4, "0")).alias("block_id"), F.concat(F.lit("p"), F.lpad(F.col("paragraph").cast("string"), 4, "0")).alias("paragraph_id"), "kind", "text", bold.alias("bold_text"), "media"
+    )
