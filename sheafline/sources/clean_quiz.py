@@ -118,3 +118,16 @@ def issues(files: DataFrame, file: str = "file", value: str = "value") -> DataFr
     out = whole.unionByName(each)
     actions = F.when(F.col("question").isNull(), F.array(*[F.lit(a) for a in FILE_ACTIONS])).otherwise(F.array(*[F.lit(a) for a in QUESTION_ACTIONS]))
     return out.withColumn("actions", actions)
+
+
+def snapshots(files: DataFrame, file: str = "file", value: str = "value") -> DataFrame:
+    """(file, index, question_text, options) of the questions of clean files, numbered from 1; files that are none give no rows.
+
+    Options are the texts of option objects; a question that is no text is an empty one.
+    """
+    v = F.try_parse_json(F.coalesce(F.col(value), F.lit("")))
+    asked = F.filter(_list(_at(v, "items")), lambda x: F.coalesce(F.try_variant_get(x, "$.type", "string") == "question", F.lit(False)) & _is(x, "OBJECT"))
+    each = files.select(F.col(file).alias("file"), F.posexplode(asked).alias("pos", "it"))
+    text = lambda o, name: F.when(_is(_at(o, name), "STRING"), F.try_variant_get(o, f"$.{name}", "string"))
+    options = F.array_compact(F.transform(_list(_at(F.col("it"), "options")), lambda o: text(o, "text")))
+    return each.select("file", (F.col("pos") + 1).alias("index"), F.coalesce(text(F.col("it"), "question"), F.lit("")).alias("question_text"), F.coalesce(options, F.array().cast("array<string>")).alias("options"))

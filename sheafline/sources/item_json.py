@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(file, value, doc): doc is null where the file is no JSON."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_name").alias("file"), "value", F.try_parse_json("value").alias("doc"))
 
 
