@@ -1,10 +1,11 @@
 """Benchmark decontamination by winnowing, with DataFrame functions only.
 
 Both sides are cut into words (A-Z lower-cased; runs of ASCII letters, ASCII digits and non-ASCII
-characters). Of every few consecutive k-grams the smallest hash is kept; the choice depends on
-these words alone, so any shared run of `window` words begins with a shared fingerprint. Training
-and test fingerprints are joined and each hit is extended to the window of words that begins there,
-which is compared as text, so nothing is lost and nothing is matched by hash only.
+characters). Of every few consecutive k-grams the smallest hash is kept, once for as long as it stays the
+smallest; the choice depends on these words alone, so any shared run of `window` words begins with a
+shared fingerprint. Training and test fingerprints are joined and each hit is extended to the windows of words
+that begin where it is the smallest, which are compared as text, so nothing is lost and nothing is matched by
+hash only. Windows of all lengths (short items are one window) are told in the same pass over the documents.
 
 Defined results: a null or empty text has no words and is never hit; an item without words is
 ignored; an item with a null id hits as any other and is left out of the list `items` alone, and
@@ -15,14 +16,20 @@ results; extra columns of `docs` pass through, those named like a result are rep
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheafline.llm._store import written
+
 WINDOW = 13
 #: Words of a gram, and grams of which the smallest is kept: any shared run of 11 words or more shows.
 GRAM, KEEP = 8, 4
 #: More test fingerprints (or windows) than this are joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 500_000
+#: So are windows of more bytes in all (a word may be very long).
+BROADCAST_BYTES = 256 << 20
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,46 +67,82 @@ def _fingerprints(df: DataFrame, n: int) -> tuple[DataFrame, str]:
     return _over(df, grams, min(KEEP, n - k + 1), lambda a, b: F.least(a, b))
 
 
-def _places(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """Rows (rid, carried columns, n_words, start, n, item_id): n-word windows of items in documents.
+def _runs(mark: str, n: int) -> Column:
+    """Array of (n, start, last, print): fingerprints thinned to one where they change, with the windows that they stand for."""
+    at = F.filter(F.sequence(F.lit(0), F.size(mark)), lambda i: (i > 0) & ((i == 1) | (F.get(mark, i - 1) != F.get(mark, i - 2))))
+    # the next change is looked up by place; 0 is left out above, so an empty list gives an empty array
+    return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), i.alias("start"), F.get(mark, i - 1).alias("print")))
+
+
+def _with_last(runs: str, size: Column) -> Column:
+    """`runs` with last, the window before the next run begins (`size` windows in all)."""
+    return F.transform(
+        runs, lambda r, j: F.struct(r["n"].alias("n"), r["start"].alias("start"), (F.coalesce(F.get(runs, j + 1)["start"], size + 1) - 1).alias("last"), r["print"].alias("print"))
+    )
+
+
+def _marked(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """`df` with runs: the thinned fingerprints for windows of every length, worked out in one pass over the words."""
+    out = []
+    for n in lengths:
+        df, mark = _fingerprints(df, n)
+        df = df.withColumn(f"__runs_{n}", _runs(mark, n))
+        out.append(_with_last(f"__runs_{n}", F.size(mark)))
+    return df.withColumn("runs", F.concat(*out))
+
 
-    Each document has one more row, with start 0, that carries n_words. A hit may have no item_id. posexplode_outer: for
-    posexplode, Spark infers a filter on the array and moves it below the projections, where it
+def _test_side(items: DataFrame, lengths: list[int], window: int) -> tuple[DataFrame, DataFrame]:
+    """((n, print, shared) fingerprints, (n, window, item_id, met) windows) of all items, each in the length of its windows."""
+    prints, windows = [], []
+    for n in lengths:
+        of = items.where(F.size("w") >= window) if n == window else items.where(F.size("w") == n)
+        tests, mark = _fingerprints(of, n)
+        prints.append(tests.select(F.explode_outer(mark).alias("print")).select(F.lit(n).alias("n"), "print"))
+        at = F.explode_outer(F.sequence(F.lit(1), F.size("w") - (n - 1))).alias("at")
+        windows.append(of.select("item_id", "w", at).select(F.lit(n).alias("n"), "item_id", F.array_join(F.slice("w", F.col("at"), n), " ").alias("window")))
+    both = lambda parts: reduce(DataFrame.unionByName, parts).distinct()
+    return both(prints).withColumn("shared", F.lit(True)), both(windows).withColumn("met", F.lit(True))
+
+
+def _places(docs: DataFrame, items: DataFrame, lengths: list[int], window: int) -> DataFrame:
+    """Rows (rid, carried columns, n_words, start, n, item_id): windows of items in documents.
+
+    Each document has one more row, with start 0, that carries n_words. A hit may have no item_id. One thinned fingerprint gives one row;
+    only where it is met, the windows it stands for are cut out and compared. explode_outer: for
+    explode, Spark infers a filter on the array and moves it below the projections, where it
     would compute every fingerprint a second time, inside its own lambdas.
     """
-    tests, mark = _fingerprints(items, n)
-    tests = tests.select("item_id", "w", F.posexplode_outer(mark).alias("at", "print"))
-    prints = tests.select("print").distinct().withColumn("shared", F.lit(True))
-    n_tests = tests.count()
-    whole = items.select("item_id", "w", F.explode_outer(F.sequence(F.lit(1), F.size("w") - (n - 1))).alias("at"))
-    windows = whole.select("item_id", F.array_join(F.slice("w", F.col("at"), n), " ").alias("window")).distinct()
-    windows = windows.withColumn("met", F.lit(True))
+    prints, windows = _test_side(items, lengths, window)
+    size = items.agg(F.sum(F.size("w")).alias("rows"), F.sum(F.octet_length(F.array_join("w", " ")) * window).alias("bytes")).first()
+    if (size.rows or 0) > BROADCAST_ROWS or (size.bytes or 0) > BROADCAST_BYTES:
+        return _by_shuffle(written(docs), lengths, prints, windows)
     carried = [c for c in docs.columns if c != "w"]
-    marked, mark = _fingerprints(docs, n)
-    if n_tests > BROADCAST_ROWS:
-        return _by_shuffle(docs, marked.select("rid", F.posexplode_outer(mark).alias("at", "print")), carried, n, prints, windows)
-    rows = marked.select(*carried, "w", F.posexplode_outer(F.concat(F.array(F.lit(None).cast("long")), mark)).alias("start", "print"))
-    rows = rows.join(F.broadcast(prints), "print", "left")
-    rows = rows.where((F.col("start") == 0) | (F.col("shared") & (F.col("start") + (n - 1) <= F.size("w"))))
-    window = F.when(F.col("start") > 0, F.array_join(F.slice("w", F.greatest("start", F.lit(1)), n), " "))
-    rows = rows.select(*carried, F.size("w").alias("n_words"), "start", window.alias("window"))
-    found = rows.join(F.broadcast(windows), "window", "left")
-    return found.where((F.col("start") == 0) | F.col("met")).select(*carried, "n_words", "start", F.lit(n).alias("n"), "item_id")
-
-
-def _by_shuffle(docs: DataFrame, places: DataFrame, carried: list[str], n: int, prints: DataFrame, windows: DataFrame) -> DataFrame:
-    """_places() where the test side is too large to broadcast: only (rid, place, print) of a text is shuffled by print.
-
-    Places met go back to their text once, as one list, and only there the windows are cut out.
+    none = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("start"), F.lit(0).alias("last"), F.lit(None).cast("long").alias("print")))
+    rows = _marked(docs, lengths).select(*carried, "w", F.explode_outer(F.concat(none, "runs")).alias("r")).select(*carried, "w", "r.*")
+    rows = rows.join(F.broadcast(prints), ["n", "print"], "left").where((F.col("start") == 0) | F.col("shared"))
+    rows = rows.select(*carried, "w", "n", F.explode(F.sequence("start", "last")).alias("start"))
+    rows = rows.where(F.col("start") + (F.col("n") - 1) <= F.size("w"))
+    text = F.when(F.col("start") > 0, F.array_join(F.slice("w", F.greatest("start", F.lit(1)), F.col("n")), " "))
+    rows = rows.select(*carried, F.size("w").alias("n_words"), "start", "n", text.alias("window"))
+    found = rows.join(F.broadcast(windows), ["n", "window"], "left")
+    return found.where((F.col("start") == 0) | F.col("met")).select(*carried, "n_words", "start", "n", "item_id")
+
+
+def _by_shuffle(docs: DataFrame, lengths: list[int], prints: DataFrame, windows: DataFrame) -> DataFrame:
+    """_places() where the test side is too large to broadcast: only (rid, n, start, last, print) of a text is shuffled, by its print.
+
+    Runs met go back to their text once, as one list, and only there the windows are cut out. `docs` are written, so their rid is fixed.
     """
-    met = places.where("print IS NOT NULL").join(prints, "print").groupBy("rid").agg(F.collect_set(F.col("at") + 1).alias("starts"))
+    carried = [c for c in docs.columns if c != "w"]
+    runs = _marked(docs, lengths).select("rid", F.explode_outer("runs").alias("r")).select("rid", "r.*").where("print IS NOT NULL")
+    met = runs.join(prints, ["n", "print"]).groupBy("rid").agg(F.collect_set(F.struct("n", "start", "last")).alias("runs"))
+    starts = F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["start"], r["last"]), lambda i: F.struct(r["n"].alias("n"), i.alias("start")))))
+    fits = F.filter(starts, lambda x: x["start"] + x["n"] - 1 <= F.size("w"))
+    cut = docs.select("rid", "w").join(met, "rid").select("rid", F.explode(F.transform(fits, lambda x: F.struct(x["n"].alias("n"), x["start"].alias("start"), F.array_join(F.slice("w", x["start"], x["n"]), " ").alias("window")))).alias("x"))
+    found = cut.select("rid", "x.*").join(windows, ["n", "window"]).select("rid", "start", "n", "item_id")
     of_doc = docs.select(*carried, F.size("w").alias("n_words"))
-    cut = docs.select("rid", "w").join(met, "rid")
-    starts = F.filter("starts", lambda i: i + (n - 1) <= F.size("w"))
-    each = cut.select("rid", F.explode(F.transform(starts, lambda i: F.struct(i.alias("start"), F.array_join(F.slice("w", i, n), " ").alias("window")))).alias("x"))
-    found = each.select("rid", "x.start", "x.window").join(windows, "window").select("rid", "start", "item_id")
-    none = [F.lit(0).alias("start"), F.lit(n).alias("n"), F.lit(None).cast("string").alias("item_id")]
-    hit = of_doc.join(found, "rid").select(*carried, "n_words", "start", F.lit(n).alias("n"), "item_id")
+    none = [F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("item_id")]
+    hit = of_doc.join(found, "rid").select(*carried, "n_words", "start", "n", "item_id")
     return hit.unionByName(of_doc.select(*carried, "n_words", *none))
 
 
@@ -111,9 +154,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> Data
     cut = docs.withColumn("w", words(F.col("text"))).drop("text")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w"))
     items = items.where(F.size("w") > 0)
-    found = _places(cut, items.where(F.size("w") >= window), window)
-    for r in items.where(F.size("w") < window).select(F.size("w").alias("n")).distinct().collect():  # < window rows
-        found = found.unionByName(_places(cut, items.where(F.size("w") == r.n), r.n))
+    lengths = sorted(r.n for r in items.select(F.least(F.size("w"), F.lit(window)).alias("n")).distinct().collect())  # `window` rows at most
+    found = _places(cut, items, lengths or [window], window)
     carried = [F.first(c).alias(c) for c in docs.columns if c not in ("rid", "text")]
     per_doc = found.groupBy("rid").agg(
         *carried,
