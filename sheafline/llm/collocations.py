@@ -32,7 +32,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: Bits that tell frequent phrases: 16 MB in each task, whatever the corpus.
 BITS = 1 << 27
 #: Bytes of text that are counted at once.
-STRETCH = 1 << 21
+STRETCH = 1 << 20
 #: Groups that share the first sort of a language's candidates.
 SALTS = 256
 
@@ -88,10 +88,20 @@ def _known(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _batch(column: pa.Array, langs: pa.Array, k: int, bits: np.ndarray | None, most: int) -> Iterator[pa.RecordBatch]:
-    raw, offsets = flat(column)
     codes = pc.fill_null(langs, "und").dictionary_encode()
     names = codes.dictionary.to_pylist()
-    hashes, of_row = lang_hash(names), codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes, of_all = lang_hash(names), codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(column):  # rows of about one stretch at a time, so that only those are copied
+        last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + most, "right")))
+        raw, offsets = flat(column.slice(first, last - first))
+        of_row = of_all[first:last]
+        first = last
+        yield from _counted(raw, offsets, of_row, codes, hashes, k, bits, most)
+
+
+def _counted(raw: np.ndarray, offsets: np.ndarray, of_row: np.ndarray, codes, hashes: np.ndarray, k: int, bits: np.ndarray | None, most: int) -> Iterator[pa.RecordBatch]:
     for lo, hi in stretches(raw, offsets, most):
         row, piece, text, word_hash = words_of(raw, offsets, lo, hi)
         if len(row) < k:
