@@ -33,8 +33,10 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 BITS = 1 << 27
 #: Bytes of text that are counted at once.
 STRETCH = 1 << 20
-#: Groups that share the first sort of a language's candidates.
-SALTS = 256
+#: Groups that share the first sort of a language's candidates, and scores that count as one to find where its best end.
+SALTS, COARSE = 256, 1000
+#: More languages than this are joined by shuffle instead of broadcast.
+BROADCAST_LANGS = 100_000
 
 BREAKS = np.zeros(256, dtype=bool)
 BREAKS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -197,12 +199,18 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     inside = inside.select("lang", "n", "longer", "size", F.explode(F.sequence(F.lit(1), F.col("k") - F.col("size") + 1)).alias("at"))
     inside = inside.groupBy("lang", words_from(F.col("longer"), F.col("at"), F.col("size")).alias("phrase")).agg(F.max("n").alias("most"))
     kept = scored.join(inside, ["lang", "phrase"], "left").where(F.col("most").isNull() | (wide("most") * 100 < wide("a") * 80))
-    kept = kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
+    kept = written(kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score"))
+    # coarse scores tell where a language's best end, so that only about `top` of them meet in one task; ties beyond are dealt by salt first
+    coarse = kept.groupBy("lang", F.floor(F.col("score") / COARSE).alias("__b")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy(F.col("__b").desc()))  # 1000000 / COARSE + 1 rows a language
+    ends = coarse.withColumn("upto", upto).where(F.col("upto") >= top).groupBy("lang").agg(F.max("__b").alias("__end"))
+    kept = kept.join(F.broadcast(ends) if words.count() <= BROADCAST_LANGS else ends, "lang", "left")
+    kept = kept.where(F.col("__end").isNull() | (F.floor(F.col("score") / COARSE) >= F.col("__end"))).drop("__end")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     salted = kept.withColumn("__salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     some = salted.withColumn("__at", F.row_number().over(Window.partitionBy("lang", "__salt").orderBy(*order))).where(F.col("__at") <= top)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")  # SALTS * top rows at most
-    out = some.withColumn("rank", rank).where(F.col("rank") <= top).join(F.broadcast(words) if words.count() <= 100_000 else words, "lang")
+    out = some.withColumn("rank", rank).where(F.col("rank") <= top).join(F.broadcast(words) if words.count() <= BROADCAST_LANGS else words, "lang")
     return out.select("lang", "rank", "phrase", "a", "l", "r", F.col("words").alias("n"), "score")
 
 
