@@ -19,6 +19,7 @@ HEADLINE = [
     "balanced_pack", "decision_join", "upsert_newest_wins", "run_snapshot", "job_event_fold", "eta_seconds",
     "op1_main_text", "op2_secret_scan", "op3_embedding_join", "op4_ngram_join", "op5_language_model",
     "op6_repeated_strings", "op7_mix_sources", "op8_language_id", "op9_quality_rules", "op10_decontaminate",
+    "op11_collocations", "op12_vector_codes", "op13_url_filter", "markup_build", "parsed_blocks", "prepared_questions", "canonical_trees",
 ]
 
 
