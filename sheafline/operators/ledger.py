@@ -72,6 +72,18 @@ def error_class(message: Column, kind: Column | None = None) -> Column:
     return F.struct(status.alias("status"), code.alias("code"))
 
 
+def probe_class(message: Column, kind: Column) -> Column:
+    """struct(status, code, limit: whether the other side set a limit) of what ended a probe: as error_class(), but a retry limit is no
+    case of its own, an interruption by the user pauses without being a limit, and all else fails the probe.
+    """
+    told, low = error_class(message, kind), F.lower(F.coalesce(kind, F.lit("")))
+    by_user = F.contains(low, F.lit("interrupt")) | F.contains(low, F.lit("cancelled"))
+    known = ~told["code"].isin("upload_failed", "telegram_retry_exhausted")
+    code = F.when(by_user, "paused_by_user").when(known, told["code"]).otherwise("speed_probe_failed")
+    status = F.when(by_user, "paused").when(known, told["status"]).otherwise("failed")
+    return F.struct(status.alias("status"), code.alias("code"), (~by_user & known & (told["status"] == "paused")).alias("limit"))
+
+
 def snapshot(events: DataFrame, run: str, order: str) -> DataFrame:
     """State of each run: counts of its net events, the pointer, the last values set."""
     net = events.groupBy(run, "index").agg(F.max_by("kind", order).alias("kind"), F.max(order).alias("at"))

@@ -251,8 +251,17 @@ def error_classes(spark, sf_dir):
     return e.groupBy(F.col("c.status").alias("status"), F.col("c.code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def probe_classes(spark, sf_dir):
+    """What ended a probe, by the type of an event and what its value makes of its message."""
+    tens = F.floor("value").cast("long") % 10
+    said = F.when(tens < 2, "TOO many incoming messages").when(tens < 4, "too many requests").when(tens == 4, "a FloodWait of a minute").when(tens == 5, "retry budget exhausted").otherwise("odd reply")
+    kind = F.when(F.col("event_type") == "signup", "KeyboardInterrupt").when(F.col("event_type") == "view", "TimeoutError").when(F.col("event_type") == "click", "UnexpectedStateError").otherwise("ValueError")
+    c = table(spark, sf_dir, "events").select(ledger.probe_class(F.concat_ws(" ", "props", said), kind).alias("c"))
+    return c.groupBy("c.status", "c.code", "c.limit").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
-    context_carry_forward, context_change_items, prelude_once, item_numbering, event_islands, blank_runs, split_three_parts,
+    probe_classes, context_carry_forward, context_change_items, prelude_once, item_numbering, event_islands, blank_runs, split_three_parts,
     balanced_pack, chunk_ownership, nearest_anchor, conditional_propagation, disambiguate_duplicates, decision_join, upload_gate,
     skipped_rows, stale_gate, limited_rows, list_failures, merged_in_order,
     warning_buckets, upsert_newest_wins, resume_todo, normalize_with_retries, run_snapshot, job_event_fold, eta_seconds,
@@ -338,6 +347,10 @@ FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)""",
   WHEN user_id % 110 < next_index THEN 'rollback' ELSE 'skip' END AS plan FROM state""",
     "probe_fold": """SELECT user_id, count(*) AS attempted, count(*) FILTER (event_type = 'purchase') AS confirmed,
   min(event_id) FILTER (event_type = 'error') AS first_limit, round(max(value), 2) AS slowest FROM events GROUP BY 1""",
+    "probe_classes": """WITH e AS (SELECT event_type AS k, CAST(floor(value) AS BIGINT) % 10 AS t FROM events),
+c AS (SELECT CASE k WHEN 'signup' THEN 'paused_by_user' WHEN 'view' THEN 'telegram_timeout' WHEN 'click' THEN 'unexpected_bot_state' ELSE
+  CASE WHEN t < 2 THEN 'telegram_too_many_incoming_messages' WHEN t < 4 THEN 'telegram_too_many_requests' WHEN t = 4 THEN 'telegram_flood_wait' ELSE 'speed_probe_failed' END END AS code FROM e)
+SELECT CASE WHEN code IN ('unexpected_bot_state', 'speed_probe_failed') THEN 'failed' ELSE 'paused' END AS status, code, starts_with(code, 'telegram_') AS "limit", count(*) AS n FROM c GROUP BY ALL""",
     "error_classes": """SELECT ['paused', 'paused', 'paused', 'paused', 'failed'][event_id % 5 + 1] AS status,
   ['telegram_timeout', 'telegram_too_many_requests', 'telegram_flood_wait', 'telegram_retry_exhausted', 'upload_failed'][event_id % 5 + 1] AS code, count(*) AS n
 FROM events WHERE event_type = 'error' GROUP BY 1, 2""",

@@ -31,10 +31,13 @@ JOB_ROW = f"job long, {JOB_STATE}, logs array<string>"
 def started(stream: DataFrame, sink, checkpoint: str, mode: str = "update", partitions: int | None = None, **trigger) -> StreamingQuery:
     """Starts `stream` into `sink(batch, id)` with the state store that keyed state needs.
 
-    `partitions` of the state are fixed by the first start; they are spark.sql.shuffle.partitions if not given.
+    `partitions` of the state are fixed by the first start; if not given they are spark.sql.shuffle.partitions, but no more than
+    two for each core, as every one of them starts a store and a worker in each batch.
     """
     conf = stream.sparkSession.conf
-    settings = _PROVIDER | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    most = 2 * stream.sparkSession.sparkContext.defaultParallelism
+    partitions = partitions or min(int(conf.get("spark.sql.shuffle.partitions")), most)
+    settings = _PROVIDER | {"spark.sql.shuffle.partitions": str(partitions)}
     before = {k: conf.get(k, None) for k in settings}
     for k, v in settings.items():
         conf.set(k, v)
