@@ -8,6 +8,7 @@ each part starts, and the rows of all parts are then done side by side again.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Hashable, Sequence
 
 import numpy as np
@@ -64,20 +65,27 @@ def running(
 Step = Callable[[Hashable, tuple], tuple]
 
 
+def _symbol(spelt: str) -> tuple:
+    return tuple(json.loads(x)[0] for x in json.loads(spelt))
+
+
 def states(df: DataFrame, keys: Sequence[str], pos: str, symbol: Sequence[str], step: Step, every: Sequence[Hashable], out: str, *, size: int = SIZE) -> DataFrame:
     """(keys, pos, columns of `out`) of a finite transducer that reads the `symbol` columns of each row.
 
     `step(state, symbol)` gives the next state and then the values of `out` (a DDL list); `every` are all states, the
     first one is where a group starts. `keys` are not null. Each different symbol is worked out once a task.
+    Functions from states to states are only asked for where a group has more than one part. `df` is read three times.
     """
     number = {s: i for i, s in enumerate(every)}
-    d = with_part(df.select(*keys, pos, *symbol), pos, size).withColumn("__s", F.struct(*symbol)).select(*keys, "__part", pos, "__s")
-    sorted_parts = d.repartition(*keys, "__part").sortWithinPartitions(*keys, "__part", pos)
+    spelt = F.to_json(F.array(*[F.to_json(F.array(c)) for c in symbol]))  # a symbol is one string on its way, taken apart once
+    d = with_part(df.select(*keys, pos, *symbol), pos, size).withColumn("__s", spelt).select(*keys, "__part", pos, "__s")
+    several = d.groupBy(*keys).agg(F.min("__part").alias("lo"), F.max("__part").alias("hi")).where("lo < hi").select(*keys)
+    sorted_parts = d.join(several, list(keys), "left_semi").repartition(*keys, "__part").sortWithinPartitions(*keys, "__part", pos)
     ddl = {f.name: f.dataType.simpleString() for f in d.schema}
     heads = ", ".join(f"`{k}` {ddl[k]}" for k in [*keys, "__part"])
 
     def composed(batches):
-        table: dict[tuple, np.ndarray] = {}
+        table: dict[str, np.ndarray] = {}
         group, way = None, None
         for pdf in batches:
             for *head, _, s in pdf.itertuples(index=False, name=None):
@@ -85,9 +93,9 @@ def states(df: DataFrame, keys: Sequence[str], pos: str, symbol: Sequence[str],
                     if group is not None:
                         yield pd.DataFrame([(*group, way.tolist())], columns=[*keys, "__part", "way"])
                     group, way = head, np.arange(len(number))
-                s = tuple(s.values())
                 if s not in table:
-                    table[s] = np.array([number[step(state, s)[0]] for state in every])
+                    known = _symbol(s)
+                    table[s] = np.array([number[step(state, known)[0]] for state in every])
                 way = table[s][way]
         if group is not None:
             yield pd.DataFrame([(*group, way.tolist())], columns=[*keys, "__part", "way"])
@@ -109,15 +117,14 @@ def states(df: DataFrame, keys: Sequence[str], pos: str, symbol: Sequence[str],
             for *head, at, s, entry in pdf.itertuples(index=False, name=None):
                 if head != group:
                     group, state = head, every[entry]
-                s = tuple(s.values())
                 if (state, s) not in memo:
-                    memo[state, s] = step(state, s)
+                    memo[state, s] = step(state, _symbol(s))
                 state, *values = memo[state, s]
                 rows.append((*head[:-1], at, *values))
             yield pd.DataFrame(rows, columns=[*keys, pos, *columns])
 
     ways = sorted_parts.mapInPandas(composed, f"{heads}, way array<int>")
     entries = ways.groupBy(*keys).applyInPandas(entered, f"{heads}, entry int")
-    placed = sorted_parts.join(entries, [*keys, "__part"]).select(*keys, "__part", pos, "__s", "entry")
+    placed = d.join(entries, [*keys, "__part"], "left").select(*keys, "__part", pos, "__s", F.coalesce("entry", F.lit(0)).alias("entry"))
     placed = placed.repartition(*keys, "__part").sortWithinPartitions(*keys, "__part", pos)
     return placed.mapInPandas(told, ", ".join([*(f"`{k}` {ddl[k]}" for k in [*keys, pos]), out]))
