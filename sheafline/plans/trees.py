@@ -71,7 +71,7 @@ def resolved_ids(spark, sf_dir):
     """Lines ask for blocks in several spellings; some are in no payload of that document."""
     asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.floor(F.col("l_partkey") / 40).alias("doc"), (F.col("l_linenumber") % 5).alias("s"))
     k = F.col("l_partkey").cast("string")
-    spelt = F.when(F.col("s") == 0, F.concat(F.lit("b"), F.lpad(k, 4, "0"))).when(F.col("s") == 1, F.concat(F.lit("b"), k)).when(F.col("s") == 2, F.concat(F.lit("p-"), k)).when(F.col("s") == 3, F.concat(F.lit("img-"), k)).otherwise(k)
+    spelt = F.when(F.col("s") == 0, F.concat(F.lit("b"), payload.padded(k))).when(F.col("s") == 1, F.concat(F.lit("b"), k)).when(F.col("s") == 2, F.concat(F.lit("p-"), k)).when(F.col("s") == 3, F.concat(F.lit("img-"), k)).otherwise(k)
     asked = asked.select("l_orderkey", "l_linenumber", "doc", spelt.alias("asked"))
     known = payload.blocks(_payloads(spark, sf_dir), "doc", "v")
     found = payload.resolved(asked, known, "doc", "asked")

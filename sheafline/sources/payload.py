@@ -18,6 +18,11 @@ def _said(v: Column, names: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(~text(n).isin("", "false", "0", "0.0", "[]", "{}"), text(n)) for n in names])
 
 
+def padded(digits: Column) -> Column:
+    """Four digits at least; longer numbers stay whole (lpad alone would cut them)."""
+    return F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
+
+
 def blocks(files: DataFrame, file: str, doc: str) -> DataFrame:
     """(file, pos, block_id, kind, text, media, is_image) of payloads: `blocks` or `source_blocks`, a list of objects or an object of texts.
 
@@ -32,7 +37,7 @@ def blocks(files: DataFrame, file: str, doc: str) -> DataFrame:
     each = each.lateralJoin(spark.tvf.variant_explode(F.col("held").outer()).select("pos", "key", F.col("value").alias("b")))
     b, listed = F.col("b"), F.col("key").isNull()
     is_object = F.try_variant_get(b, "$", "map<string,variant>").isNotNull()
-    named = F.coalesce(_said(b, ID), F.concat(F.lit("b"), F.lpad((F.col("pos") + 1).cast("string"), 4, "0")))
+    named = F.coalesce(_said(b, ID), F.concat(F.lit("b"), padded((F.col("pos") + 1).cast("string"))))
     media = F.coalesce(*[F.when(F.size(F.try_variant_get(b, f"$.{n}", "array<string>")) > 0, F.try_variant_get(b, f"$.{n}", "array<string>")) for n in MEDIA], F.array().cast("array<string>"))
     kind = F.when(listed, F.coalesce(_said(b, KIND), F.lit("paragraph"))).otherwise("paragraph")
     block_id = F.when(listed, named).otherwise(F.col("key"))
@@ -46,7 +51,6 @@ def blocks(files: DataFrame, file: str, doc: str) -> DataFrame:
 def spellings(block_id: Column) -> Column:
     """All ids that an id may stand for, itself first: b0001, p-0001, p0001 and 1; img0001 and img-0001."""
     digits = lambda p: F.regexp_replace(F.regexp_extract(block_id, p, 1), "^0+(?=.)", "")
-    padded = lambda d: F.when(F.length(d) < 4, F.lpad(d, 4, "0")).otherwise(d)
     as_b, as_p, as_img = digits(r"^b(\d+)$"), digits(r"^p-?(\d+)$"), digits(r"^img-?(\d+)$")
     more = (
         F.when(as_b != "", F.array(F.concat(F.lit("p-"), padded(as_b)), F.concat(F.lit("p"), padded(as_b)), as_b))

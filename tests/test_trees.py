@@ -70,3 +70,21 @@ def test_clean_files_of_all_faults(spark):
             ("a", 5, 2, "mode_invalid", "mode", None, 3), ("b", 0, 0, schema, "file", None, 2), ("c", 0, 0, "invalid_json", "file", None, 2), ("d", 0, 0, "invalid_json", "file", None, 2), ("e", 0, 0, schema, "items", None, 2),
         ]
     )
+
+
+def test_ids_of_more_than_four_digits_stay_whole(spark, tmp_path):
+    """Part keys and places beyond 9,999, against the query's SQL."""
+    import duckdb
+
+    from sheafline.plans import trees as plans
+
+    keys = [*range(9990, 10040), *range(123400, 123480)]
+    spark.createDataFrame([(k, f"part {k}") for k in keys], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, 1 + i % 7, k) for i, k in enumerate(keys * 3)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = sorted((r.l_orderkey, r.asked, r.found, r.first or "", r["last"] or "") for r in plans.resolved_ids(spark, str(tmp_path)).collect())
+    assert got == sorted((k, a, f, x or "", y or "") for k, a, f, x, y in con.execute(plans.RESOLVED).fetchall())
+    many = spark.createDataFrame([("0", json.dumps({"blocks": [{}] * 10001}))], "f string, j string").withColumn("v", F.parse_json("j"))
+    assert payload.blocks(many, "f", "v").agg(F.max_by("block_id", "pos")).first()[0] == "b10001"
