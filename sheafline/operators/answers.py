@@ -56,33 +56,48 @@ def exact_position(labels: Column, label: Column) -> Column:
     return F.when(F.size(same) == 1, F.get(same, 0))
 
 
+def _once(value: Column, body) -> Column:
+    """`body` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def resolve(labels: Column, line: Column, bold: Column) -> Column:
     """struct(answers, mode, source, issues) from labels, an answer line (or null) and the places of bold options.
 
     Both signals are compared as ordered lists. A mixed scheme alone is a warning; a missing answer is
     told only where nothing else is wrong.
     """
-    scheme, payload = label_scheme(labels), answer_payload(line)
-    tokens = answer_labels(payload)
-    none = F.array().cast("array<int>")
-    found = F.coalesce(F.transform(tokens, lambda t: exact_position(labels, t)), none)
-    at = F.array_distinct(F.array_compact(found))
-    lost = F.size(found) - F.size(F.array_compact(found))
-    bold = F.array_distinct(F.filter(F.coalesce(bold, none), lambda i: i > 0))
-    line_error = F.when(payload.isNotNull() & tokens.isNull(), F.array(F.lit(NOT_LETTER))).otherwise(
-        F.array_repeat(F.when(scheme == "mixed", AMBIGUOUS).otherwise(F.lit(UNKNOWN)), lost)
-    )
-    by_line, by_bold = F.size(at) > 0, F.size(bold) > 0
-    source = (
-        F.when(by_line & by_bold & (at == bold), "both_match").when(by_line & by_bold, "conflict")
-        .when(by_line, "answer_line").when(by_bold, "bold_option").otherwise("unknown")
-    )
-    answers = F.when(source.isin("both_match", "answer_line"), at).when(source == "bold_option", bold).otherwise(none)
-    mode = F.when(F.size(answers) == 0, "unknown").when(F.size(answers) > 1, "multiple").otherwise("single")
-    told = F.concat(
-        F.when(scheme == "mixed", F.array(F.lit(MIXED))).otherwise(F.array().cast("array<string>")),
-        F.array_distinct(line_error),
-        F.when(source == "conflict", F.array(F.lit(CONFLICT))).otherwise(F.array().cast("array<string>")),
-        F.when((source == "unknown") & (F.size(line_error) == 0), F.array(F.lit(MISSING))).otherwise(F.array().cast("array<string>")),
-    )
-    return F.struct(answers.alias("answers"), mode.alias("mode"), source.alias("source"), told.alias("issues"))
+    none, silent = F.array().cast("array<int>"), F.array().cast("array<string>")
+
+    def settled(x: Column) -> Column:
+        by_line, by_bold = F.size(x["at"]) > 0, F.size(x["bold"]) > 0
+        source = (
+            F.when(by_line & by_bold & (x["at"] == x["bold"]), "both_match").when(by_line & by_bold, "conflict")
+            .when(by_line, "answer_line").when(by_bold, "bold_option").otherwise("unknown")
+        )
+        return _once(F.struct(x.alias("x"), source.alias("source")), told)
+
+    def told(y: Column) -> Column:
+        x, source = y["x"], y["source"]
+        answers = F.when(source.isin("both_match", "answer_line"), x["at"]).when(source == "bold_option", x["bold"]).otherwise(none)
+        issues = F.concat(
+            F.when(x["scheme"] == "mixed", F.array(F.lit(MIXED))).otherwise(silent), F.array_distinct(x["error"]), F.when(source == "conflict", F.array(F.lit(CONFLICT))).otherwise(silent),
+            F.when((source == "unknown") & (F.size(x["error"]) == 0), F.array(F.lit(MISSING))).otherwise(silent),
+        )
+        mode = F.when(F.size(answers) == 0, "unknown").when(F.size(answers) > 1, "multiple").otherwise("single")
+        return F.struct(answers.alias("answers"), mode.alias("mode"), source.alias("source"), issues.alias("issues"))
+
+    def placed(x: Column) -> Column:
+        at = F.array_compact(x["found"])
+        error = F.when(x["payload"].isNotNull() & x["tokens"].isNull(), F.array(F.lit(NOT_LETTER))).otherwise(
+            F.array_repeat(F.when(x["scheme"] == "mixed", AMBIGUOUS).otherwise(F.lit(UNKNOWN)), F.size(x["found"]) - F.size(at))
+        )
+        right = F.array_distinct(F.filter(F.coalesce(bold, none), lambda i: i > 0))
+        return _once(F.struct(F.array_distinct(at).alias("at"), right.alias("bold"), error.alias("error"), x["scheme"].alias("scheme")), settled)
+
+    def read(x: Column) -> Column:
+        found = F.coalesce(F.transform(x["tokens"], lambda t: exact_position(labels, t)), none)
+        return _once(F.struct(x["scheme"].alias("scheme"), x["payload"].alias("payload"), x["tokens"].alias("tokens"), found.alias("found")), placed)
+
+    parsed = lambda x: _once(F.struct(x["scheme"].alias("scheme"), x["payload"].alias("payload"), answer_labels(x["payload"]).alias("tokens")), read)
+    return _once(F.struct(label_scheme(labels).alias("scheme"), answer_payload(line).alias("payload")), parsed)
