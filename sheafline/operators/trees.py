@@ -3,12 +3,19 @@
 A node is a row (tree, path, parent, key, pos, kind, text); path is a string that sorts and joins. Each
 level is one pass over the containers of the level above (variant_explode), so work grows with the
 nodes and rounds with the depth; nothing is nested in one row until it is put together again.
+
+A tree that is one row to begin with needs none of this for its canonical forms: forms() works them out row by row.
 """
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from sheafline.scratch import written
 
@@ -92,3 +99,67 @@ def _closed(text: Column, kind: Column) -> Column:
 
 def hashed(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
+
+
+class _Spelt(str):
+    """A number as it is spelt."""
+
+
+def _forms(x, shielded: bool = False) -> tuple[str, str, int, int]:
+    """(whole, shown, nodes, depth) of a value: canonical JSON with and without fields of secret names, as canonical() and redacted() give it."""
+    if isinstance(x, dict):
+        of = [(k, json.dumps(k, ensure_ascii=False), _forms(v, shielded)) for k, v in sorted(x.items())]
+        whole, shown = (f"{k}:{f[0]}" for _, k, f in of), (f"{k}:{f[1]}" for name, k, f in of if shielded or not any(p in name.lower() for p in SECRET_PARTS))
+        whole, shown, below = "{" + ",".join(whole) + "}", "{" + ",".join(shown) + "}", [f for _, _, f in of]
+    elif isinstance(x, list):
+        below = [_forms(v, shielded or isinstance(v, list)) for v in x]
+        whole, shown = ("[" + ",".join(f[i] for f in below) + "]" for i in (0, 1))
+    else:
+        whole = x if isinstance(x, _Spelt) else json.dumps(x, ensure_ascii=False)
+        return whole, whole, 1, 0
+    return whole, shown, 1 + sum(f[2] for f in below), 1 + max((f[3] for f in below), default=-1)
+
+
+@lru_cache(4096)
+def _secret(name: str) -> bool:
+    return any(p in name.lower() for p in SECRET_PARTS)
+
+
+def _counted(x, shielded: bool = False) -> tuple:
+    """(value without secret fields, nodes below, depth below) of an object or array; scalars are not looked at."""
+    inside, nodes, depth = isinstance(x, dict), len(x), 0 if x else -1
+    out = {} if inside else []
+    for k, v in x.items() if inside else enumerate(x):
+        if isinstance(v, (dict, list)):
+            kept, n, d = _counted(v, shielded or not inside and isinstance(v, list))
+            nodes, depth = nodes + n, max(depth, d + 1)
+        else:
+            kept = v
+        if not inside:
+            out.append(kept)
+        elif shielded or not _secret(k):
+            out[k] = kept
+    return out, nodes, depth
+
+
+def _forms_of(text: str) -> tuple[str, str, int, int]:
+    """_forms() of a text, by Python's own writer where no number has a point or an exponent."""
+    odd: list[str] = []
+    x = json.loads(text, parse_float=lambda s: odd.append(s) or 0.0)
+    if odd or not isinstance(x, (dict, list)):
+        return _forms(json.loads(text, parse_int=_Spelt, parse_float=_Spelt))
+    shown, nodes, depth = _counted(x)
+    as_text = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode
+    return as_text(x), as_text(shown), nodes + 1, depth + 1
+
+
+@F.pandas_udf(StructType([StructField("whole", StringType()), StructField("shown", StringType()), StructField("nodes", LongType()), StructField("depth", IntegerType())]))
+def _all_forms(texts: pd.Series) -> pd.DataFrame:
+    rows = [_forms_of(t) for t in texts]
+    return pd.DataFrame(rows, columns=["whole", "shown", "nodes", "depth"])
+
+
+def forms(trees: DataFrame, tree: str, doc: str) -> DataFrame:
+    """(tree, whole, shown, nodes, depth) of trees that are one row each: no shuffle, and no more held than a batch of rows. A null `doc` gives no row."""
+    found = trees.where(F.col(doc).isNotNull()).select(F.col(tree).alias("tree"), _all_forms(F.to_json(doc)).alias("f"))
+    return found.select("tree", "f.*")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sheafline.operators import trees
 from sheafline.plans.items import table
-from sheafline.scratch import written
 from sheafline.sources import clean_quiz, payload
 
 
@@ -25,11 +24,8 @@ def _trees(spark, sf_dir):
 
 def canonical_trees(spark, sf_dir):
     """Hashes of documents in canonical form, whole and without secret fields."""
-    flat = written(trees.nodes(_trees(spark, sf_dir), "c_custkey", "doc"), "flat")
-    whole = trees.canonical(flat).select("tree", trees.hashed(F.col("text")).alias("whole"))
-    shown = trees.canonical(trees.redacted(flat)).select("tree", trees.hashed(F.col("text")).alias("shown"), F.length("text").alias("n_shown"))
-    n = flat.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"))
-    return whole.join(shown, "tree").join(n, "tree").withColumnRenamed("tree", "c_custkey")
+    found = trees.forms(_trees(spark, sf_dir), "c_custkey", "doc")
+    return found.select(F.col("tree").alias("c_custkey"), trees.hashed(F.col("whole")).alias("whole"), trees.hashed(F.col("shown")).alias("shown"), F.length("shown").alias("n_shown"), "nodes", "depth")
 
 
 CANONICAL = r"""

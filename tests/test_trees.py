@@ -35,6 +35,20 @@ def test_trees_are_redacted_and_put_together(spark):
     assert trees.nodes(df.limit(0), "t", "v").count() == 0 and trees.canonical(trees.nodes(df.limit(0), "t", "v")).count() == 0
 
 
+def test_forms_of_whole_rows(spark):
+    """Row by row as level by level, without a shuffle."""
+    docs = [
+        {"k": {"Token": [1, 2], "b": [[{"token": 1}], {"token": 2, "z": None}]}, "a\"б": 1.5, "é": "\n\"\\日本", "c": [], "d": {}}, {"session": {"x": 1}, "q": {"Phone": 2, "y": [{"a": 1, "secret": 2}]}}, {"k": [[{"token": 1}], {"token": 2}], "e": []}, {}, [[{"api_key": 2**40}]], "text", -7, None,
+    ]
+    df = spark.createDataFrame([(i, json.dumps(d, ensure_ascii=False)) for i, d in enumerate(docs)] + [(99, None)], "t long, j string").withColumn("v", F.try_parse_json("j"))
+    flat = trees.nodes(df, "t", "v")
+    whole, shown = ({r.tree: r.text for r in trees.canonical(x).collect()} for x in (flat, trees.redacted(flat)))
+    n = {r.tree: (r.n, r.d) for r in flat.groupBy("tree").agg(F.count("*").alias("n"), F.max("depth").alias("d")).collect()}
+    got = trees.forms(df, "t", "v")
+    assert {r.tree: (r.whole, r.shown, (r.nodes, r.depth)) for r in got.collect()} == {t: (whole[t], shown[t], n[t]) for t in whole} and len(whole) == len(docs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_payloads_of_all_shapes(spark):
     docs = [
         {"blocks": [{"id": "x", "text": "", "text_md": "T"}, 5, {"type": "image", "media": ["m"], "content": "c"}, {"id": 0, "block_id": 7, "kind": ""}]},
