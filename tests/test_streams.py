@@ -115,3 +115,14 @@ def test_uploads_are_kept_once(spark, tmp_path):
     long = spark.range(1, 200).selectExpr("7 AS run", "id AS index")
     plans = [sorted((r["index"], r["seconds"], r["starts_at"]) for r in upload.planned(long, "run", "index", F.lit("slow"), size=s).collect()) for s in (1, 16, 4096)]
     assert plans[0] == plans[1] == plans[2] and plans[0][8] == (9, 85.0, 8 * 85.0 + 240.0)
+
+
+def test_steps_are_written_side_by_side(spark, tmp_path):
+    """No step goes through one task on its way to the stream."""
+    from pyspark.sql import functions as F
+
+    from sheafline.streaming import stateful
+
+    rows = spark.range(0, 100, 1, 4)
+    parts = stateful.in_steps(rows, str(tmp_path), F.floor(F.col("id") / 50), 2)
+    assert [p.rdd.getNumPartitions() for p in parts] == [4, 4] and [p.count() for p in parts] == [50, 50]
