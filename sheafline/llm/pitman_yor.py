@@ -5,8 +5,8 @@ dishes of a restaurant are the words that follow. All context restaurants share
 restaurant of single words, whose base is uniform over the vocabulary and one unseen word. A table
 in a context is a customer of the parent.
 
-Seats are sampled by Gibbs sweeps (see seating.py): customers leave and sit down again given all
-others. A pair of words seen once has one customer, hence one table, and needs no sampling; so the
+Seats are sampled by Gibbs sweeps (see seating.py): all customers of a dish leave and sit down again given
+the other dishes. A pair of words seen once has one customer, hence one table, and needs no sampling; so the
 pairs seen at least twice form a Spark table that each sweep reads and writes, with the parent's
 probabilities and the context's tables of the sweep before (restaurants move side by side, as is
 usual for distributed samplers). Predictive probabilities are averaged over the sweeps.

@@ -1,25 +1,33 @@
-"""Seats in Pitman-Yor restaurants: customers of a dish at tables, sampled by Gibbs moves.
-
-The state of a dish is the list of its table sizes. Given all other dishes, a customer of it sits
-down at a table of n customers with weight n - discount, and at a new table with weight
-(rest + discount * own tables) * base, where `base` is the parent's probability of the dish and
-`rest` is the strength plus discount times the tables of the restaurant's other dishes. A Gibbs move
-lets one customer leave, the table being chosen in proportion to its size, and sit down again.
-
-Many dishes are handled at once as rows of a matrix. In dishes of up to FULL customers every customer
-moves once, in larger ones MOVES of them (any choice of customers leaves the distribution as it is);
-where more than FULL come or leave at once, the number of tables follows its expectation, rounded at
-random. Random numbers are digests of dish, sweep and step, so lost tasks repeat.
+"""Seats in Pitman-Yor restaurants: all customers of a dish leave and sit down again in every sweep.
+
+Given all other dishes, t tables with n customers have the weight of a seating: (rest + discount * t) * base
+for a table that opens and n - discount * t for a customer who sits at one of those there, where `base` is the
+parent's probability of the dish and `rest` is the strength plus discount times the tables of the
+restaurant's other dishes.
+
+Dishes of up to FULL customers draw their number of tables from its exact distribution, by generalized
+Stirling numbers. In larger ones the customers come one after another, and what is drawn are the moments at which
+tables open; the seating of the sweep before and TRIES new ones are weighed against each other (importance
+weights, the old one kept as one of them), which leaves the distribution as it is. Tables open by a
+rate that knows how likely the later customers make it: f * G'(n) / G(customers), with
+G(n) = Gamma(n - discount * t) / Gamma(n - discount * (t + 1)). A draw takes as many steps as there are tables,
+however many customers. Many dishes are handled at once. Random numbers are digests of dish, sweep
+and step, so lost tasks repeat.
+
+A dish is kept as the lengths of the stretches of customers between the openings of its tables: one for each
+table, all positive, as many customers in all as there are.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 from sheafline.llm import _arrays as A
 
-#: Dishes of up to so many customers move all of them in a sweep, larger ones MOVES of them.
-FULL, MOVES = 16, 6
+#: Dishes of up to so many customers draw exactly; of larger ones, so many new seatings are weighed.
+FULL, TRIES = 128, 2
 
 
 def uniform(ids: np.ndarray, salt: int) -> np.ndarray:
@@ -27,150 +35,162 @@ def uniform(ids: np.ndarray, salt: int) -> np.ndarray:
     return (A.mixed(ids ^ seed[0]) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def _leave(x: np.ndarray, rows: np.ndarray, u: np.ndarray) -> None:
-    upto = np.cumsum(x[rows], axis=1)
-    table = (upto <= np.floor(u * upto[:, -1])[:, None]).sum(1)
-    x[rows, table] -= 1
-
-
-def _sit(x: np.ndarray, rows: np.ndarray, u: np.ndarray, rest: np.ndarray, base: np.ndarray, discount: float) -> None:
-    part = x[rows]
-    taken = part > 0
-    upto = np.cumsum(np.where(taken, part - discount, 0.0), axis=1)
-    fresh = (rest[rows] + discount * taken.sum(1)) * base[rows]
-    table = (upto <= (u * (upto[:, -1] + fresh))[:, None]).sum(1)
-    table = np.where(table == x.shape[1], taken.argmin(1), table)
-    x[rows, table] += 1
-
-
-def _growth(tables, seated, customers, ids, rest, base, discount, salt):
-    """(row, seated then) of every table that opens while more customers come, in steps of an eighth of those who sit.
-
-    The number of new tables of a step is its expectation, rounded at random.
-    """
-    t, n = tables.astype(np.float64), seated.astype(np.int64)
-    rows, when, step = [], [], 0
-    some = np.flatnonzero(n < customers)
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series, after small numbers are raised by ten."""
+    x = np.asarray(x, dtype=np.float64)
+    low = np.flatnonzero(x < 10)
+    y = x
+    if len(low):
+        y = x.copy()
+        y[low] += 10
+    i = 1 / y
+    j = i * i
+    out = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + i * (1 / 12 - j * (1 / 360 - j * (1 / 1260 - j / 1680)))
+    if len(low):
+        some, product = x[low], x[low].copy()
+        for k in range(1, 10):
+            product *= some + k
+        out[low] -= np.log(product)
+    return out
+
+
+@functools.lru_cache(maxsize=8)
+def _stirling(discount: float) -> np.ndarray:
+    """Logarithms of generalized Stirling numbers: row n, column t, up to FULL."""
+    out = np.full((FULL + 1, FULL + 1), -np.inf)
+    out[0, 0] = 0.0
+    t = np.arange(FULL + 1)
+    for n in range(FULL):
+        with np.errstate(divide="ignore"):
+            out[n + 1] = np.log(np.maximum(n - discount * t, 0.0)) + out[n]
+        out[n + 1, 1:] = np.logaddexp(out[n + 1, 1:], out[n, :-1])
+    return out
+
+
+def _exact(customers, ids, rest, base, discount, salt) -> np.ndarray:
+    """Numbers of tables of dishes of 1 to FULL customers, from their distribution."""
+    out = np.ones(len(customers), dtype=np.int64)
+    width, upto = 2, 1
+    while upto < FULL:
+        rows = np.flatnonzero((customers > upto) & (customers <= width))
+        cells = max(1, (1 << 18) // width)
+        for lo in range(0, len(rows), cells):
+            some = rows[lo : lo + cells]
+            opened = np.log(base[some])[:, None] + np.log(rest[some][:, None] + discount * np.arange(width))
+            w = np.cumsum(opened, axis=1) + _stirling(discount)[customers[some], 1 : width + 1]
+            w = np.cumsum(np.exp(w - w.max(1)[:, None]), axis=1)
+            out[some] = 1 + (w <= (uniform(ids[some], salt * 4096 + 1) * w[:, -1])[:, None]).sum(1)
+        upto, width = width, min(width * 2, FULL)
+    return out
+
+
+def _rate(n, t, discount):
+    """G(n) with t tables; no table opens before it is positive."""
+    x = n - discount * (t + 1)
+    some = x > 1e-9
+    x = np.where(some, x, 1.0)
+    g = _log_gamma(np.concatenate([x + discount, x]))
+    return np.where(some, np.exp(g[: len(x)] - g[len(x) :]), 0.0)
+
+
+def _drawn(customers, ids, rest, base, discount, salt) -> tuple[np.ndarray, np.ndarray]:
+    """(row, seated then) of every table of new seatings, rows and openings in order."""
+    c, t, n = customers.astype(np.float64), np.ones(len(customers)), np.ones(len(customers))
+    ids = A.mixed(ids)
+    rows, when, some, step = [np.arange(len(c))], [np.ones(len(c))], np.flatnonzero(c > 1), 0
     while len(some):
-        many = np.minimum(np.maximum(n[some] // 8, 1), customers[some] - n[some])
-        fresh = (rest[some] + discount * t[some]) * base[some]
-        p = fresh / (fresh + n[some] - discount * t[some])
-        new = np.minimum(np.floor(many * p + uniform(ids[some], salt * 4096 + 2048 + step)), many).astype(np.int64)
-        new = np.where(n[some] == 0, 1, new)
-        rows.append(np.repeat(some, new))
-        when.append(np.repeat(n[some] + 1, new))
-        t[some] += new
-        n[some] += many
+        tables, seated, last = t[some], n[some], c[some]
+        before, most = _rate(seated, tables, discount), _rate(last, tables, discount)
+        f = (rest[some] + discount * tables) * base[some] / discount
+        # the rate summed up to the opening
+        goal = before - np.log1p(-uniform(ids[some] + np.uint64(step), salt)) * most / f
+        opens = goal < most
+        some, tables, seated, last, goal = some[opens], tables[opens], seated[opens], last[opens], goal[opens]
+        # G(x) is about (x - discount * t - (discount + 1) / 2) ** discount; the largest x below the last with G(x) <= goal
+        with np.errstate(over="ignore"):
+            x = np.floor(goal ** (1 / discount) + discount * tables + (discount + 1) / 2)
+        x = np.clip(x, seated, last - 1)
+        left = np.arange(len(x))
+        while len(left := left[(x[left] > seated[left]) & (_rate(x[left], tables[left], discount) > goal[left])]):
+            x[left] -= 1
+        left = np.arange(len(x))
+        while len(left := left[(x[left] < last[left] - 1) & (_rate(x[left] + 1, tables[left], discount) <= goal[left])]):
+            x[left] += 1
+        t[some] += 1
+        n[some] = x + 1
+        rows.append(some)
+        when.append(x + 1)
+        some = some[x + 1 < last]
         step += 1
-        some = some[n[some] < customers[some]]
-    return (np.concatenate(rows), np.concatenate(when)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _resized(row: np.ndarray, weight: np.ndarray, customers: np.ndarray) -> np.ndarray:
-    """Table sizes of rows (sorted) in proportion to weights: positive, with the right sum; the first table takes what is left."""
-    n = np.bincount(row, minlength=len(customers))
-    total = np.bincount(row, weight, len(customers))
-    sizes = 1 + np.floor(weight / total[row] * (customers - n)[row]).astype(np.int64)
-    first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
-    sizes[first] += (customers - np.bincount(row, sizes, len(customers)).astype(np.int64))[row[first]]
-    return sizes
-
-
-def _fitted(sizes, held, customers, ids, rest, base, discount, salt):
-    """(sizes, held) of large dishes whose number of customers has changed by much, as expected."""
-    row = np.repeat(np.arange(len(held)), held)
-    seated = np.bincount(row, sizes, len(held)).astype(np.int64)
-    weight = sizes.astype(np.float64)
-    fewer = seated > customers  # the smallest tables lose their last customer first
-    keep = ~fewer[row] | (weight * (customers / np.maximum(seated, 1))[row] >= 0.5 + 0.5 * uniform(ids[row] + np.arange(len(row), dtype=np.uint64), salt * 4096 + 4000))
-    keep[np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)] = True
-    row, weight = row[keep], weight[keep]
-    more, when = _growth(np.bincount(row, minlength=len(held)), np.minimum(seated, customers), customers, ids, rest, base, discount, salt)
-    grown = (1 - discount) * customers[more] / when + discount
-    weight = weight * np.maximum(customers / np.maximum(seated, 1), 1.0)[row]
-    row, weight = np.concatenate([row, more]), np.concatenate([weight, grown])
-    order = np.lexsort((-weight, row))
-    row, weight = row[order], weight[order]
-    return _resized(row, weight, customers), np.bincount(row, minlength=len(held))
-
-
-def _move(x, customers, ids, rest, base, discount, salt) -> None:
-    """Moves the customers of the rows of x, each row with a free column while one of them stands."""
-    seated, step = x.sum(1), 0
-
-    def draw(rows):
-        nonlocal step
-        step += 1
-        return uniform(ids[rows], salt * 4096 + step)
-
-    while len(rows := np.flatnonzero(seated > customers)):
-        _leave(x, rows, draw(rows))
-        seated[rows] -= 1
-    while len(rows := np.flatnonzero(seated < customers)):
-        _sit(x, rows, draw(rows), rest, base, discount)
-        seated[rows] += 1
-    moves = np.where(customers <= FULL, customers, MOVES)
-    for k in range(int(moves.max(initial=0))):
-        rows = np.flatnonzero((moves > k) & (customers > 1))
-        _leave(x, rows, draw(rows))
-        _sit(x, rows, draw(rows), rest, base, discount)
+    rows, when = np.concatenate(rows), np.concatenate(when).astype(np.int64)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], when[order]
+
+
+def _weights(row, when, customers, rest, base, discount) -> np.ndarray:
+    """Logarithms of what seatings weigh over the probability that they are drawn."""
+    held = np.bincount(row, minlength=len(customers))
+    first = np.cumsum(held) - held
+    t = (np.arange(len(row)) - first[row] + 1).astype(np.float64)
+    last = np.ones(len(row), dtype=bool)
+    last[:-1] = row[1:] != row[:-1]
+    c, start = customers[row].astype(np.float64), when.astype(np.float64)
+    end = np.where(last, c, np.append(start[1:] - 1, 0.0))
+    out = _log_gamma(end - discount * t) - _log_gamma(start - discount * t)
+    f = (rest[row] + discount * t) * base[row]
+    scale = np.where(t < c, f / discount / np.maximum(_rate(c, t, discount), 1e-300), 0.0)  # at own tables all, nothing is left to draw
+    upto = scale * (_rate(end, t, discount) - _rate(start, t, discount))
+    then = scale * (_rate(end + 1, t, discount) - _rate(end, t, discount))
+    out += np.where(last, upto, np.log(f) + upto - np.log(np.maximum(-np.expm1(-then), 1e-300)))
+    return np.bincount(row, out, len(customers))
+
+
+def _large(row, when, known, customers, ids, rest, base, discount, salt) -> tuple[np.ndarray, np.ndarray]:
+    """(row, seated then) of the tables of large dishes: the seating of before, where known, or one of TRIES new ones."""
+    n = len(customers)
+    tried = [(row, when), *(_drawn(customers, ids, rest, base, discount, salt * 4096 + 8 * k + 2) for k in range(TRIES))]
+    w = np.array([_weights(*x, customers, rest, base, discount) for x in tried[1:]])
+    old = np.full(n, -np.inf)
+    if len(row):
+        found = _weights(row, when, customers, rest, base, discount)
+        old[known] = found[known]
+    w = np.vstack([old, w])
+    w = np.cumsum(np.exp(w - w.max(0)), axis=0)
+    taken = (w <= uniform(ids, salt * 4096 + 1) * w[-1]).sum(0)
+    rows, whens = (np.concatenate([x[i][taken[x[0]] == k] for k, x in enumerate(tried)]) for i in (0, 1))
+    order = np.argsort(rows, kind="stable")
+    return rows[order], whens[order]
 
 
 def reseat(sizes: np.ndarray, ends: np.ndarray, customers: np.ndarray, ids: np.ndarray, rest: np.ndarray, base: np.ndarray, discount: float, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes, ends) after one sweep: row i has the tables sizes[ends[i]:ends[i + 1]], all positive.
+    """(sizes, ends) after one sweep: row i has the stretches sizes[ends[i]:ends[i + 1]], all positive.
 
     Rows without tables are seated for the first time; where `customers` has changed since the last
-    sweep, customers leave or come first (many at once as expected).
+    sweep, so are all customers of the row.
     """
     n, sizes, held = len(customers), np.asarray(sizes, dtype=np.int64), np.diff(ends)
-    sums = np.concatenate([[0], np.cumsum(sizes)])
-    seated = sums[ends[1:]] - sums[ends[:-1]]
-    far = np.flatnonzero(np.abs(customers - seated) > FULL)
-    if len(far):
-        row = np.repeat(np.arange(n), held)
-        is_far = np.zeros(n, dtype=bool)
-        is_far[far] = True
-        new, new_held = _fitted(sizes[is_far[row]], held[far], customers[far], ids[far], rest[far], base[far], discount, salt)
-        held = held.copy()
-        held[far] = new_held
-        merged = np.zeros(held.sum(), dtype=np.int64)
-        where = is_far[np.repeat(np.arange(n), held)]
-        merged[where], merged[~where] = new, sizes[~is_far[row]]
-        sizes, ends = merged, np.concatenate([[0], np.cumsum(held)])
-        seated = np.where(is_far, customers, seated)
-    out_held = np.zeros(n, dtype=np.int64)
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def keep(rows, found, many):
-        out_held[rows] = many
-        parts.append((rows, found, many))
-
-    one = np.flatnonzero((customers == 1) & (seated <= 1))
-    keep(one, np.ones(len(one), dtype=np.int64), np.ones(len(one), dtype=np.int64))
-    two = np.flatnonzero((customers == 2) & (seated <= 2))  # one leaves: the other sits alone
-    fresh = (rest[two] + discount) * base[two]
-    apart = uniform(ids[two], salt * 4096 + 1) * (fresh + 1 - discount) < fresh
-    keep(two, np.repeat(np.where(apart, 1, 2), 1 + apart), 1 + apart.astype(np.int64))
-    rest_of = (customers > 2) | (seated > customers)
-    # columns that a row needs: a table for each customer, or for those who move or come
-    need = np.minimum(np.maximum(customers, seated), held + np.where(customers <= FULL, FULL, MOVES) + np.maximum(customers - seated, 0))
-    width, upto = 4, 0
-    while rest_of.any() and upto < need[rest_of].max():
-        rows = np.flatnonzero(rest_of & (need > upto) & (need <= width))
-        cells = max(1, (1 << 18) // width)
-        for lo in range(0, len(rows), cells):
-            some = rows[lo : lo + cells]
-            x = np.zeros((len(some), width), dtype=np.int64)
-            at = np.arange(width)
-            filled = at < held[some][:, None]
-            x[filled] = sizes[(ends[some][:, None] + at)[filled]]
-            _move(x, customers[some], ids[some], rest[some], base[some], discount, salt)
-            full = x > 0
-            keep(some, x[full], full.sum(1))
-        upto, width = width, width * 2
-    out_ends = np.concatenate([[0], np.cumsum(out_held)])
-    out = np.zeros(out_ends[-1], dtype=np.int32)
-    for rows, found, many in parts:
-        first = np.cumsum(many) - many
-        out[np.repeat(out_ends[rows] - first, many) + np.arange(len(found))] = found
+    tables = np.zeros(n, dtype=np.int64)
+    few = np.flatnonzero((customers > 0) & (customers <= FULL))
+    tables[few] = _exact(customers[few], ids[few], rest[few], base[few], discount, salt)
+    large = np.flatnonzero(customers > FULL)
+    row, when = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    if len(large):
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        known = (upto[ends[1:]] - upto[ends[:-1]])[large] == customers[large]
+        place = np.full(n, -1)
+        place[large[known]] = np.flatnonzero(known)
+        owner = np.repeat(np.arange(n), held)
+        some = np.flatnonzero(place[owner] >= 0)
+        row, when = place[owner[some]], upto[some] - upto[ends[owner[some]]] + 1
+        row, when = _large(row, when, known, customers[large], ids[large], rest[large], base[large], discount, salt)
+        tables[large] = np.bincount(row, minlength=len(large))
+    out_ends = np.concatenate([[0], np.cumsum(tables)])
+    out = np.ones(out_ends[-1], dtype=np.int32)
+    out[out_ends[few]] += (customers[few] - tables[few]).astype(np.int32)  # of small dishes only the number of tables counts
+    if len(large):
+        last = np.ones(len(row), dtype=bool)
+        last[:-1] = row[1:] != row[:-1]
+        end = np.where(last, customers[large][row] + 1, np.append(when[1:], 0))
+        at = out_ends[large[row]] + np.arange(len(row)) - (np.cumsum(tables[large]) - tables[large])[row]
+        out[at] = end - when
     return out, out_ends

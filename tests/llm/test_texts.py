@@ -371,6 +371,31 @@ def test_seats_follow_the_restaurant():
         assert (np.add.reduceat(sizes, ends[:-1]) == many).all() and (sizes > 0).all()
 
 
+@pytest.mark.parametrize(("n", "rest", "base", "d"), [(100, 100.0, 0.01, 0.8), (400, 3.0, 0.2, 0.6), (600, 600.0, 0.01, 0.8), (300, 3e4, 1e-5, 0.5), (6, 4.0, 1e-3, 0.95)])
+def test_seats_of_large_dishes_follow_the_restaurant(n, rest, base, d):
+    """All customers of a dish move: the mean number of tables, against generalized Stirling numbers, is right from the first sweep on."""
+    import numpy as np
+
+    ways = np.full(n + 1, -np.inf)
+    ways[1] = 0.0
+    for k in range(1, n):
+        ways = np.logaddexp(np.log(np.maximum(k - d * np.arange(n + 1), 1e-300)) + ways, np.append(-np.inf, ways[:-1]))
+    w = ways + np.append(0.0, np.cumsum(np.log((rest + d * np.arange(n)) * base)))
+    w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+    mean = (w * np.arange(n + 1)).sum()
+    spread = math.sqrt((w * (np.arange(n + 1) - mean) ** 2).sum())
+    rows = 3000
+    sizes, ends = np.zeros(0, np.int32), np.zeros(rows + 1, np.int64)
+    ids = np.arange(rows, dtype=np.uint64) * np.uint64(7919) + np.uint64(5)
+    before = None
+    for sweep in range(3):
+        sizes, ends = seating.reseat(sizes, ends, np.full(rows, n), ids, np.full(rows, rest), np.full(rows, base), d, sweep)
+        tables = np.diff(ends)
+        assert abs(tables.mean() - mean) < 0.12 * spread + 0.01 and (np.add.reduceat(sizes, ends[:-1]) == n).all() and (sizes > 0).all()
+        assert before is None or spread < 0.5 or (tables != before).mean() > 0.3
+        before = tables
+
+
 def test_language_model_without_rows(spark, no_docs, odd_docs):
     got = pitman_yor.scored(odd_docs.select("doc_id", "text"), F.lit(True)).collect()
     assert len(got) == odd_docs.count() and all(r.n_known == 0 and r.train_tokens == 0 for r in got)
