@@ -156,7 +156,7 @@ def plain_texts(spark, sf_dir):
     path = scratch(spark, "texts")
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x.text), "\r\n\r").alias("text"))
     records.write_texts(c, path, "conv_id", "text")
-    back = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").text(path, wholetext=True)
+    back = records.whole_texts(spark, path, "part-*")
     return back.select(F.regexp_extract("_metadata.file_path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), F.md5(F.regexp_replace("value", "\n$", "")).alias("md5"), F.instr("value", "\r").alias("returns"))
 
 
