@@ -20,6 +20,9 @@ MOJIBAKE = "Рџ|РЅ|Рє|Р°|Рё|Рµ|СЃ|С‚|С‹|СЏ|Ð|Ñ"
 LETTER = "A-Za-zА-Яа-яЁёӘәҒғҚқҢңӨөҰұҮүҺһІі"
 ZERO_WIDTH = "​‌‍﻿⁠"
 WIDE_SPACES = "   "
+#: Characters that NFC leaves as they are whatever stands around them, and such that case folding is lower case.
+NFC_SAFE = r"\x{0}-\x{2FF}\x{370}-\x{373}\x{388}-\x{482}\x{48A}-\x{58F}\x{1E00}-\x{1EFF}\x{2002}-\x{20CF}\x{2100}-\x{2125}\x{2127}-\x{2129}\x{212C}-\x{2328}\x{232B}-\x{2ADB}\x{3000}-\x{3029}\x{3030}-\x{3098}\x{309B}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7A3}\x{FF00}-\x{FFFD}\x{1F300}-\x{1FAFF}"
+FOLD_SAFE = r"\x{0}-\x{B4}\x{B6}-\x{DE}\x{E0}-\x{FF}\x{400}-\x{482}\x{48A}-\x{4FF}\x{2010}-\x{205E}"
 DATE_LINE = r"(?iU)^\s*\d{1,2}\s+мая\s*$"
 SECTION_LINE = r"(?iU)^\s*(УТРО|ОБЕД|ВЕЧЕР|повтор.*)\s*$"
 OPTION_LINE = r"(?iU)^\s*([AАBВCСDД])(?:\)|\.\s+)\s*(.+)$"
@@ -63,15 +66,27 @@ def without_zero_width(x: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfc(x: pd.Series) -> pd.Series:
+def _composed(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
+def nfc(x: Column) -> Column:
+    """The NFC form; only texts with a character that may change, or change one before it, go to Python."""
+    open_ = x.rlike(r"[\x{300}-\x{10FFFF}]") & x.rlike(f"[^{NFC_SAFE}]")  # one range is much faster than many
+    return F.coalesce(_composed(F.when(open_, x)), x)
+
+
 @F.pandas_udf(StringType())
-def casefold(x: pd.Series) -> pd.Series:
+def _folded(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else s.casefold())
 
 
+def casefold(x: Column) -> Column:
+    """Case folded; only texts with a character whose lower case is not that go to Python."""
+    open_ = x.rlike(r"[\x{80}-\x{10FFFF}]") & x.rlike(f"[^{FOLD_SAFE}]")
+    return F.coalesce(_folded(F.when(open_, x)), F.lower(x))
+
+
 @F.pandas_udf(StringType())
 def character_name(x: pd.Series) -> pd.Series:
     return x.map(lambda s: unicodedata.name(s[0], "") if s else None)
