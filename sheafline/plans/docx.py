@@ -5,14 +5,16 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from sheafline.functions import text as T
 from sheafline.plans.items import table
 from sheafline.sources import docx_blocks
 
+#: Files of one batch.
+FILES = 64
 HEAD = (
     '<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
     ' xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><w:body>'
@@ -23,15 +25,23 @@ def _drawing(name):
     return F.concat(F.lit('<w:r><w:drawing><a:blip r:embed="'), name, F.lit('"/></w:drawing></w:r>'))
 
 
-@F.pandas_udf(BinaryType())
-def zipped(xml: pd.Series) -> pd.Series:
+def zipped(docs: DataFrame) -> DataFrame:
+    """(path, content) of (path, xml, broken): the XML as a DOCX file, a few files at a time; a broken one holds no zip."""
+
     def one(x: str) -> bytes:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
             z.writestr("word/document.xml", x)
         return out.getvalue()
 
-    return xml.map(one)
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, FILES):
+                some = batch.slice(lo, FILES)
+                made = [b"no zip" if broken.as_py() else one(xml.as_py()) for xml, broken in zip(some.column("xml"), some.column("broken"), strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column("path"), pa.array(made, pa.binary())], ["path", "content"])
+
+    return docs.select("path", "xml", "broken").mapInArrow(run, "path string, content binary")
 
 
 def _files(spark, sf_dir):
@@ -50,7 +60,7 @@ def _files(spark, sf_dir):
     more = F.when(F.col("conv_id") % 6 == 0, F.concat(s("<w:tbl><w:tr><w:tc><w:p>"), _drawing(s("t")), s("</w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:pict><w:txbxContent><w:p>"), _drawing(s("x")), s("</w:p></w:txbxContent></w:pict></w:r></w:p>"))).otherwise("")
     d = c.groupBy("conv_id").agg(body.alias("body"))
     xml = F.concat(s(HEAD), "body", more, s("</w:body></w:document>"))
-    return d.select(F.col("conv_id").cast("string").alias("path"), F.when(F.col("conv_id") % 20 == 7, F.encode(s("no zip"), "UTF-8")).otherwise(zipped(xml)).alias("content"))
+    return zipped(d.select(F.col("conv_id").cast("string").alias("path"), xml.alias("xml"), (F.col("conv_id") % 20 == 7).alias("broken")))
 
 
 def docx_rows(spark, sf_dir):

@@ -11,11 +11,12 @@ are counted by unsupported_media(). A file that is no DOCX gives one row of kind
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,15 @@ SCHEMA = (
     "blank_before int, page_break_before boolean, section_break_before boolean, media array<string>"
 )
 COLUMNS = ["file", "pos", "kind", "block_id", "paragraph", "text", "style", "bold", "blank_before", "page_break_before", "section_break_before", "media"]
+ARROW = pa.schema(
+    [
+        ("file", pa.string()), ("pos", pa.int32()), ("kind", pa.string()), ("block_id", pa.string()), ("paragraph", pa.int32()), ("text", pa.string()), ("style", pa.string()),
+        ("bold", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("blank_before", pa.int32()), ("page_break_before", pa.bool_()), ("section_break_before", pa.bool_()), ("media", pa.list_(pa.string())),
+    ]
+)
+COUNTS = pa.schema([("file", pa.string()), *((c, pa.int32()) for c in ("tables", "text_boxes", "images", "drawings"))])
+#: Rows of one batch that a task gives back.
+ROWS = 1000
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -110,33 +120,45 @@ def blocks_of(name: str, data: bytes | None) -> Iterator[tuple]:
         yield row("break", None, "", "", [], [])
 
 
+def _one_by_one(batches) -> Iterator[tuple[str, bytes | None]]:
+    """(path, content) of the files of Arrow batches; one content at a time becomes a Python object."""
+    for batch in batches:
+        for name, data in zip(batch.column("path"), batch.column("content"), strict=True):
+            yield name.as_py(), data.as_py()
+
+
+def _in_batches(rows: Iterator[tuple], names: list[str], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of at most ROWS."""
+    while some := list(itertools.islice(rows, ROWS)):
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in some], kinds)
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """SCHEMA rows of files (path, content)."""
 
     def cut(batches):
-        for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame(list(blocks_of(name, data)), columns=COLUMNS).astype({"paragraph": "Int32"})
+        rows = (row for name, data in _one_by_one(batches) for row in blocks_of(name, data))
+        yield from _in_batches(rows, COLUMNS, ARROW)
 
-    return docs.select("path", "content").mapInPandas(cut, SCHEMA)
+    return docs.select("path", "content").mapInArrow(cut, SCHEMA)
 
 
 def unsupported_media(docs: DataFrame) -> DataFrame:
     """(file, tables, text_boxes, images, drawings): how much of a file is not read; drawings count those in tables and those in text boxes."""
 
+    def counted(batches):
+        for name, data in _one_by_one(batches):
+            body = _body(data or b"")
+            if body is None:
+                continue
+            tables, boxes = body.findall(f"{W}tbl"), list(body.iter(f"{W}txbxContent"))
+            drawn = lambda of: sum(1 for x in of for _ in x.iter(f"{W}drawing"))
+            yield name, len(tables), len(boxes), sum(1 for _ in body.iter(f"{W}drawing")), drawn(tables) + drawn(boxes)
+
     def count(batches):
-        for pdf in batches:
-            out = []
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                body = _body(data or b"")
-                if body is None:
-                    continue
-                tables, boxes = body.findall(f"{W}tbl"), list(body.iter(f"{W}txbxContent"))
-                drawn = lambda of: sum(1 for x in of for _ in x.iter(f"{W}drawing"))
-                out.append((name, len(tables), len(boxes), sum(1 for _ in body.iter(f"{W}drawing")), drawn(tables) + drawn(boxes)))
-            yield pd.DataFrame(out, columns=["file", "tables", "text_boxes", "images", "drawings"])
-
-    return docs.select("path", "content").mapInPandas(count, "file string, tables int, text_boxes int, images int, drawings int")
+        yield from _in_batches(counted(batches), [f.name for f in COUNTS], COUNTS)
+
+    return docs.select("path", "content").mapInArrow(count, "file string, tables int, text_boxes int, images int, drawings int")
 
 
 def paragraphs(found: DataFrame) -> DataFrame:

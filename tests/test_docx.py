@@ -39,3 +39,18 @@ def test_files_on_disk(spark, tmp_path):
     (q,) = blocks.questions_of_blocks(docx_blocks.paragraphs(found.where("kind <> 'broken'"))).collect()
     assert (q.question, q.options, q.answers, q.context_title) == ("Which is longer?", ["one", "two"], [1], "Part one")
     assert docx_blocks.blocks(docx_blocks.files(spark, str(tmp_path)).limit(0)).count() == 0
+
+
+def test_long_files_come_back_in_bounded_batches():
+    """A file of 2,500 paragraphs is no one frame, and files become Python objects one at a time."""
+    import io
+
+    import pyarrow as pa
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", HEAD + "<w:p><w:r><w:t>x</w:t></w:r></w:p>" * 2500 + "</w:body></w:document>")
+    files = docx_blocks._one_by_one(iter([pa.RecordBatch.from_pydict({"path": ["a", "b"], "content": [out.getvalue(), None]})]))
+    rows = (row for name, data in files for row in docx_blocks.blocks_of(name, data))
+    sizes = [b.num_rows for b in docx_blocks._in_batches(rows, docx_blocks.COLUMNS, docx_blocks.ARROW)]
+    assert sum(sizes) == 2501 and max(sizes) <= docx_blocks.ROWS
