@@ -60,10 +60,11 @@ def marker_items(lines: DataFrame, unit: str) -> DataFrame:
     marker = F.when(s.startswith("#SECTION"), "#SECTION").when(s.isin(*MARKERS), s)
     rows = lines.withColumn("s", s).withColumn("marker", marker)
     starts = F.col("marker").isin("#SECTION", "#CONTEXT", "#RESET_CONTEXT", "#Q")
-    rows = rows.withColumn("item", _sum(F.coalesce(starts, F.lit(False)), unit)).where("item > 0 AND s <> ''")
-    within = Window.partitionBy(unit, "item").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("part", F.last(F.col("marker"), ignorenulls=True).over(within))
-    rows = rows.withColumn("nth", F.sum(F.col("marker").isin("#A", "#A*").cast("int")).over(within))
+    # an item begins with a marker, so that what holds within it is told by one order of the file's lines, sorted once
+    upto = Window.partitionBy(unit).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    options_so_far = F.sum(F.coalesce(F.col("marker").isin("#A", "#A*"), F.lit(False)).cast("int")).over(upto)
+    rows = rows.withColumns({"item": _sum(F.coalesce(starts, F.lit(False)), unit), "part": F.last(F.col("marker"), ignorenulls=True).over(upto), "so_far": options_so_far})
+    rows = rows.withColumn("nth", F.col("so_far") - F.last(F.when(starts, F.col("so_far")), ignorenulls=True).over(upto)).where("item > 0 AND s <> ''")
     media = F.regexp_extract("s", r"^!\[[^\]]*\]\(([^)]+)\)$", 1)
     rows = rows.withColumn("media", F.when(media != "", media))
     say = F.col("marker").isNull() & F.col("media").isNull()
