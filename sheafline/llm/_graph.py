@@ -28,15 +28,21 @@ def labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 HOT = 1000
 
 
-def _with_least(edges: DataFrame, key: str, value: str, total: int) -> DataFrame:
-    """`edges` with m, the smallest `value` of its `key`; keys with very many edges are not shuffled."""
-    least = edges.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("n"))
+def _with_least(edges: DataFrame, key: str, value: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """(`edges`, a written table, with m, the smallest `value` of its `key`; the table of these, to be dropped).
+
+    Keys with very many edges are not shuffled; without any nothing is broadcast. Both tables are written, since a
+    plan that holds one within the other as often as it is read takes the driver's memory.
+    """
+    least = written(edges.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("n")))
     limit = max(256, -(-total // HOT))
+    if not least.where(F.col("n") >= limit).head(1):
+        return edges.join(least.select(key, "m"), key), least
     hot = least.where(F.col("n") >= limit).select(key, F.col("m").alias("__hot"))
     told = edges.join(F.broadcast(hot), key, "left")
     rest = least.where(F.col("n") < limit).select(key, "m")
     found = told.where("__hot IS NULL").drop("__hot").join(rest, key)
-    return found.unionByName(told.where("__hot IS NOT NULL").withColumnRenamed("__hot", "m"))
+    return found.unionByName(told.where("__hot IS NOT NULL").withColumnRenamed("__hot", "m")), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,11 +57,13 @@ def components(edges: DataFrame) -> DataFrame:
     before = e.agg(*print_of).first()
     while before.n:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _with_least(both, "u", "v", before.n).where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).distinct()
-        low = written(_with_least(large, "a", "b", before.n))
+        told, of_u = _with_least(both, "u", "v", before.n)
+        large = written(told.where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).distinct())
+        told, of_a = _with_least(large, "a", "b", before.n)
+        low = written(told)
         small = low.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         last, e = e, written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        dropped(last, low)
+        dropped(last, of_u, large, of_a, low)
         now = e.agg(*print_of).first()
         if now == before:
             break

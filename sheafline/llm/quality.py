@@ -147,10 +147,13 @@ def fires(rule: Rule, x: np.ndarray) -> np.ndarray:
 
 
 def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
-    """Intercept and weights by accelerated proximal gradients; columns are scaled by their deviation."""
-    scale = np.maximum(r.std(0), 0.02)
-    z = (r - r.mean(0)) / scale
-    step = 4.0 * len(y) / max(np.linalg.norm(z, 2) ** 2, 1e-9)
+    """Intercept and weights by accelerated proximal gradients; the columns of `r` (booleans) are scaled by their deviation."""
+    mean = r.mean(0)
+    scale = np.maximum(np.sqrt(mean * (1 - mean)), 0.02)
+    z = r.astype(float)  # the one table of floats: this runs in the driver
+    z -= mean
+    z /= scale
+    step = 4.0 * len(y) / max(float(np.linalg.eigvalsh(z.T @ z)[-1]), 1e-9)  # the squared spectral norm
     b, w = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), np.zeros(r.shape[1])
     v, t = w.copy(), 1.0
     for _ in range(rounds):
@@ -161,7 +164,7 @@ def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 4
         v, w, t = new + (t - 1) / t_new * (new - w), new, t_new
         b -= 2.0 * miss.mean()
     w = w / scale
-    return b - float(r.mean(0) @ w), w
+    return b - float(mean @ w), w
 
 
 class RuleEnsemble:
@@ -192,12 +195,13 @@ def fit(labelled: DataFrame, *, text: str = "text", label: str = "quality", seed
         half = draw.permutation(len(y))[: max(len(y) // 2, min(len(y), 2 * LEAST))]
         rules |= dict.fromkeys(grow(x[half], y[half], draw, DEPTH))
     named = list(rules)
-    r = np.stack([fires(rule, x) for rule in named], axis=1).astype(float) if named else np.zeros((len(y), 0))
-    _, first = np.unique(r, axis=1, return_index=True)  # rules that hold for the same rows
-    named, r = [named[i] for i in sorted(first)], r[:, sorted(first)]
-    if not named:
+    holds: dict[bytes, Rule] = {}
+    for rule in named:
+        holds.setdefault(np.packbits(fires(rule, x)).tobytes(), rule)  # of rules that hold for the same rows, the first
+    if not holds:
         return RuleEnsemble(float(np.log(y.mean() / (1 - y.mean()))), [], [])
-    b, w = lasso_logistic(r, y, PENALTY)
+    named = list(holds.values())
+    b, w = lasso_logistic(np.stack([fires(rule, x) for rule in named], axis=1), y, PENALTY)
     used = np.flatnonzero(np.abs(w) > 1e-4)
     return RuleEnsemble(b, [named[i] for i in used], [float(w[i]) for i in used])
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheafline.llm import decontaminate, embedding_join, ngram_join, repeats, secrets
+from sheafline.llm import _graph, _store, decontaminate, embedding_join, ngram_join, repeats, secrets
 from sheafline.llm._graph import components
 
 from .conftest import prose, words
@@ -47,6 +47,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_plans_of_components_are_short(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(_graph, "written", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), _store.written(df))[1])
+    components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")).count()
+    assert len(plans) > 5 and max(p.count("Relation [") for p in plans) <= 3 and not any("strategy=broadcast" in p for p in plans)
+    star = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1010)]  # a node with more edges than others may have
+    got = {r.node: r.root for r in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert {got[i] for i in range(400)} == {0} and {got[i] for i in range(1000, 1011)} == {1000}
+
+
 def test_ngram_join_is_brute_force(spark, odd_docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)  # a group over several blocks
     base = prose(70, 90)

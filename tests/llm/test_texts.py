@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+import tracemalloc
 import uuid
 import zlib
 
@@ -246,6 +247,19 @@ def test_language(spark, odd_docs, no_docs):
     assert language.identify(no_docs, model).count() == 0
 
 
+def test_lasso_holds_one_table_of_floats():
+    draw = np.random.default_rng(1)
+    r = draw.random((4000, 200)) < draw.random(200)
+    y = ((r[:, 0] | r[:, 1]) & (draw.random(4000) < 0.9)).astype(float)
+    tracemalloc.start()
+    b, w = quality.lasso_logistic(r, y, 0.002)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * r.size * 8
+    told = 1 / (1 + np.exp(-(r @ w + b)))
+    assert w[0] > 1 and w[1] > 1 and np.abs(w[2:]).max() < 1 and told[y == 1].mean() > told[y == 0].mean() + 0.4
+
+
 def test_quality(spark, odd_docs, no_docs):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
