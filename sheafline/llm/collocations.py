@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sheafline.llm._arrays import LOWERED, flat, mixed, prefix_hash, range_hash, tokens
 from sheafline.llm._joins import told
-from sheafline.llm._store import written
+from sheafline.llm._store import small_batches, written
 
 #: Least count of a phrase, longest phrase, phrases a language.
 LEAST, LONGEST, TOP = 30, 4, 2000
@@ -33,6 +33,8 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 BITS = 1 << 27
 #: Bytes of text that are counted at once.
 STRETCH = 1 << 20
+#: Rows that Python gets at once.
+BATCH = 1000
 #: Groups that share the first sort of a language's candidates, and scores that count as one to find where its best end.
 SALTS, COARSE = 256, 1000
 #: More languages than this are joined by shuffle instead of broadcast.
@@ -181,7 +183,8 @@ def words_from(phrase, start, count):
 
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best `top` candidates of each language."""
-    found, words = levels(docs, text=text, lang=lang, least=least, longest=longest)
+    with small_batches(docs.sparkSession, BATCH):
+        found, words = levels(docs, text=text, lang=lang, least=least, longest=longest)
     total = words.agg(F.sum("words").alias("n")).first().n or 0
     phrases = found.where("k > 1")
     # a part with n occurrences has n / least phrases around it at most, so parts that are not hot are in few cuts

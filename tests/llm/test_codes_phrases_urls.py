@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from sheafline.llm import collocations, url_filter, vector_codes
+from sheafline.llm import _store, collocations, url_filter, vector_codes
 from tests.llm.conftest import AZ, DOCS
 
 
@@ -68,6 +68,15 @@ def test_phrases_do_not_depend_on_stretches(spark, phrase_rows):
         assert whole == cut and whole
 
 
+def test_python_gets_few_rows_of_texts_at_once(spark, phrase_rows, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(collocations, "written", lambda df: (seen.append(int(spark.conf.get(key))), _store.written(df))[1])
+    docs = spark.createDataFrame(phrase_rows, "text string, lang string")
+    collocations.collocations(docs).count()
+    assert max(seen[:5]) <= 1000 and spark.conf.get(key) == before
+
+
 def test_phrases_of_odd_rows(spark, odd_docs, no_docs):
     assert collocations.collocations(no_docs).count() == 0
     rows = [(r.text, r.lang) for r in odd_docs.collect()]
