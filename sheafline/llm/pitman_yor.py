@@ -11,6 +11,10 @@ pairs seen at least twice form a Spark table that each sweep reads and writes, w
 probabilities and the context's tables of the sweep before (restaurants move side by side, as is
 usual for distributed samplers). Predictive probabilities are averaged over the sweeps.
 
+Pairs and words stay packed, a row for each bucket and kind, through counting, sweeps and scoring. A sweep is two
+passes: pairs sit down and tell words how many tables they have, words sit down and tell pairs their probabilities. Only
+pairs of two rare words need a message of their own; the other rare words live in the bucket of their pairs.
+
 What grows with the corpus stays in Spark tables: pairs, contexts, words. Broadcast are only words
 and pairs with a share of 1 / HOT or more of the training tokens, so at most HOT of each; whatever
 involves a rarer word is dealt out by that word, the rest by the pair, so that no key is hot. To
@@ -29,11 +33,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.llm import _arrays as A
-from sheafline.llm._store import dropped, written
+from sheafline.llm._store import dropped, small_batches, written
 from sheafline.llm.language import remainder
 from sheafline.llm.ngram_join import _gathered, _groups
 from sheafline.llm.seating import reseat
@@ -44,15 +48,30 @@ SWEEPS, BURN_IN = 2, 0
 SAMPLES = SWEEPS - BURN_IN
 STRENGTH = 1.0
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-#: Tokens that one bucket holds on average.
-BUCKET = 2_000_000
+#: Tokens that one bucket holds on average, with about BYTES bytes each.
+BUCKET, BYTES = 1_000_000, 6
 #: Rows whose sums meet in one task at the end.
 GROUP = 20_000
-
-# What a packed row holds: (a, b, r, x) of texts, tables and results.
-RARE_HOT, RARE_RARE, WORD, PAIR_HOT_RARE = 0, 1, 2, 3  # dealt by the rare word that follows
-HOT_HOT, RARE_THEN, FORWARDED, PAIR_HOT_HOT, PAIR_RARE_THEN, RESULT = 4, 5, 6, 7, 8, 10
-PACKED = "bucket long, kind int, a array<long>, b array<long>, r array<long>, x array<double>"
+#: Texts or packed rows that go to Python at once.
+BATCH = 1_000
+
+# What a packed row holds: (a, b, r, x) of texts, tables and results, as bytes of 64-bit numbers.
+RARE_HOT, RARE_RARE, WORD = 0, 1, 2  # dealt by the rare word that follows
+HOT_HOT, RARE_THEN, FORWARDED, RESULT, SCORE = 4, 5, 6, 10, 11
+# State of the sampler: pairs (u, w, n, tables of every sample), hot-hot ones by u * k + w; WORD and HOT_WORD are
+# (w, pairs seen once, n, weight of every sample). All have the stretches `s` of their tables, `h` for each row.
+PAIR_HOT_HOT, PAIR_HOT_RARE, PAIR_RARE_THEN, PAIR_RARE_RARE, HOT_WORD = 20, 21, 22, 23, 24
+ONCE = 30  # (u, -, pairs seen once) of rare contexts
+FED, TABLES, TABLES_RARE_RARE = 31, 32, 33  # to rare words: (w, -, -, pairs seen once and more often), (w, -, tables), (w, u, tables)
+WEIGHT, WEIGHT_RARE_RARE, HOT_WEIGHT = 34, 35, 36  # from words: (w, -, -, weight), (u, w, -, weight)
+SUM, STAT = 40, 41  # sums over hot words, by position, as words k more; sums over all rows
+PACKED = "bucket long, kind int, a binary, b binary, r binary, x binary"
+STATE = PACKED + ", h binary, s binary"
+PAIR_KINDS = ((PAIR_HOT_HOT, True, True), (PAIR_HOT_RARE, True, False), (PAIR_RARE_THEN, False, True), (PAIR_RARE_RARE, False, False))
+#: Tokens that a task counts before it sends words or pairs on.
+MANY = 4_000_000
+#: Hot words whose sums meet in one group.
+RANGE = 65_536
 
 
 def discount_of(ones: float, twos: float) -> float:
@@ -63,17 +82,62 @@ def discount_of(ones: float, twos: float) -> float:
 def _tokens(column: pa.Array):
     """For chunks of rows: (lo, hi, row of each token, token), the end of each row included, in order."""
     for lo, hi, row, words in A.word_hashes(column, A.SPACES):
-        rows = np.concatenate([row, np.arange(hi - lo)])
-        order = np.argsort(rows, kind="stable")
-        yield lo, hi, rows[order], np.concatenate([words, np.full(hi - lo, END)])[order]
+        out = np.full(len(words) + hi - lo, END)
+        out[np.arange(len(words)) + row] = words  # an end stands after each row before
+        yield lo, hi, np.repeat(np.arange(hi - lo), np.bincount(row, minlength=hi - lo) + 1), out
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(a place of each distinct key, in order, and the sums of the values there)."""
+    order = np.argsort(keys)
+    there = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return order[first], [np.add.reduceat(v[order], first) if len(keys) else v for v in values]
+
 
+def _word_counts(buckets: int):
+    """Words (w, n) of the texts, packed by bucket."""
 
-def _word_counts(batches):
-    for batch in batches:
-        parts = [w for _, _, _, w in _tokens(batch.column("text"))]
-        if parts:
-            words, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
+    def run(batches):
+        kept, many = [], 0
+        for batch in batches:
+            for *_, w in _tokens(batch.column("text")):
+                kept.append(w)
+                many += len(w)
+                if many >= MANY:
+                    yield counted(kept)
+                    kept, many = [], 0
+        if kept:
+            yield counted(kept)
+
+    def counted(kept):
+        words, n = np.unique(np.concatenate(kept), return_counts=True)
+        return _packed(_bucket(words, buckets), WORD, words, None, n.astype(np.int64))
+
+    return run
+
+
+def _all_words(batches):
+    """Each word once, and as STAT the tokens and the words."""
+    tokens = many = 0
+    for table in _gathered(batches, "bucket"):
+        for lo, hi in _groups(table.column("bucket").to_numpy()):
+            w, _, r, _ = _unpacked(table, WORD, lo, hi)
+            at, (n,) = _summed(w, r)
+            tokens, many = tokens + int(n.sum()), many + len(n)
+            yield _row(table.column("bucket")[lo].as_py(), WORD, w[at], None, n)
+    yield _row(0, STAT, x=np.array([tokens, many], dtype=float))
+
+
+def _often(least: int):
+    """Words (w, n) seen so often."""
+
+    def run(batches):
+        for batch in batches:
+            w, _, n, _ = _unpacked(pa.Table.from_batches([batch]), WORD, 0, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(w[n >= least]), pa.array(n[n >= least])], ["w", "n"])
+
+    return run
 
 
 def _find(known: np.ndarray, words: np.ndarray, absent: int = -1) -> np.ndarray:
@@ -89,23 +153,47 @@ def _key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return A.mixed(A.mixed(u.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ w.astype(np.uint64))
 
 
+class Index:
+    """Places in an array of sorted, evenly spread 64-bit numbers: the leading bits tell where to look."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.starts = keys, None
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Positions, -1 for what is not there."""
+        k = len(self.keys)
+        bits = k.bit_length() + 2
+        shift = np.uint64(64 - bits)
+        if self.starts is None:  # not sent along
+            self.starts = np.searchsorted(self.keys >> shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+            self.padded = np.append(self.keys, np.uint64(0xFFFFFFFFFFFFFFFF))
+        at = self.starts[x >> shift].astype(np.int64)
+        left = np.flatnonzero(self.padded[at] < x)
+        while len(left):
+            at[left] += 1
+            left = left[self.padded[at[left]] < x[left]]
+        at[(self.padded[at] != x) | (at == k)] = -1
+        return at
+
+
 class Hot:
     """Words that are broadcast, sorted, with the start of a text among them: at most HOT + 1.
 
-    Arrays over them: n (tokens), total and tables (as contexts), p (as words, of the parent). While
-    sampling, tables and p are those of the last sweep; afterwards they have a row for each sample.
+    Arrays over them: n (tokens), total and tables (as contexts), fed (pairs seen once and tables, as words), p (of the
+    parent). While sampling, tables and p are those of the last sweep; afterwards they have a row for each sample.
     """
 
     def __init__(self, words: np.ndarray, n: np.ndarray):
         order = np.argsort(words)
         self.words, self.n = words[order], n[order]
+        self.index = Index(self.words)
         self.start = int(_find(self.words, np.array([START]))[0])
         self.k = len(words)
 
     def pairs(self, column: pa.Array):
         """For chunks of rows: (lo, row, u, w, position of u or -1, position of w or -1) of all tokens."""
         for lo, hi, row, w in _tokens(column):
-            at = _find(self.words, w)
+            at = self.index.place(w)
             u, u_at = np.empty_like(w), np.empty_like(at)
             u[1:], u_at[1:] = w[:-1], at[:-1]
             first = np.concatenate([[True], row[1:] != row[:-1]])
@@ -113,45 +201,88 @@ class Hot:
             yield lo, hi, row, u, w, u_at, at
 
 
-def _packed(bucket, kind, a, b, r, x=None, width=0):
+def _binary(values: np.ndarray | None, ends: np.ndarray) -> pa.Array:
+    """The bytes of `values` between each two of `ends`, which count values."""
+    if values is None:
+        ends, values = np.zeros(len(ends), dtype=np.int32), np.zeros(0, dtype=np.int64)
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+NAMES = ["bucket", "kind", "a", "b", "r", "x", "h", "s"]
+
+
+def _packed(bucket, kind, a, b, r, x=None, width=0, state=False):
     """One row for each bucket: the entries of that bucket, in their order."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 65_536 else bucket, kind="stable")
     bucket = bucket[order]
     ends = np.concatenate([np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), [len(bucket)]]) if len(bucket) else np.zeros(1, int)
-    offsets = pa.array(ends.astype(np.int32))
-    none = pa.array(np.zeros(len(ends), dtype=np.int32))
+    n = len(ends) - 1
+    columns = [pa.array(bucket[ends[:-1]].astype(np.int64)), pa.array(np.full(n, kind, dtype=np.int32)), *(_binary(None if v is None else v[order], ends) for v in (a, b, r))]
+    columns.append(_binary(None, ends) if x is None else _binary(x.reshape(len(order), width or 1)[order].ravel(), ends * (width or 1)))
+    columns += [_binary(None, ends)] * (2 * state)
+    return pa.RecordBatch.from_arrays(columns, NAMES[: len(columns)])
 
-    def lists(values, kind, per=1):
-        if values is None:
-            return pa.ListArray.from_arrays(none, pa.array([], kind))
-        values = values.reshape(len(order), per)[order].ravel() if per != 1 else values[order]
-        return pa.ListArray.from_arrays(pa.array((ends * per).astype(np.int32)) if per != 1 else offsets, pa.array(values, kind))
 
-    n = len(ends) - 1
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(bucket[ends[:-1]].astype(np.int64)), pa.array(np.full(n, kind, dtype=np.int32)),
-            *(lists(None if v is None else v.view(np.int64), pa.int64()) for v in (a, b, r)), lists(x, pa.float64(), width or 1),
-        ],
-        ["bucket", "kind", "a", "b", "r", "x"],
-    )
+def _row(bucket: int, kind: int, a=None, b=None, r=None, x=None, h=None, s=None, state: bool = False):
+    """All entries as one row."""
+    columns = [pa.array([bucket], pa.int64()), pa.array([kind], pa.int32()), *(_binary(v, np.array([0, 0 if v is None else v.size])) for v in (a, b, r, x, h, s)[: 6 if state else 4])]
+    return pa.RecordBatch.from_arrays(columns, NAMES[: len(columns)])
 
 
 def _bucket(keys: np.ndarray, buckets: int, salt: int = 0) -> np.ndarray:
     return (A.mixed(keys.astype(np.uint64) + np.uint64(salt)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _unpacked(table: pa.Table, kind: int, lo: int, hi: int):
-    """(a, b, r, x) of all packed rows of a kind between lo and hi, concatenated."""
+def _unpacked(table: pa.Table, kind: int, lo: int, hi: int, state: bool = False):
+    """(a, b, r, x) of all packed rows of a kind between lo and hi, concatenated; of a state h and s as well."""
     part = table.slice(lo, hi - lo)
-    part = part.filter(pa.array(part.column("kind").to_numpy() == kind)).combine_chunks()
+    part = part.filter(pa.array(part.column("kind").to_numpy() == kind))
     out = []
-    for name, empty in (("a", np.int64), ("b", np.int64), ("r", np.int64), ("x", np.float64)):
-        chunks = [c.flatten().to_numpy(zero_copy_only=False) for c in part.column(name).chunks]
-        out.append(np.concatenate(chunks) if chunks else np.zeros(0, dtype=empty))
+    for name, of in zip(NAMES[2:], (np.int64, np.int64, np.int64, np.float64, np.int32, np.int32)[: 6 if state else 4], strict=False):
+        chunks = []
+        for c in part.column(name).chunks:
+            ends = np.frombuffer(c.buffers()[1], dtype=np.int32, count=len(c) + 1, offset=4 * c.offset) if len(c) else (0, 0)
+            if ends[-1] > ends[0]:
+                chunks.append(np.frombuffer(c.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(of))
+        out.append(np.concatenate(chunks) if chunks else np.zeros(0, dtype=of))
     return out
 
 
+def _of_hot(sums: np.ndarray):
+    """SUM rows of what a task knows of hot words: a column for each, by ranges of their positions."""
+    some = np.flatnonzero(sums.any(0))
+    return _packed(some // RANGE, SUM, some, None, None, sums[:, some].T, len(sums), True)
+
+
+def _met(width: int):
+    """SUM rows of one range each."""
+
+    def run(batches):
+        for table in _gathered(batches, "bucket"):
+            for lo, hi in _groups(table.column("bucket").to_numpy()):
+                a, _, _, x = _unpacked(table, SUM, lo, hi)
+                at, sums = _summed(a, *x.reshape(-1, width).T)
+                yield _row(0, SUM, a[at], x=np.column_stack(sums))
+
+    return run
+
+
+def _hot_sums(df: DataFrame, width: int, k: int) -> np.ndarray:
+    """What a written table tells of hot words, of which there are at most HOT + 1: as contexts, then as words."""
+    parts = df.where(F.col("kind") == SUM).select(*NAMES[:6]).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met(width), PACKED)
+    out = np.zeros((width, 2 * k))
+    for row in parts.select("a", "x").toLocalIterator():
+        out[:, np.frombuffer(row["a"], np.int64)] = np.frombuffer(row["x"], float).reshape(-1, width).T
+    return out.reshape(width, 2, k)
+
+
+def _stat(df: DataFrame) -> tuple[int, int]:
+    """Two sums over the tasks of a written table."""
+    found = [np.frombuffer(row["x"], float) for row in df.where(F.col("kind") == STAT).select("x").toLocalIterator()]
+    return tuple(int(x) for x in np.sum(found, axis=0)) if found else (0, 0)
+
+
 # ---------------------------------------------------------------- counting pairs
 def _once(u, w, u_at, w_at, k: int, buckets: int):
     """Pairs, each once with its count (in r), packed by bucket."""
@@ -159,8 +290,8 @@ def _once(u, w, u_at, w_at, k: int, buckets: int):
     pair, n = np.unique(u_at[both] * k + w_at[both], return_counts=True)
     yield _packed(_bucket(pair, buckets), HOT_HOT, pair, None, n.astype(np.int64))
     u, w, u_at, w_at = u[~both], w[~both], u_at[~both], w_at[~both]
-    _, first, n = np.unique(_key(u, w), return_index=True, return_counts=True)
-    u, w, u_at, w_at, n = u[first], w[first], u_at[first], w_at[first], n.astype(np.int64)
+    at, (n,) = _summed(_key(u, w), np.ones(len(u), dtype=np.int64))
+    u, w, u_at, w_at = u[at], w[at], u_at[at], w_at[at]
     for kind, some in ((RARE_THEN, (u_at < 0) & (w_at >= 0)), (RARE_HOT, u_at >= 0), (RARE_RARE, (u_at < 0) & (w_at < 0))):
         a = u_at[some] if kind == RARE_HOT else u[some]
         b = w_at[some] if kind == RARE_THEN else w[some]
@@ -175,7 +306,7 @@ def _pair_rows(shared, buckets: int):
             for *_, u, w, u_at, w_at in hot.pairs(batch.column("text")):
                 kept.append((u, w, u_at, w_at))
                 many += len(u)
-                if many >= BUCKET:
+                if many >= MANY // 2:
                     yield from _once(*(np.concatenate(x) for x in zip(*kept, strict=True)), hot.k, buckets)
                     kept, many = [], 0
         if kept:
@@ -184,206 +315,302 @@ def _pair_rows(shared, buckets: int):
     return run
 
 
-COUNTED = "tag int, u_hot boolean, w_hot boolean, u long, w long, n long, ones long"
-
-
-def _named(shared):
-    """Words (w, n) with hot ones by their position: (hot, w, n)."""
-
-    def run(batches):
-        for batch in batches:
-            w = batch.column("w").to_numpy()
-            at = _find(shared.value.words, w.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(at >= 0), pa.array(np.where(at >= 0, at, w)), batch.column("n")], ["hot", "w", "n"])
-
-    return run
-
-
-def _counted(shared):
-    """From packed pairs: tag 0, pairs seen twice or more; 1, (u, n, pairs seen once); 2, (w, pairs seen once)."""
-
-    def rows(tag, u_hot, w_hot, u, w, n, ones):
-        m = len(n)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(m, tag, dtype=np.int32)), pa.array(np.full(m, u_hot)), pa.array(np.full(m, w_hot)), pa.array(u), pa.array(w), pa.array(n), pa.array(ones)],
-            ["tag", "u_hot", "w_hot", "u", "w", "n", "ones"],
-        )
+def _counted(shared, buckets: int):
+    """From packed pairs the state of those seen twice or more, what they tell their words, and as STAT the pairs seen once and twice."""
 
     def run(batches):
         k = shared.value.k
+        sums, ones, twos = np.zeros((3, 2 * k)), 0, 0
         for table in _gathered(batches, "bucket"):
             for lo, hi in _groups(table.column("bucket").to_numpy()):
-                for kind, u_hot, w_hot in ((HOT_HOT, True, True), (RARE_THEN, False, True), (RARE_HOT, True, False), (RARE_RARE, False, False)):
+                bucket, contexts = table.column("bucket")[lo].as_py(), []
+                for kind, (to, u_hot, w_hot) in zip((HOT_HOT, RARE_HOT, RARE_THEN, RARE_RARE), PAIR_KINDS, strict=True):
                     a, b, r, _ = _unpacked(table, kind, lo, hi)
                     if not len(r):
                         continue
-                    _, first, at = np.unique(a if kind == HOT_HOT else _key(a, b), return_index=True, return_inverse=True)
-                    n = np.bincount(at, r).astype(np.int64)
-                    u, w = (a[first] // k, a[first] % k) if kind == HOT_HOT else (a[first], b[first])
+                    at, (n,) = _summed(a if kind == HOT_HOT else _key(a, b), r)
+                    u, w = (a[at] // k, a[at] % k) if kind == HOT_HOT else (a[at], b[at])
                     often = n > 1
-                    zero = np.zeros(len(n), dtype=np.int64)
-                    yield rows(0, u_hot, w_hot, u[often], w[often], n[often], zero[often])
-                    names, at = np.unique(u, return_inverse=True)
-                    yield rows(1, u_hot, w_hot, names, zero[: len(names)], np.bincount(at, n).astype(np.int64), np.bincount(at, ~often).astype(np.int64))
-                    names, at = np.unique(w, return_inverse=True)
-                    yield rows(2, u_hot, w_hot, zero[: len(names)], names, zero[: len(names)], np.bincount(at, ~often).astype(np.int64))
+                    ones, twos = ones + int((~often).sum()), twos + int((n == 2).sum())
+                    if u_hot:
+                        sums[:, :k] += np.bincount(u, n, k), np.bincount(u, ~often, k), np.bincount(u, often, k)
+                    else:
+                        contexts.append((u, ~often))
+                    if w_hot:
+                        sums[1:, k:] += np.bincount(w, ~often, k), np.bincount(w, often, k)
+                    else:
+                        some, (once, more) = _summed(w, (~often).astype(float), often.astype(float))
+                        yield _packed(_bucket(w[some], buckets), FED, w[some], None, None, np.column_stack([once, more]), 2, True)
+                    u, w, n, pair = u[often], w[often], n[often], a[at][often]
+                    yield _row(bucket, to, pair if u_hot and w_hot else u, None if u_hot and w_hot else w, n, None, np.zeros(len(n), np.int32), np.zeros(0, np.int32), True)
+                    if not w_hot:
+                        yield _told(u, w, np.ones(len(n), dtype=np.int64), u_hot, buckets)
+                if contexts:
+                    u, once = (np.concatenate(x) for x in zip(*contexts, strict=True))
+                    at, (once,) = _summed(u, once.astype(np.int64))
+                    yield _row(bucket, ONCE, u[at], None, once, state=True)
+        yield _of_hot(sums)
+        yield _row(0, STAT, x=np.array([ones, twos], dtype=float), state=True)
 
     return run
 
 
-# ---------------------------------------------------------------- sampling
-def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+def _told(u, w, t, u_hot: bool, buckets: int):
+    """What pairs tell rare words of their tables."""
+    if not u_hot:
+        return _packed(_bucket(w, buckets), TABLES_RARE_RARE, w, u, t, None, 0, True)
+    at, (t,) = _summed(w, t)
+    return _packed(_bucket(w[at], buckets), TABLES, w[at], None, t, None, 0, True)
 
 
-def _seats(shared, discount: float, sweep: int):
-    """Pairs (u_hot, w_hot, u, w, n, ones, sizes, ts, t, p) after a sweep; t and p tell what is not broadcast."""
+def _vocabulary(shared):
+    """The state of all words, hot ones by their position, and as STAT the words with one and with two customers."""
 
     def run(batches):
         hot = shared.value
-        for batch in batches:
-            c = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("u_hot", "w_hot", "u", "w", "n", "t", "p")}
-            sizes, ends = _ragged(batch.column("sizes"))
-            own = np.maximum(np.diff(ends), 1)  # tables are counted as one before the first sweep
-            tables = np.where(c["u_hot"], hot.tables[np.where(c["u_hot"], c["u"], 0)], np.nan_to_num(c["t"].astype(float)))
-            base = np.where(c["w_hot"], hot.p[np.where(c["w_hot"], c["w"], 0)], np.nan_to_num(c["p"].astype(float)))
-            rest = STRENGTH + discount * np.maximum(tables - own, 0)
-            sizes, ends = reseat(sizes, ends, c["n"], _key(c["u"], c["w"]), rest, base, discount, sweep)
-            t = np.diff(ends)
-            ts = batch.column("ts")
-            if sweep >= BURN_IN:
-                old = ts.flatten().to_numpy(zero_copy_only=False).reshape(len(t), sweep - BURN_IN)
-                ts = pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * (old.shape[1] + 1)), pa.array(np.column_stack([old, t]).astype(np.int32).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(x) for x in ("u_hot", "w_hot", "u", "w", "n", "ones")], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sizes)), ts],
-                ["u_hot", "w_hot", "u", "w", "n", "ones", "sizes", "ts"],
-            )
+        one = two = 0
+        for table in _gathered(batches, "bucket"):
+            for lo, hi in _groups(table.column("bucket").to_numpy()):
+                w, _, n, _ = _unpacked(table, WORD, lo, hi)  # each once, in order
+                to, _, _, fed = _unpacked(table, FED, lo, hi)
+                at = _find(w, to)
+                ones, more = (np.bincount(at, x, len(w)).astype(np.int64) for x in fed.reshape(-1, 2).T)
+                place = hot.index.place(w.view(np.uint64))
+                there = place >= 0
+                ones[there], more[there] = hot.fed[:, place[there]]
+                one, two = one + int((ones + more == 1).sum()), two + int((ones + more == 2).sum())
+                for kind, some in ((WORD, ~there), (HOT_WORD, there)):
+                    names = (w if kind == WORD else place)[some]
+                    yield _row(table.column("bucket")[lo].as_py(), kind, names, ones[some], n[some], None, np.zeros(len(names), np.int32), np.zeros(0, np.int32), True)
+        yield _row(0, STAT, x=np.array([one, two], dtype=float), state=True)
 
     return run
 
 
-PAIRS = "u_hot boolean, w_hot boolean, u long, w long, n long, ones long, sizes array<int>, ts array<int>"
+# ---------------------------------------------------------------- sampling
+def _sampled(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """A row of samples for each entry, with one more."""
+    return np.column_stack([x.reshape(len(new), -1), new.astype(float)]) if len(new) else x
 
 
-def _parent_seats(discount: float, rest: float, base: float, sweep: int):
-    """Words (hot, moves, w, n, ones, customers, sizes, ps) after a sweep of the parent restaurant."""
+def _seats(shared, discount: float, parent: tuple[float, float], sweep: int, buckets: int):
+    """Pairs after a sweep, and what they tell their words."""
 
     def run(batches):
-        for batch in batches:
-            sizes, ends = _ragged(batch.column("sizes"))
-            n = batch.num_rows
-            own = np.maximum(np.diff(ends), 1)
-            ids = A.mixed(batch.column("w").to_numpy().astype(np.uint64) + np.uint64(77))
-            sizes, ends = reseat(sizes, ends, batch.column("customers").to_numpy(), ids, STRENGTH + np.maximum(rest - discount * own, 0), np.full(n, base), discount, 1000 + sweep)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(x) for x in ("hot", "moves", "w", "n", "ones", "customers")], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sizes)), batch.column("ps")],
-                ["hot", "moves", "w", "n", "ones", "customers", "sizes", "ps"],
-            )
+        hot = shared.value
+        k, sums = hot.k, np.zeros((1, 2 * hot.k))
+        for table in _gathered(batches, "bucket"):
+            for lo, hi in _groups(table.column("bucket").to_numpy()):
+                bucket, all_ = table.column("bucket")[lo].as_py(), []
+                for kind, u_hot, w_hot in PAIR_KINDS:
+                    a, b, n, x, h, s = _unpacked(table, kind, lo, hi, True)
+                    u, w = (a // k, a % k) if u_hot and w_hot else (a, b)
+                    if w_hot:
+                        p = hot.p[w]
+                    elif u_hot:
+                        names, _, _, weights = _unpacked(table, WEIGHT, lo, hi)
+                        order = np.argsort(names)
+                        p = (weights[order][_find(names[order], w)] + parent[0]) / parent[1] if len(w) else np.zeros(0)
+                    else:
+                        of, names, _, weights = _unpacked(table, WEIGHT_RARE_RARE, lo, hi)
+                        names = _key(of, names)
+                        order = np.argsort(names)
+                        p = (weights[order][_find(names[order], _key(u, w))] + parent[0]) / parent[1] if len(w) else np.zeros(0)
+                    all_.append((u, w, n, p, hot.tables[u] if u_hot else None, h, s, x, a, b))
+                own = [np.maximum(x[5], 1) for x in all_]  # tables are counted as one before the first sweep
+                rare = np.concatenate([all_[2][0], all_[3][0]])
+                if len(rare):
+                    names, of = np.unique(rare, return_inverse=True)
+                    once, _, many, _ = _unpacked(table, ONCE, lo, hi)  # each once, in order
+                    at = _find(once, names)
+                    tables = (np.bincount(of, np.concatenate(own[2:])) + np.where(at >= 0, many[at], 0))[of]
+                else:
+                    tables = np.zeros(0)
+                tables = np.concatenate([all_[0][4], all_[1][4], tables])
+                u, w, n, p, h, s = (np.concatenate([x[i] for x in all_]) for i in (0, 1, 2, 3, 5, 6))
+                if not len(u):
+                    continue
+                rest = STRENGTH + discount * np.maximum(tables - np.concatenate(own), 0)
+                s, ends = reseat(s, np.concatenate([[0], np.cumsum(h)]), n, _key(u, w), rest, p, discount, sweep)
+                t = np.diff(ends)
+                first = 0
+                for (kind, u_hot, w_hot), (u, w, n, *_, x, a, b) in zip(PAIR_KINDS, all_, strict=True):
+                    last = first + len(u)
+                    some = t[first:last]
+                    if len(u):
+                        x = _sampled(x, some) if sweep >= BURN_IN else x
+                        yield _row(bucket, kind, a, b if len(b) else None, n, x, some.astype(np.int32), s[ends[first] : ends[last]], True)
+                        if u_hot:
+                            sums[0, :k] += np.bincount(u, some, k)
+                        if w_hot:
+                            sums[0, k:] += np.bincount(w, some, k)
+                        else:
+                            yield _told(u, w, some, u_hot, buckets)
+                    first = last
+                names, _, once, _ = _unpacked(table, ONCE, lo, hi)
+                if len(names):
+                    yield _row(bucket, ONCE, names, None, once, state=True)
+        yield _of_hot(sums)
 
     return run
 
 
-WORDS = "hot boolean, moves boolean, w long, n long, ones long, customers long, sizes array<int>, ps array<double>"
+def _parent_seats(shared, discount: float, rest: float, base: float, sweep: int, buckets: int):
+    """Words after a sweep of the parent restaurant, what they tell their pairs, and as STAT customers and tables."""
+
+    def run(batches):
+        hot = shared.value
+        all_customers = all_tables = 0
+        for table in _gathered(batches, "bucket"):
+            for lo, hi in _groups(table.column("bucket").to_numpy()):
+                bucket = table.column("bucket")[lo].as_py()
+                fed, _, t, _ = _unpacked(table, TABLES, lo, hi)
+                to, of, t2, _ = _unpacked(table, TABLES_RARE_RARE, lo, hi)
+                for kind in (WORD, HOT_WORD):
+                    w, ones, n, x, h, s = _unpacked(table, kind, lo, hi, True)
+                    if not len(w):
+                        continue
+                    if kind == WORD:  # each once, in order
+                        customers = ones + np.bincount(_find(w, np.concatenate([fed, to])), np.concatenate([t, t2]), len(w)).astype(np.int64)
+                    else:
+                        customers = ones + hot.fed[1][w].astype(np.int64)
+                    own = np.maximum(h, 1)
+                    ids = A.mixed(w.astype(np.uint64) + np.uint64(77))
+                    s, ends = reseat(s, np.concatenate([[0], np.cumsum(h)]), customers, ids, STRENGTH + np.maximum(rest - discount * own, 0), np.full(len(w), base), discount, 1000 + sweep)
+                    tables = np.diff(ends)
+                    all_customers, all_tables = all_customers + int(customers.sum()), all_tables + int(tables.sum())
+                    weight = customers - discount * tables
+                    yield _row(bucket, kind, w, ones, n, _sampled(x, weight) if sweep > BURN_IN else x, tables.astype(np.int32), s, True)
+                    if kind == HOT_WORD:
+                        yield _row(bucket, HOT_WEIGHT, w, x=weight, state=True)
+                        continue
+                    some = np.unique(fed)
+                    if len(some):
+                        yield _row(bucket, WEIGHT, some, x=weight[_find(w, some)], state=True)
+                    if len(to):
+                        yield _packed(_bucket(of, buckets), WEIGHT_RARE_RARE, of, to, None, weight[_find(w, to)], 1, True)
+        yield _row(0, STAT, x=np.array([all_customers, all_tables], dtype=float), state=True)
+
+    return run
 
 
 class Model:
-    """Numbers of the fit, the broadcast words, and tables of pairs, and of words (hot, w, n, ps)."""
+    """Numbers of the fit, the broadcast words, the packed state of pairs and words, and what weights of words are to be added and divided by."""
 
     n = v = 0
     discount = 0.5
+    buckets = 1
     hot: Hot
-    unseen: list[float]
-    pairs: DataFrame
-    words: DataFrame
+    parents: list[tuple[float, float]]
+    seated: DataFrame
+    vocabulary: DataFrame
 
+    @property
+    def unseen(self) -> list[float]:
+        return [a / b for a, b in self.parents]
 
-def _array(df: DataFrame, key: str, value: str, k: int) -> np.ndarray:
-    """A column of the rows of hot words, which are at most HOT + 1, by their position."""
-    found = df.where("hot").select(key, value).toPandas()
-    out = np.zeros(k)
-    out[found[key].to_numpy(np.int64)] = found[value].to_numpy(float)
-    return out
+    @property
+    def pairs(self) -> DataFrame:
+        """Pairs seen twice or more (u_hot, w_hot, u, w, n, ts)."""
+        return self.seated.where(F.col("kind").isin([x[0] for x in PAIR_KINDS])).mapInArrow(_pair_table(self.hot.k), "u_hot boolean, w_hot boolean, u long, w long, n long, ts array<int>")
+
+    @property
+    def words(self) -> DataFrame:
+        """Words (hot, w, n, ps)."""
+        return self.vocabulary.where(F.col("kind").isin(WORD, HOT_WORD)).mapInArrow(_word_table(self.parents), "hot boolean, w long, n long, ps array<double>")
+
+
+def _listed(x: np.ndarray, of: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * SAMPLES), pa.array(x.ravel(), of))
+
+
+def _pair_table(k: int, least: int = 0):
+    def run(batches):
+        for batch in batches:
+            for kind, u_hot, w_hot in PAIR_KINDS:
+                a, b, n, x = _unpacked(pa.Table.from_batches([batch]), kind, 0, batch.num_rows)
+                some = n >= least
+                u, w = (a // k, a % k) if u_hot and w_hot else (a, b)
+                m, ts = int(some.sum()), x.reshape(-1, SAMPLES)[some].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(m, u_hot)), pa.array(np.full(m, w_hot)), *(pa.array(v[some]) for v in (u, w, n)), _listed(ts, pa.int32())], ["u_hot", "w_hot", "u", "w", "n", "ts"]
+                )
+
+    return run
+
+
+def _probabilities(weights: np.ndarray, parents) -> np.ndarray:
+    """A row for each word, a column for each sample."""
+    return (weights.reshape(-1, SAMPLES) + np.array([a for a, _ in parents])) / np.array([b for _, b in parents])
+
+
+def _word_table(parents):
+    def run(batches):
+        for batch in batches:
+            for kind in (WORD, HOT_WORD):
+                w, _, n, x = _unpacked(pa.Table.from_batches([batch]), kind, 0, batch.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), kind == HOT_WORD)), pa.array(w), pa.array(n), _listed(_probabilities(x, parents), pa.float64())], ["hot", "w", "n", "ps"])
+
+    return run
+
+
+def _together(*parts: DataFrame) -> DataFrame:
+    """Packed rows of one bucket in one task."""
+    df = parts[0]
+    for more in parts[1:]:
+        df = df.unionByName(more)
+    return df.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _of(df: DataFrame, *kinds: int) -> DataFrame:
+    return df.where(F.col("kind").isin(*kinds))
 
 
 def fit(train: DataFrame) -> Model:
     """The model of every row of `train` (text)."""
     spark, m = train.sparkSession, Model()
     share = spark.sparkContext.broadcast
-    words = written(train.select("text").mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    m.n, m.v = size["n"], size["v"]
-    often = words.where(F.col("n") * HOT >= max(1, m.n)).toPandas()  # at most HOT rows of two numbers
+    size = train.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    m.buckets = buckets = max(1, -(-size // (BYTES * BUCKET)))
+    words = written(_together(train.select("text").mapInArrow(_word_counts(buckets), PACKED)).mapInArrow(_all_words, PACKED))
+    m.n, m.v = _stat(words)
+    often = _of(words, WORD).mapInArrow(_often(-(-max(1, m.n) // HOT)), "w long, n long").toPandas()  # at most HOT rows of two numbers
     m.hot = hot = Hot(np.append(often["w"].to_numpy(np.int64).view(np.uint64), START), np.append(often["n"].to_numpy(np.int64), 0))
-    shared = share(hot)
-    buckets = max(1, -(-m.n // BUCKET))
-    counted = written(
-        train.select("text").mapInArrow(_pair_rows(shared, buckets), PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted(shared), COUNTED)
-    )
-    twos = counted.where("tag = 0 AND n = 2").count()
-    totals = written(counted.where("tag = 1").groupBy(F.col("u_hot").alias("hot"), "u").agg(F.sum("n").alias("total"), F.sum("ones").alias("ones")))
-    m.discount = discount_of(totals.agg(F.coalesce(F.sum("ones"), F.lit(0))).first()[0], twos)
-    hot.total, hot_ones = _array(totals, "u", "total", hot.k), _array(totals, "u", "ones", hot.k)
-    # pairs of rare contexts carry the number of their context's pairs seen once
-    pairs = counted.where("tag = 0").select("u_hot", "w_hot", "u", "w", "n")
-    pairs = pairs.where("u_hot").withColumn("ones", F.lit(0).cast("long")).unionByName(
-        pairs.where("NOT u_hot").join(totals.where("NOT hot").select("u", "ones"), "u")
-    )
-    pairs = written(pairs.withColumns({"sizes": F.array().cast("array<int>"), "ts": F.array().cast("array<int>")}))
-    # the vocabulary, hot words by their position
-    named = words.mapInArrow(_named(shared), "hot boolean, w long, n long")
-    once = counted.where("tag = 2").groupBy(F.col("w_hot").alias("hot"), "w").agg(F.sum("ones").alias("ones"))
-    vocabulary = named.join(once, ["hot", "w"], "left").select("hot", "w", "n", F.coalesce("ones", F.lit(0)).alias("ones"))
-    often = pairs.select(F.col("w_hot").alias("hot"), "w").distinct().withColumn("moves", F.lit(True))
-    vocabulary = vocabulary.join(often, ["hot", "w"], "left").withColumn("moves", F.coalesce("moves", F.lit(False)))
-    parent = written(vocabulary.withColumns({"sizes": F.array().cast("array<int>"), "ps": F.array().cast("array<double>")}))
-    dropped(words, counted, totals)
-
-    tables = F.greatest(F.size("sizes"), F.lit(1)).cast("long")  # every pair has a table before the first sweep
-    of_context = Window.partitionBy("u")  # of rare contexts only: few rows each
-    rest = discount = None
-    hot_tables, hot_p, m.unseen = [], [], []
+    k, shared = hot.k, share(hot)
+    pairs = written(_together(train.select("text").mapInArrow(_pair_rows(shared, buckets), PACKED)).mapInArrow(_counted(shared, buckets), STATE))
+    m.discount = discount_of(*_stat(pairs))
+    of_u, of_w = _hot_sums(pairs, 3, k).transpose(1, 0, 2)
+    hot.total, ones_of_u, more = of_u
+    hot.tables, hot.fed = ones_of_u + more, of_w[1:]  # every pair has a table before the first sweep
+    vocabulary = written(_together(_of(words, WORD), _of(pairs, FED).select(*NAMES[:6])).mapInArrow(_vocabulary(share(hot)), STATE))
+    dropped(words)
+    discount = discount_of(*_stat(vocabulary))
+    rest, parent = discount * m.v, None
+    tables, ps, m.parents = [], [], []
     for sweep in range(-1, SWEEPS):
-        gone = []
+        gone = [vocabulary]
         if sweep >= 0:
-            hot.tables, hot.p = last_tables, last_p  # noqa: F821
-            shared = share(hot)
-            none = F.lit(None).cast("double")
-            rare = pairs.where("NOT u_hot").withColumn("t", (F.sum(tables).over(of_context) + F.col("ones")).cast("double"))
-            known = pairs.where("u_hot").withColumn("t", none).unionByName(rare)
-            by_w = parent.where("NOT hot AND moves").select("w", "p")
-            moved = known.where("w_hot").withColumn("p", none).unionByName(known.where("NOT w_hot").join(by_w, "w"))
-            fresh = written(moved.select("u_hot", "w_hot", "u", "w", "n", "ones", "sizes", "ts", "t", "p").mapInArrow(_seats(shared, m.discount, sweep), PAIRS))
+            state, weights = _of(pairs, ONCE, *[x[0] for x in PAIR_KINDS]), _of(vocabulary, WEIGHT, WEIGHT_RARE_RARE)
+            fresh = written(_together(state, weights).mapInArrow(_seats(share(hot), m.discount, parent, sweep, buckets), STATE))
             gone.append(pairs)
             pairs = fresh
-        # tables of every hot context, customers of every word
-        of_u = pairs.where("u_hot").groupBy(F.lit(True).alias("hot"), "u").agg(F.sum(tables).alias("t"))
-        last_tables = hot_ones + _array(of_u, "u", "t", hot.k)
-        of_w = pairs.groupBy(F.col("w_hot").alias("hot"), "w").agg(F.sum(tables).alias("t"))
-        still = parent.where("NOT moves").withColumn("t", F.lit(0).cast("long"))
-        fed = parent.where("moves").join(of_w, ["hot", "w"]).unionByName(still).withColumn("customers", F.col("ones") + F.col("t"))
-        fed = fed.select("hot", "moves", "w", "n", "ones", "customers", "sizes", "ps")
-        if discount is None:
-            few = fed.agg(F.count_if(F.col("customers") == 1).alias("one"), F.count_if(F.col("customers") == 2).alias("two")).first()
-            discount = discount_of(few["one"], few["two"])
-            rest = discount * m.v
-        seated = written(fed.mapInArrow(_parent_seats(discount, rest, 1.0 / (m.v + 1), sweep + 1), WORDS))
-        sums = seated.agg(F.coalesce(F.sum("customers"), F.lit(0)).alias("customers"), F.coalesce(F.sum(F.size("sizes")), F.lit(0)).alias("tables")).first()
-        rest = discount * sums["tables"]
-        fresh_one, all_ = (STRENGTH + rest) / (m.v + 1), STRENGTH + sums["customers"]
-        gone.append(parent)
-        parent = seated.withColumn("p", (F.col("customers") - discount * F.size("sizes") + fresh_one) / all_)
-        if sweep >= BURN_IN:
-            parent = parent.withColumn("ps", F.concat("ps", F.array("p")))
-        last_p = _array(parent, "w", "p", hot.k)
+            of_u, of_w = _hot_sums(pairs, 1, k)[0]
+            hot.tables, hot.fed = ones_of_u + of_u, np.array([hot.fed[0], of_w])
+        state, told = _of(vocabulary, WORD, HOT_WORD), _of(pairs, TABLES, TABLES_RARE_RARE)
+        vocabulary = written(_together(state, told).mapInArrow(_parent_seats(share(hot), discount, rest, 1.0 / (m.v + 1), sweep + 1, buckets), STATE))
+        customers, seated = _stat(vocabulary)
+        rest = discount * seated
+        parent = (STRENGTH + rest) / (m.v + 1), STRENGTH + customers
+        hot.p = np.zeros(k)
+        for row in _of(vocabulary, HOT_WEIGHT).select("a", "x").toLocalIterator():
+            hot.p[np.frombuffer(row["a"], np.int64)] = (np.frombuffer(row["x"], float) + parent[0]) / parent[1]
         if sweep >= BURN_IN:
-            hot_tables.append(last_tables)
-            hot_p.append(last_p)
-            m.unseen.append(fresh_one / all_)
+            tables.append(hot.tables)
+            ps.append(hot.p)
+            m.parents.append(parent)
         dropped(*gone)
-    hot.tables, hot.p = np.array(hot_tables), np.array(hot_p)
-    m.words = written(parent.select("hot", "w", "n", "ps"))
-    m.pairs = pairs
+    hot.tables, hot.p = np.array(tables), np.array(ps)
+    m.seated, m.vocabulary = pairs, vocabulary
     return m
 
 
@@ -392,13 +619,14 @@ class Scorer:
     """What is broadcast for scoring: at most HOT words and HOT pairs."""
 
     def __init__(self, m: Model):
-        self.hot, self.discount, self.unseen = m.hot, m.discount, np.array(m.unseen)
+        self.hot, self.discount, self.parents, self.unseen = m.hot, m.discount, m.parents, np.array(m.unseen)
         k = m.hot.k
-        often = m.pairs.where(F.col("u_hot") & F.col("w_hot") & (F.col("n") * HOT >= max(1, m.n))).toPandas()  # at most HOT rows
+        often = _of(m.seated, PAIR_HOT_HOT).mapInArrow(_pair_table(k, -(-max(1, m.n) // HOT)), "u_hot boolean, w_hot boolean, u long, w long, n long, ts array<int>").toPandas()  # at most HOT rows
         u, w = often["u"].to_numpy(np.int64), often["w"].to_numpy(np.int64)
-        order = np.argsort(u * k + w)
+        keys = A.mixed((u * k + w).view(np.uint64))
+        order = np.argsort(keys)
         u, w = u[order], w[order]
-        self.pair = u * k + w
+        self.pair = Index(keys[order])
         ts = np.array(often["ts"].tolist(), dtype=float).reshape(-1, SAMPLES)[order].T
         self.pair_score = np.log10(self.hot_hot(u, w, often["n"].to_numpy(float)[order], ts)) if len(u) else np.zeros(0)
 
@@ -411,9 +639,30 @@ class Scorer:
         return self.mixture(n, ts, self.hot.total[u], self.hot.tables[:, u], self.hot.p[:, w])
 
 
-def _by_row(rid: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    rows, at = np.unique(rid, return_inverse=True)
-    return rows, np.bincount(at, values, len(rows))
+class Scores:
+    """Sums by row of what a task finds in its buckets, sent on when they are many: (score) or (known, base, score)."""
+
+    def __init__(self, groups: int):
+        self.groups, self.kept, self.many = groups, [], 0
+
+    def add(self, rid: np.ndarray, *values: np.ndarray):
+        rows, at = np.unique(rid, return_inverse=True)
+        self.kept.append((rows, *(np.bincount(at, v, len(rows)) for v in values)))
+        self.many += len(rows)
+        if self.many >= MANY // 2:
+            yield from self.sent()
+
+    def sent(self):
+        if not self.many:
+            return
+        rid, *values = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+        at, values = _summed(rid, *values)
+        rid = rid[at]
+        if len(values) == 1:
+            yield _packed(_bucket(rid, self.groups, 5), SCORE, rid, None, None, values[0], 1)
+        else:
+            yield _result(rid, np.zeros(len(rid)), *values, self.groups)
+        self.kept, self.many = [], 0
 
 
 def _result(rid, n_tokens, known, base, score, groups: int):
@@ -450,7 +699,8 @@ def _other_tokens(shared, buckets: int, groups: int):
                 there = w_at >= 0
                 both = there & (u_at >= 0)
                 pair = u_at * hot.k + w_at
-                at = np.where(both, _find(s.pair, pair), -1)
+                at = np.full(len(pair), -1)
+                at[both] = s.pair.place(A.mixed(pair[both].view(np.uint64)))
                 done = at >= 0
                 base = np.where(there, np.log10(hot.n[w_at] + 1.0), 0.0)
                 score = np.bincount(row[done], s.pair_score[at[done]], n)
@@ -463,37 +713,6 @@ def _other_tokens(shared, buckets: int, groups: int):
     return run
 
 
-def _word_rows(buckets: int):
-    """Rare words (w, n, ps), packed."""
-
-    def run(batches):
-        for batch in batches:
-            w = batch.column("w").to_numpy()
-            yield _packed(_bucket(w, buckets), WORD, w, batch.column("n").to_numpy(), None, batch.column("ps").flatten().to_numpy(), SAMPLES)
-
-    return run
-
-
-def _table_rows(shared, buckets: int, rare_buckets: int, dealt_by_w: bool):
-    """Pairs (u, w, ts), packed to where their tokens go."""
-
-    def run(batches):
-        k = shared.value.hot.k
-        for batch in batches:
-            u_hot, w_hot, u, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u_hot", "w_hot", "u", "w"))
-            ts = batch.column("ts").flatten().to_numpy().astype(float).reshape(-1, SAMPLES)
-            if dealt_by_w:
-                yield _packed(_bucket(w, rare_buckets), PAIR_HOT_RARE, w, u, None, ts, SAMPLES)
-                continue
-            some = u_hot & w_hot
-            pair = u[some] * k + w[some]
-            yield _packed(_bucket(pair, buckets), PAIR_HOT_HOT, pair, None, None, ts[some], SAMPLES)
-            some = ~u_hot
-            yield _packed(_bucket(u[some], buckets), PAIR_RARE_THEN, u[some], _then(w[some], w_hot[some]), None, ts[some], SAMPLES)
-
-    return run
-
-
 def _then(w: np.ndarray, hot: np.ndarray | bool) -> np.ndarray:
     """One name space for positions of hot words and digests of rare ones."""
     return np.where(hot, _key(np.full(len(w), 3), w).view(np.int64), w)
@@ -514,20 +733,18 @@ def _rare_words(shared, buckets: int, groups: int):
     """Scores after hot words; pairs of two rare words go on with the probabilities of the second."""
 
     def run(batches):
-        s = shared.value
+        s, scores = shared.value, Scores(groups)
         for table in _gathered(batches, "bucket"):
             for lo, hi in _groups(table.column("bucket").to_numpy()):
-                words, counts, _, ps = _unpacked(table, WORD, lo, hi)
-                order = np.argsort(words)
-                words, counts = words[order], np.append(counts[order], 0)
-                ps = np.vstack([ps.reshape(-1, SAMPLES)[order], s.unseen])
+                words, _, counts, weights = _unpacked(table, WORD, lo, hi)  # each once, in order
+                counts, ps = np.append(counts, 0), np.vstack([_probabilities(weights, s.parents), s.unseen])
                 w, u, mark, _ = _unpacked(table, RARE_HOT, lo, hi)
                 w2, u2, mark2, _ = _unpacked(table, RARE_RARE, lo, hi)
                 at, at2 = _find(words, w, len(words)), _find(words, w2, len(words))
                 if len(w):
                     keys, first, of = np.unique(_key(u, w), return_index=True, return_inverse=True)
                     n = np.bincount(of, mark & 1).astype(np.int64)
-                    tw, tu, _, ts = _unpacked(table, PAIR_HOT_RARE, lo, hi)
+                    tu, tw, _, ts = _unpacked(table, PAIR_HOT_RARE, lo, hi)
                     ts = _tables(keys, n, _key(tu, tw), ts)
                     hu = u[first]
                     p = s.mixture(n, ts, s.hot.total[hu], s.hot.tables[:, hu], ps[at[first]].T)
@@ -535,10 +752,9 @@ def _rare_words(shared, buckets: int, groups: int):
                 else:
                     score = np.zeros(0)
                 c = counts[np.concatenate([at, at2])]
-                rows, of = np.unique(np.concatenate([mark, mark2]) >> 1, return_inverse=True)
-                total = lambda v: np.bincount(of, v, len(rows))
-                yield _result(rows, np.zeros(len(rows)), total(c > 0), total(np.log10(c + 1.0)), total(np.concatenate([score, np.zeros(len(w2))])), groups)
+                yield from scores.add(np.concatenate([mark, mark2]) >> 1, c > 0, np.log10(c + 1.0), np.concatenate([score, np.zeros(len(w2))]))
                 yield _packed(_bucket(u2, buckets), FORWARDED, u2, w2, mark2, ps[at2], SAMPLES)
+        yield from scores.sent()
 
     return run
 
@@ -547,7 +763,7 @@ def _other_words(shared, groups: int):
     """Scores of all other pairs; results pass through."""
 
     def run(batches):
-        s = shared.value
+        s, scores = shared.value, Scores(groups)
         for table in _gathered(batches, "bucket"):
             yield from table.filter(pa.array(table.column("kind").to_numpy() == RESULT)).to_batches()
             for lo, hi in _groups(table.column("bucket").to_numpy()):
@@ -557,9 +773,7 @@ def _other_words(shared, groups: int):
                     n = np.bincount(of, mark & 1).astype(np.int64)
                     known, _, _, ts = _unpacked(table, PAIR_HOT_HOT, lo, hi)
                     score = np.log10(s.hot_hot(keys // s.hot.k, keys % s.hot.k, n, _tables(keys, n, known, ts)))
-                    rows, score = _by_row(mark >> 1, score[of])
-                    zero = np.zeros(len(rows))
-                    yield _result(rows, zero, zero, zero, score, groups)
+                    yield from scores.add(mark >> 1, score[of])
                 u, w, mark, _ = _unpacked(table, RARE_THEN, lo, hi)
                 u2, w2, mark2, p2 = _unpacked(table, FORWARDED, lo, hi)
                 if len(u) + len(u2):
@@ -568,13 +782,13 @@ def _other_words(shared, groups: int):
                     keys, first, of = np.unique(_key(u, w), return_index=True, return_inverse=True)
                     n = np.bincount(of, mark & 1).astype(np.int64)
                     tu, tw, _, ts = _unpacked(table, PAIR_RARE_THEN, lo, hi)
-                    ts = _tables(keys, n, _key(tu, tw), ts)
+                    tu2, tw2, _, ts2 = _unpacked(table, PAIR_RARE_RARE, lo, hi)
+                    ts = _tables(keys, n, _key(np.concatenate([tu, tu2]), np.concatenate([_then(tw, True), tw2])), np.concatenate([ts, ts2]))
                     _, of_u = np.unique(u[first], return_inverse=True)
                     tables = np.array([np.bincount(of_u, t)[of_u] for t in ts])
                     score = np.log10(s.mixture(n, ts, np.bincount(of_u, n)[of_u], tables, p[first].T))
-                    rows, score = _by_row(mark >> 1, score[of])
-                    zero = np.zeros(len(rows))
-                    yield _result(rows, zero, zero, zero, score, groups)
+                    yield from scores.add(mark >> 1, score[of])
+        yield from scores.sent()
 
     return run
 
@@ -583,41 +797,43 @@ def _sums(batches):
     """(rid, n_tokens, n_known, base, score) of packed results."""
     for table in _gathered(batches, "bucket"):
         for lo, hi in _groups(table.column("bucket").to_numpy()):
-            rid, n, known, x = _unpacked(table, RESULT, lo, hi)
+            rid, n, known, x = _unpacked(table, RESULT, lo, hi)  # every row has one at least
+            more, _, _, score = _unpacked(table, SCORE, lo, hi)
             rows, at = np.unique(rid, return_inverse=True)
             total = lambda v: np.bincount(at, v, len(rows))  # noqa: E731, B023
+            score = total(x[1::2]) + np.bincount(_find(rows, more), score, len(rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), pa.array(total(n).astype(np.int64)), pa.array(total(known).astype(np.int64)), pa.array(total(x[::2])), pa.array(total(x[1::2]))],
+                [pa.array(rows), pa.array(total(n).astype(np.int64)), pa.array(total(known).astype(np.int64)), pa.array(total(x[::2])), pa.array(score)],
                 ["rid", "n_tokens", "n_known", "base", "score"],
             )
 
 
+def _scores(texts: DataFrame, m: Model, groups: int) -> DataFrame:
+    """(rid, n_tokens, n_known, base, total) of every text. Each step is written, so that only one has shuffle files at a time."""
+    shared, buckets = texts.sparkSession.sparkContext.broadcast(Scorer(m)), m.buckets
+    none = F.lit(None).cast("binary")
+    state = lambda df, *kinds: _of(df, *kinds).select(*NAMES[:6])
+    pairs = lambda *kinds: state(m.seated, *kinds).withColumn("r", none)
+    by_word = _together(texts.mapInArrow(_rare_tokens(shared, buckets), PACKED), state(m.vocabulary, WORD).withColumn("b", none), pairs(PAIR_HOT_RARE))
+    met = written(by_word.mapInArrow(_rare_words(shared, buckets, groups), PACKED))
+    dropped(m.vocabulary)
+    dealt = _together(texts.mapInArrow(_other_tokens(shared, buckets, groups), PACKED), _of(met, FORWARDED), pairs(PAIR_HOT_HOT, PAIR_RARE_THEN, PAIR_RARE_RARE))
+    scores = written(dealt.mapInArrow(_other_words(shared, groups), PACKED))
+    dropped(m.seated)
+    sums = written(_together(scores, _of(met, RESULT)).mapInArrow(_sums, "rid long, n_tokens long, n_known long, base double, total double"))
+    dropped(met, scores)
+    return sums
+
+
 def scored(docs: DataFrame, held_out: Column, *, text: str = "text") -> DataFrame:
     """`docs` with held_out, n_tokens, n_known, train_tokens, base_score and score, learned from the rows not held out."""
     own = docs.drop("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "rid", "train")
     kept = [c for c in own.columns if c != text]
     rows = own.select(*kept, F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     rows = written(rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("train", (~F.col("held_out")).cast("long")))
-    m = fit(rows.where(~F.col("held_out")))
-    shared = docs.sparkSession.sparkContext.broadcast(Scorer(m))
-    tokens, rare_share = max(m.n, 1), 1 - float(m.hot.n.sum()) / max(m.n, 1)
-    rare_buckets = max(1, math.ceil(tokens * rare_share / BUCKET))
-    buckets, groups = max(1, math.ceil(tokens / BUCKET)), max(1, math.ceil(rows.count() / GROUP))
-    texts = rows.select("rid", "train", "text")
-    by_word = (
-        texts.mapInArrow(_rare_tokens(shared, rare_buckets), PACKED)
-        .unionByName(m.words.where("NOT hot").select("w", "n", "ps").mapInArrow(_word_rows(rare_buckets), PACKED))
-        .unionByName(m.pairs.where("u_hot AND NOT w_hot").mapInArrow(_table_rows(shared, buckets, rare_buckets, True), PACKED))
-    )
-    met = written(by_word.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_rare_words(shared, buckets, groups), PACKED))
-    dealt = (
-        texts.mapInArrow(_other_tokens(shared, buckets, groups), PACKED)
-        .unionByName(met.where(F.col("kind") == FORWARDED))
-        .unionByName(m.pairs.where("NOT (u_hot AND NOT w_hot)").mapInArrow(_table_rows(shared, buckets, rare_buckets, False), PACKED))
-    )
-    scores = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_other_words(shared, groups), PACKED)
-    results = scores.unionByName(met.where(F.col("kind") == RESULT))
-    sums = results.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sums, "rid long, n_tokens long, n_known long, base double, total double")
+    with small_batches(docs.sparkSession, BATCH):
+        m = fit(rows.where(~F.col("held_out")))
+        sums = _scores(rows.select("rid", "train", "text"), m, max(1, math.ceil(rows.count() / GROUP)))
     base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(m.n + m.v + 1)))
     return rows.select(*kept, "held_out", "rid").join(sums, "rid").select(
         *kept, "held_out", "n_tokens", "n_known", F.lit(m.n).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("total").alias("score")

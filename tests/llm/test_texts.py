@@ -350,6 +350,26 @@ def test_language_model_scores_are_brute_force(spark, monkeypatch, hot):
         assert abs(got[i] - sum(math.log10(p(u, w)) for u, w in zip([start, *ws], ws, strict=False))) < 1e-6, i
 
 
+def test_language_model_state_is_packed(spark):
+    """The sampler's tables hold a row for each bucket and kind, not one for each pair or word, and each text is summed up once."""
+    import numpy as np
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(prose(i % 5, 60),) for i in range(40)], "text string")
+    m = pitman_yor.fit(docs)
+    assert m.pairs.count() > 200 and m.words.count() > 200
+    assert m.buckets == 1 and m.seated.count() + m.vocabulary.count() < 100
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64))
+    keys[-1] = np.uint64(2**64 - 1)
+    asked = np.concatenate([keys, keys[:-1] + np.uint64(1), np.array([0], dtype=np.uint64)])
+    assert (pitman_yor.Index(keys).place(asked) == pitman_yor._find(keys, asked)).all()
+    scores = pitman_yor.Scores(1)
+    assert not [*scores.add(np.array([3, 3, 5]), np.array([1.0, 2.0, 4.0])), *scores.add(np.array([5, 3]), np.array([8.0, 16.0]))]
+    (batch,) = scores.sent()
+    rid, _, _, score = pitman_yor._unpacked(pa.Table.from_batches([batch]), pitman_yor.SCORE, 0, 1)
+    assert rid.tolist() == [3, 5] and score.tolist() == [19.0, 12.0]
+
+
 def test_language_model_beats_the_base(spark):
     got = pitman_yor.op5(spark, "/root/testdata/sf0.01").collect()
     held = [r for r in got if r.held_out]
