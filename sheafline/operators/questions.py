@@ -91,8 +91,11 @@ def with_distractors(df: DataFrame, distractors: Column, question_kind: str = "t
 
 
 # ------------------------------------------------------------------ questions from block ids
-def _tagged(role: int, ids: Column) -> Column:
-    return F.transform(F.coalesce(ids, F.array().cast("array<long>")), lambda x, i: F.struct(F.lit(role).alias("role"), i.alias("pos"), x.cast("string").alias("id")))
+def _tagged(role: int, ids: Column, right: Column | None = None) -> Column:
+    """Ids with their role and place, and whether they are among those in `right`."""
+    texts = lambda c: F.coalesce(c.cast("array<string>"), _none("string"))
+    good = lambda x: F.lit(False) if right is None else F.coalesce(F.array_contains(texts(right), x), F.lit(False))
+    return F.transform(texts(ids), lambda x, i: F.struct(F.lit(role).alias("role"), i.alias("pos"), good(x).alias("right"), x.alias("id")))
 
 
 def build_from_markup(markup: DataFrame, blocks: DataFrame, regions: DataFrame | None = None) -> DataFrame:
@@ -105,25 +108,32 @@ def build_from_markup(markup: DataFrame, blocks: DataFrame, regions: DataFrame |
     equal to the question is dropped.
 
     All ids of a question are exploded once with what they are, meet the blocks once and are gathered once;
-    a block carries the block with text before it, so that the replacement needs no join of its own.
+    a block carries the block with text before it, so that the replacement needs no join of its own. Only what a
+    question uses travels: a right option goes once, marked; ids go back where no block has them, places and blocks before
+    where a question shares a block with its context, texts of blocks where they are shown.
     """
     if regions is None:
         asked = markup.withColumn("__region", F.array().cast("array<long>"))
     else:
         of = regions.select(F.explode("applies_to").alias("question_id"), "region", "block_ids")
         asked = markup.join(of.groupBy("question_id").agg(F.max_by("block_ids", "region").alias("__region")), "question_id", "left")
+    listed = lambda c: F.coalesce(F.col(c).cast("array<string>"), _none("string"))
     every = F.concat(
-        _tagged(0, F.col("question_ids")), _tagged(1, F.col("option_ids")), _tagged(2, F.col("context_ids")), _tagged(3, F.col("__region")), _tagged(4, F.col("correct_ids")),
-        F.array(F.struct(F.lit(-1).alias("role"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("id"))),
+        _tagged(0, F.col("question_ids")), _tagged(1, F.col("option_ids"), F.col("correct_ids")), _tagged(2, F.col("context_ids")), _tagged(3, F.col("__region")),
+        _tagged(4, F.array_except(listed("correct_ids"), listed("option_ids"))),
     )
     overlap = F.coalesce(F.arrays_overlap("question_ids", "context_ids"), F.lit(False))
-    refs = asked.select("question_id", overlap.alias("__overlap"), F.explode(every).alias("r")).select("question_id", "__overlap", "r.*")
-    refs = refs.withColumn("__key", F.coalesce("id", F.concat(F.lit("no id of "), F.col("question_id").cast("string"))))  # no key is common to all questions
+    refs = asked.select("question_id", overlap.alias("__overlap"), F.explode_outer(every).alias("r")).select("question_id", "__overlap", "r.*")
+    key = F.coalesce(refs["id"], F.concat(F.lit("no id of "), refs["question_id"].cast("string")))  # no key is common to all questions
     w = Window.partitionBy("document").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
     before = F.last(F.when(F.col("text") != "", F.struct("order", "text")), ignorenulls=True).over(w)
     known = blocks.select(F.col("block_id").cast("string").alias("__key"), "order", "text", before.alias("before"), F.lit(True).alias("known"))
-    rows = F.sort_array(F.collect_list(F.struct("role", "pos", "id", "known", "text", "order", "before")))
-    m = refs.join(known, "__key", "left").groupBy("question_id", "__overlap").agg(rows.alias("rows"))
+    used = F.struct(
+        "role", "pos", "right", F.when(F.col("known").isNull(), F.col("id")).alias("id"), "known", F.when(F.col("role") != 4, F.col("text")).alias("text"),
+        F.when(F.col("__overlap"), F.col("order")).alias("order"), F.when(F.col("__overlap") & (F.col("role") == 1), F.col("before")).alias("before"),
+    )
+    m = refs.join(known, key == known["__key"], "left").select("question_id", "__overlap", used.alias("r"))
+    m = m.groupBy("question_id", "__overlap").agg(F.sort_array(F.collect_list("r")).alias("rows"))
     found = lambda role: F.filter("rows", lambda r: (r["role"] == role) & r["known"])
     texts = lambda role: F.transform(found(role), lambda r: r["text"])
     lost = lambda role: F.transform(F.filter("rows", lambda r: (r["role"] == role) & r["known"].isNull() & r["id"].isNotNull()), lambda r: r["id"])
@@ -132,11 +142,10 @@ def build_from_markup(markup: DataFrame, blocks: DataFrame, regions: DataFrame |
     m = m.withColumns({"__since": since, "__first": first})
     told = F.col("__overlap") & (F.col("__first.order") > F.col("__since") + 1) & (F.col("__first.before.order") > F.col("__since"))
     m = m.withColumn("inferred", F.coalesce(told, F.lit(False)))
-    right = F.array_distinct(F.transform(found(4), lambda r: r["id"]))
     m = m.withColumns(
         {
             "q": F.when(F.col("inferred"), F.array("__first.before.text")).otherwise(texts(0)), "options": texts(1), "c": texts(2), "r": texts(3),
-            "answers": F.filter(F.transform(F.filter("rows", lambda r: r["role"] == 1), lambda r: F.when(F.array_contains(right, r["id"]), r["pos"] + 1)), lambda i: i.isNotNull()),
+            "answers": F.transform(F.filter(found(1), lambda r: r["right"]), lambda r: r["pos"] + 1),
             "missing": F.array_distinct(F.concat(F.when(F.col("inferred"), F.array().cast("array<string>")).otherwise(lost(0)), lost(1), lost(2), lost(3), lost(4))),
         }
     )
