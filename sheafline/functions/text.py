@@ -124,21 +124,22 @@ def encoding_issues(x: Column) -> Column:
     )
 
 
-def is_question(x: Column) -> Column:
-    s = collapse(x)
-    return s.endswith("?") | _or([F.lower(s).startswith(w) for w in QUESTION_STARTS])
+def is_question(x: Column, collapsed: bool = False) -> Column:
+    s = x if collapsed else collapse(x)
+    start = F.lower(F.substring(s, 1, max(map(len, QUESTION_STARTS))))
+    return s.endswith("?") | _or([start.startswith(w) for w in QUESTION_STARTS])
 
 
-def is_prompt(x: Column) -> Column:
+def is_prompt(x: Column, collapsed: bool = False) -> Column:
     """Ends with a colon, is no date, section or option, and says more than eight characters."""
-    s = collapse(x)
+    s = x if collapsed else collapse(x)
     other = _or([s.rlike(p) for p in (DATE_LINE, SECTION_LINE, OPTION_LINE)])
     return s.endswith(":") & ~other & (F.length(F.trim(F.regexp_replace(s, ":+$", ""))) > 8)
 
 
-def inline_answer(x: Column) -> Column:
+def inline_answer(x: Column, collapsed: bool = False) -> Column:
     """struct(question, answer) of a line that holds both, else null: split at ':', ' — ' or ' - '."""
-    s = collapse(x)
+    s = x if collapsed else collapse(x)
 
     def cut(mark: str) -> Column:
         at = F.instr(s, mark)
@@ -150,11 +151,13 @@ def inline_answer(x: Column) -> Column:
     return F.when(F.length(s) >= 8, F.coalesce(colon, cut(" — "), cut(" - ")))
 
 
-def option_parts(x: Column) -> Column:
+def option_parts(x: Column, collapsed: bool = False) -> Column:
     """Texts of all options on one line; empty unless the line starts with an option label."""
     mark = r"(?iU)(?<!\w)[AАBВCСDД](?:\)|\.\s+)\s*"
-    s = collapse(x)
-    parts = F.filter(F.transform(F.split(s, mark), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
+    s = x if collapsed else collapse(x)
+    # split() makes its pattern anew for each row, so labels become one character first unless the text has that itself
+    cut = F.when(F.contains(s, F.lit("\x01")), F.split(s, mark)).otherwise(F.split(F.regexp_replace(s, mark, "\x01"), "\x01"))
+    parts = F.filter(F.transform(cut, lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     return F.when(s.rlike("^" + mark), parts).otherwise(F.array().cast("array<string>"))
 
 

@@ -11,6 +11,7 @@ from sheafline.operators import answers, ordered, rules
 from sheafline.operators import blocks as B
 from sheafline.operators import questions as Q
 from sheafline.plans.items import questions, table
+from sheafline.scratch import written
 
 S = lambda c: F.col(c).cast("string")
 
@@ -620,23 +621,29 @@ ORACLES = {
 # ------------------------------------------------------------------ blocks of documents
 def parsed_blocks(spark, sf_dir):
     """A document for each customer: a date, then each order as a question, its lines as options (labels start again after the fourth) and an answer line."""
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    line = F.struct("l_linenumber", "l_partkey")  # lines that agree in both are alike here
     packed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    o = table(spark, sf_dir, "orders").join(packed, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("n", F.size("lines"))
+    packed = packed.select("l_orderkey", F.transform("lines", lambda x: x.l_partkey).alias("parts"))
+    o = table(spark, sf_dir, "orders").join(packed, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", "parts")
+    # orders are numbered, not their lines: where the blocks of each start, after the date
+    answered, n = F.col("o_orderkey") % 3 == 0, F.size("parts")
+    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    before = F.sum(n + 1 + answered.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    o = o.withColumns({"head": (F.row_number().over(by) == 1).cast("int"), "start": F.coalesce(before, F.lit(0)) + 2})
     letter = lambda i: F.char(i % 4 + 65)
-    options = F.transform("lines", lambda x, i: F.concat(letter(i), F.lit(") part "), x.l_partkey.cast("string")))
+    options = F.transform("parts", lambda p, i: F.concat(letter(i), F.lit(") part "), p.cast("string")))
     asked = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("Order "), S("o_orderkey"))).otherwise(F.concat(F.lit("Какой номер у "), S("o_orderkey"), F.lit("?")))
-    answer = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.concat(F.lit("Ответ: "), letter((F.col("o_orderkey") % F.col("n")).cast("int"))))).otherwise(F.array().cast("array<string>"))
-    texts = F.concat(F.array(asked), options, answer)
-    bold = F.when(F.col("o_orderkey") % 3 == 1, F.get("lines", 0)["l_partkey"].cast("string")).otherwise("")
-    rows = o.select("o_custkey", "o_orderkey", F.posexplode(texts).alias("at", "text"), bold.alias("right"))
-    rows = rows.withColumn("bold_text", F.when((F.col("at") == 1) & (F.col("right") != ""), F.col("text")).otherwise(""))
-    head = o.select("o_custkey", F.lit(-1).cast("long").alias("o_orderkey"), F.lit(0).alias("at"), F.lit("5 мая").alias("text"), F.lit("").alias("bold_text")).distinct()
-    every = rows.drop("right").unionByName(head)
-    pos = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey", "at"))
-    blocks = every.select(
-        S("o_custkey").alias("document"), pos.alias("pos"), F.lit("text").alias("kind"), "text", "bold_text", F.lit(0).alias("blank_before"), F.lit(False).alias("is_heading")
-    )
+    none = F.array().cast("array<string>")
+    answer = F.when(answered, F.array(F.concat(F.lit("Ответ: "), letter((F.col("o_orderkey") % n).cast("int"))))).otherwise(none)
+    texts = F.concat(F.when(F.col("head") == 1, F.array(F.lit("5 мая"))).otherwise(none), F.array(asked), options, answer)
+    bold = (F.col("o_orderkey") % 3 == 1) & F.get("parts", 0).isNotNull()
+    rows = o.select(S("o_custkey").alias("document"), "start", "head", bold.alias("bold"), F.posexplode(texts).alias("at", "text"))
+    rows = rows.withColumn("at", F.col("at") - F.col("head"))
+    blocks = rows.select(
+        "document", (F.col("start") + F.col("at")).alias("pos"), F.lit("text").alias("kind"), "text", F.when((F.col("at") == 1) & F.col("bold"), F.col("text")).otherwise("").alias("bold_text"),
+        F.lit(0).alias("blank_before"), F.lit(False).alias("is_heading"),
+    )
+    blocks = written(blocks, "blocks")
     found = B.questions_of_blocks(blocks)
     return found.select("document", "item", "date", "question", F.array_join("options", "|").alias("options"), F.array_join(F.transform("answers", lambda a: a.cast("string")), ",").alias("answers"), "correct_answer", "type")
 
