@@ -155,8 +155,8 @@ def option_parts(x: Column, collapsed: bool = False) -> Column:
     """Texts of all options on one line; empty unless the line starts with an option label."""
     mark = r"(?iU)(?<!\w)[AАBВCСDД](?:\)|\.\s+)\s*"
     s = x if collapsed else collapse(x)
-    # split() makes its pattern anew for each row, so labels become one character first unless the text has that itself
-    cut = F.when(F.contains(s, F.lit("\x01")), F.split(s, mark)).otherwise(F.split(F.regexp_replace(s, mark, "\x01"), "\x01"))
+    # split() makes its pattern anew for each row, so labels become line breaks first, which no collapsed text has
+    cut = F.split(F.regexp_replace(s, mark, "\n"), "\n")
     parts = F.filter(F.transform(cut, lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     return F.when(s.rlike("^" + mark), parts).otherwise(F.array().cast("array<string>"))
 

@@ -629,7 +629,9 @@ def parsed_blocks(spark, sf_dir):
     answered, n = F.col("o_orderkey") % 3 == 0, F.size("parts")
     by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     before = F.sum(n + 1 + answered.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    o = o.withColumns({"head": (F.row_number().over(by) == 1).cast("int"), "start": F.coalesce(before, F.lit(0)) + 2})
+    o = o.select(S("o_custkey").alias("document"), "o_orderkey", "parts", (F.row_number().over(by) == 1).cast("int").alias("head"), (F.coalesce(before, F.lit(0)) + 2).alias("start"))
+    o = written(o, "orders")
+    ends = o.select("document", F.explode(F.array(F.col("start") - F.col("head"), F.col("start") + n + answered.cast("int"))).alias("pos"))
     letter = lambda i: F.char(i % 4 + 65)
     options = F.transform("parts", lambda p, i: F.concat(letter(i), F.lit(") part "), p.cast("string")))
     asked = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("Order "), S("o_orderkey"))).otherwise(F.concat(F.lit("Какой номер у "), S("o_orderkey"), F.lit("?")))
@@ -637,14 +639,13 @@ def parsed_blocks(spark, sf_dir):
     answer = F.when(answered, F.array(F.concat(F.lit("Ответ: "), letter((F.col("o_orderkey") % n).cast("int"))))).otherwise(none)
     texts = F.concat(F.when(F.col("head") == 1, F.array(F.lit("5 мая"))).otherwise(none), F.array(asked), options, answer)
     bold = (F.col("o_orderkey") % 3 == 1) & F.get("parts", 0).isNotNull()
-    rows = o.select(S("o_custkey").alias("document"), "start", "head", bold.alias("bold"), F.posexplode(texts).alias("at", "text"))
+    rows = o.select("document", "start", "head", bold.alias("bold"), F.posexplode(texts).alias("at", "text"))
     rows = rows.withColumn("at", F.col("at") - F.col("head"))
     blocks = rows.select(
         "document", (F.col("start") + F.col("at")).alias("pos"), F.lit("text").alias("kind"), "text", F.when((F.col("at") == 1) & F.col("bold"), F.col("text")).otherwise("").alias("bold_text"),
         F.lit(0).alias("blank_before"), F.lit(False).alias("is_heading"),
     )
-    blocks = written(blocks, "blocks")
-    found = B.questions_of_blocks(blocks)
+    found = B.questions_of_blocks(blocks, ends=ends)
     return found.select("document", "item", "date", "question", F.array_join("options", "|").alias("options"), F.array_join(F.transform("answers", lambda a: a.cast("string")), ",").alias("answers"), "correct_answer", "type")
 
 
