@@ -1,5 +1,6 @@
 """Keyed state, timers, tails and cancelling in streams."""
 
+import random
 import threading
 import time
 
@@ -126,3 +127,97 @@ def test_steps_are_written_side_by_side(spark, tmp_path):
     rows = spark.range(0, 100, 1, 4)
     parts = stateful.in_steps(rows, str(tmp_path), F.floor(F.col("id") / 50), 2)
     assert [p.rdd.getNumPartitions() for p in parts] == [4, 4] and [p.count() for p in parts] == [50, 50]
+
+
+class Kept:
+    """State of one key in memory that counts the calls."""
+
+    def __init__(self):
+        self.value, self.rows, self.calls = None, {}, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, key, value):
+        return KeptMap(self)
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class KeptMap:
+    def __init__(self, kept):
+        self.kept = kept
+
+    def called(self, out=None):
+        self.kept.calls += 1
+        return out
+
+    def containsKey(self, key):
+        return self.called(key in self.kept.rows)
+
+    def getValue(self, key):
+        return self.called(tuple(list(x) if isinstance(x, list) else x for x in self.kept.rows[key]) if key in self.kept.rows else None)
+
+    def updateValue(self, key, value):
+        self.called()
+        self.kept.rows[key] = value
+
+    def iterator(self):
+        return self.called(iter(list(self.kept.rows.items())))
+
+
+def folded(batches):
+    """What a run gives after each batch of (seq, index, kind), and the calls to its map."""
+    import pandas as pd
+
+    kept, run, out = Kept(), stateful.NetRun(), []
+    run.init(kept)
+    for rows in batches:
+        before = kept.calls
+        (pdf,) = run.handleInputRows((1,), iter([pd.DataFrame([(1, *r) for r in rows], columns=["run", "seq", "index_", "kind"])]), None)
+        row = [None if pd.isna(x) else x for x in pdf.iloc[0]]
+        out.append((tuple(row), kept.calls - before))
+    return out
+
+
+def test_a_run_asks_for_its_state_by_blocks():
+    """A batch over many indexes of a run costs a call or two to the state for a block of them, not some for each index."""
+    first, second = folded([[(i, i, "uploaded") for i in range(200)], [(200 + i, i, "skipped") for i in range(200)]])
+    assert first == ((1, 200, 0, 0, 200, "uploaded"), first[1]) and second == ((1, 0, 200, 0, 200, "skipped"), second[1])
+    assert first[1] <= 200 // 32 and second[1] <= 2 * (200 // 32)
+    far = folded([[(0, 5, "uploaded"), (1, 10**12, "uploaded")], [(2, 10**12, "undone")]])  # few rows on indexes far apart need no more
+    assert [row for row, _ in far] == [(1, 2, 0, 0, 10**12 + 1, "uploaded"), (1, 1, 0, 1, 6, "undone")] and all(calls <= 3 for _, calls in far)
+
+
+def test_net_runs_are_brute_force_on_odd_rows():
+    """Repeated numbers, indexes below 0 and far apart, kinds that are null as the first on an index, the last index undone again and again."""
+    draw = random.Random(3)
+    for _ in range(60):
+        near = draw.choice([3, 150])
+        rows = [(draw.randint(0, 400), draw.randint(-near // 2, near), draw.choice(["uploaded", "uploaded", "skipped", "undone"])) for _ in range(draw.randint(1, 120))]
+        rows += [(500, near + 1000, None), (501, near + 2000, "undone")]
+        cuts = sorted(draw.choices(range(401), k=2))
+        batches = [b for lo, hi in zip([0, *cuts], [*cuts, 600]) if (b := [r for r in rows if lo <= r[0] < hi])]
+        net, top, last = {}, -1, None
+        for (got, _), batch in zip(folded(batches), batches, strict=True):
+            changed = {}
+            for _, index, kind in sorted(batch, key=lambda r: r[0]):
+                changed[index], last = kind, kind
+            net |= {index: kind for index, kind in changed.items() if kind}
+            top = max([top, *(index for index, kind in changed.items() if kind != "undone")])
+            if changed.get(top) == "undone":
+                top = max((index for index, kind in net.items() if kind != "undone"), default=-1)
+            n = [sum(kind == x for kind in net.values()) for x in ("uploaded", "skipped", "undone")]
+            assert got == (1, *n, top + 1 if top >= 0 else None, last)
+
+
+def test_rows_without_a_run_go_through(spark, tmp_path):
+    """Each of them gives a row, without a run, and they share their state."""
+    rows = [(None, 0, 0, "uploaded"), (None, 1, 1, "uploaded"), (None, 2, 1, "undone")]
+    df = spark.createDataFrame(rows, "run long, seq long, index_ long, kind string")
+    out = stateful.restarted(spark, df, F.col("seq"), 3, stateful.net_runs, str(tmp_path), partitions=1)
+    assert sorted((r.batch, r.run, r.uploaded, r.skipped, r.undone, r.next_index, r.last_kind) for r in out.collect()) == [(0, None, 1, 0, 0, 1, "uploaded"), (1, None, 2, 0, 0, 2, "uploaded"), (2, None, 1, 0, 1, 1, "undone")]
